@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeframes.llm import simhash, warc
+from codeframes.llm import quality, secret_scan, simhash, warc
 from codeframes.llm.common import table
 
 
@@ -17,7 +17,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets}
 
 ORACLES = {
     "op1_warc": """
@@ -29,4 +37,6 @@ ORACLES = {
                CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to
         FROM f
     """,
+    "op4_quality": quality.ORACLE,
+    "op6_secrets": secret_scan.ORACLE,
 }
