@@ -42,3 +42,17 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def slices(batch, column: str = "text", rows: int = 512, size: int = 4 << 20):
+    """Parts of an Arrow batch of at most ``rows`` rows and about ``size`` bytes of ``column``, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    total, start = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(total, total[start] + size, "right")) - 1
+        stop = max(start + 1, min(stop, start + rows, batch.num_rows))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -120,6 +120,7 @@ def assess(docs: DataFrame) -> DataFrame:
         text_chars(c("lines")).cast("long").alias("line_chars"),
         text_chars(c("passing")).cast("long").alias("left_chars"),
         F.array_join(c("passing"), "\n").alias("cleaned"),
+        F.monotonically_increasing_id().alias("barrier"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return five.select("*", failed.alias("base_failed"), (~failed & (100 * F.col("left_chars") >= MIN_LEFT * F.col("line_chars"))).alias("kept"))
@@ -133,7 +134,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept rows with their failing lines removed; n_chars, where there is one, follows the text."""
-    kept = assess(docs).filter("kept")
+    # the barrier, not being deterministic, stops Catalyst from pushing the filter below the arrays, where it
+    # would compute them anew for every element
+    kept = assess(docs).filter(F.col("kept") & (F.col("barrier") >= 0))
     changed = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
     return kept.select(*(changed.get(name, F.col("row").getField(name)).alias(name) for name in docs.columns))
 

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeframes.llm import quality, secret_scan, simhash, warc
+from codeframes.llm import bpe, langid, packing, quality, secret_scan, simhash, tokenstore, topk, toxicity, warc
 from codeframes.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; the operators take paths, only these queries choose the files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.archive(spark, table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,22 +32,42 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tokenstore.write_store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return tokenstore.read_documents(store)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_secrets": op6_secrets}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc, op2_langid, op3_simhash, op4_quality, op5_tokenstore, op6_secrets, op7_bpe, op8_packing, op9_toxicity, op10_topk)
+}
 
 ORACLES = {
-    "op1_warc": """
-        WITH p AS (
-          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM p)
-        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-               CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to
-        FROM f
-    """,
+    "op1_warc": warc.ORACLE,
     "op4_quality": quality.ORACLE,
     "op6_secrets": secret_scan.ORACLE,
+    "op10_topk": topk.ORACLE,
 }

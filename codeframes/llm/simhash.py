@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import written
+from codeframes.llm.common import slices, written
 
 TAU = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -80,12 +80,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for i in range(0, batch.num_rows, 256):
-                some = [shingle_hashes(x) for x in texts.slice(i, 256).to_pylist()]
+            for part in slices(batch):
+                some = [shingle_hashes(x) for x in part.column("text").cast(pa.binary()).to_pylist()]
                 flat = np.fromiter((h for s in some for h in s), np.uint64)
                 fps = fold(flat, np.fromiter(map(len, some), np.int64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 256), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
@@ -224,3 +223,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group: that of the smallest doc_id; of rows that repeat a doc_id one stays.
+
+    Text moves once, by doc_id; a null doc_id stays only in a group without other ids."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    keepers = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct(), "simhash-keepers")
+    id_ = F.col("__row.doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("__row")).join(keepers, id_.eqNullSafe(F.col("__keep")), "left_semi")
+    one = rows.groupBy(id_.alias("__id")).agg(F.first("__row").alias("__row")) if _repeats(docs) else rows
+    return one.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether any doc_id repeats, from the id column alone."""
+    return bool(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count())

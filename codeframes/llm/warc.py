@@ -265,3 +265,13 @@ def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
     out_dir = shared_dir(spark, "warc")
     index = write_archives(mark_revisits(pages), out_dir)
     return read_archives(spark, index, out_dir, payloads=False)
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to
+FROM f
+"""
