@@ -32,15 +32,17 @@ from pyspark.sql import functions as F
 from codeframes.llm.common import held_out, slices
 
 BUCKETS = 1 << 17
-DIM = 8
+DIM = 4
 GRAMS = (3, 4, 5, 6)
-SEGMENT = 12
+SEGMENT = 6
 POSITIVES, NEGATIVES = 1500, 3000
 SAMPLE_CHARS = 12_000
-EPOCHS = 2
+EPOCHS = 3
 ROUNDS = 3
 BATCH = 1024
-RATE = 0.5
+RATE = 1.5
+#: Initial embeddings are small: an n-gram that training hardly sees must not speak.
+SPREAD = 0.01
 CACHE_LIMIT = 500_000
 LONGEST_WORD = 40
 
@@ -48,7 +50,8 @@ WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Distinct words in the order in which they first occur: a word's weight isn't how often it is repeated."""
+    return list(dict.fromkeys(WORD.findall((text or "").lower())))
 
 
 def gram_ids(word: str) -> list[int]:
@@ -93,7 +96,7 @@ def top_segments(values: np.ndarray, sizes: np.ndarray, bias: float) -> np.ndarr
 def _train(segments: list[np.ndarray], labels: np.ndarray, grams: list[np.ndarray], seed: int) -> tuple[np.ndarray, float]:
     """Joint training; returns the logit per bucket and the bias."""
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+    table = rng.uniform(-SPREAD, SPREAD, (BUCKETS, DIM)).astype(np.float32)
     layer = np.zeros((DIM, 2), np.float32)
     layer[:, 1], bias = rng.uniform(-1, 1, DIM), np.zeros(2, np.float32)
     seen, seen_layer, seen_bias = np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(layer, 1e-6), np.full(2, 1e-6, np.float32)
