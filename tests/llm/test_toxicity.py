@@ -10,7 +10,7 @@ from .helpers import empty_docs, odd_docs, sentence
 BAD = ("scoundrel", "blockhead", "nitwit", "dunderhead")
 
 
-def corpus(n=700):
+def corpus(n=3000):
     rng = random.Random(4)
     rows = []
     for i in range(n):
