@@ -3,7 +3,7 @@
 Components become floor(64 * x).  Distances from every vector to ``PIVOTS`` pivots are computed once.  By the
 triangle inequality the largest difference of two vectors' pivot distances is a lower bound of their distance,
 and, as the inner product is half of (|q|^2 + |x|^2 - distance^2), an upper bound of their score.  A query
-evaluates candidates in the order of their bounds and stops where no bound reaches its k-th score.
+evaluates the candidates of the largest bounds first and stops where no bound reaches its k-th score.
 
 Queries lie in the shared folder in blocks.  Each task holds one part of the candidates and streams the query
 blocks past it, so neither side is broadcast or collected and no join makes their product.  Each query starts
@@ -32,7 +32,9 @@ SCALE = 64
 PIVOTS = 16
 SAMPLE = 1024
 QUERY_BLOCK = 256
-CHUNK = 256
+CANDIDATE_BLOCK = 8192
+#: Candidates per query that are evaluated before the floors rise for the first time.
+FIRST_ROUND = 128
 #: Slack of the bounds against rounding, far below the steps of integer scores.
 SLACK = 0.25
 
@@ -76,38 +78,60 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """A part of the candidates with its pivot table."""
+    """A part of the candidates with its pivot table, searched by blocks of queries against blocks of candidates."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.squares = (self.x**2).sum(axis=1)
-        self.table = distances(self.x, pivots).T.astype(np.float32)  # rounding is covered by the slack below
-
-    def search(self, query: int, q: np.ndarray, q_table: np.ndarray, floor: float, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the best k at or above ``floor``, best first, and how many candidates were evaluated."""
-        gap = np.zeros(len(self.ids), np.float32)
-        for row, d in zip(self.table, q_table.astype(np.float32), strict=True):
-            np.maximum(gap, np.abs(row - d), out=gap)
-        low = np.maximum(gap.astype(np.float64) - 1e-6 * (float(np.abs(q_table).max(initial=0)) + float(self.table.max(initial=0))), 0)
-        bound = (float(q @ q) + self.squares - low**2) / 2 + SLACK
-        hope = np.flatnonzero((bound >= floor) & (self.ids != query))
-        hope = hope[np.argsort(-bound[hope], kind="stable")]
-        ids, scores, done = np.zeros(0, np.int64), np.zeros(0), 0
-        size = CHUNK
-        while done < len(hope):
-            if bound[hope[done]] < floor:
-                break  # exact: no later candidate has a larger bound
-            at = hope[done : done + size]
-            ids, scores = np.concatenate((ids, self.ids[at])), np.concatenate((scores, self.x[at] @ q))
-            done += len(at)
-            size *= 2
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                floor = max(floor, scores[-1])
-        keep = scores >= floor
-        return ids[keep], scores[keep], done
+        self.table = distances(self.x, pivots).T.astype(np.float32)  # the bounds allow for the rounding
+
+    def bounds(self, q: np.ndarray, q_table: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Upper bounds of the scores [query, candidate] from the largest difference of pivot distances."""
+        gap = np.zeros((len(q), hi - lo), np.float32)
+        for row, d in zip(self.table[:, lo:hi], q_table.T.astype(np.float32), strict=True):
+            np.maximum(gap, np.abs(row[None, :] - d[:, None]), out=gap)
+        rounding = 1e-6 * (float(np.abs(q_table).max(initial=0)) + float(self.table.max(initial=0)))
+        low = np.maximum(gap.astype(np.float64) - rounding, 0)
+        return ((q**2).sum(axis=1)[:, None] + self.squares[None, lo:hi] - low**2) / 2 + SLACK
+
+    def search(self, queries: np.ndarray, q: np.ndarray, q_table: np.ndarray, floors: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Query ids, ids and scores: the best k of each query at or above its floor; and the number of evaluations."""
+        rows, best_ids, best_scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floors, evaluated = floors.copy(), 0
+        for lo in range(0, len(self.ids), CANDIDATE_BLOCK):
+            hi = min(lo + CANDIDATE_BLOCK, len(self.ids))
+            bound = self.bounds(q, q_table, lo, hi)
+            bound[queries[:, None] == self.ids[None, lo:hi]] = -np.inf
+            # the largest bounds first, in rounds that grow; what no bound reaches is never evaluated
+            size = FIRST_ROUND
+            while True:
+                hope = bound >= floors[:, None]
+                hope &= np.isfinite(bound)
+                left = int(hope.sum(axis=1).max(initial=0))
+                if not left:
+                    break
+                if left > size:
+                    least = np.partition(bound, bound.shape[1] - size, axis=1)[:, -size]
+                    hope &= bound >= least[:, None]
+                evaluated += int(hope.sum())
+                at = np.flatnonzero(hope.any(axis=0))
+                scores = q @ self.x[lo + at].T
+                good = hope[:, at] & (scores >= floors[:, None])
+                bound[hope] = -np.inf
+                r, c = np.nonzero(good)
+                rows = np.concatenate((rows, r))
+                best_ids = np.concatenate((best_ids, self.ids[lo + at[c]]))
+                best_scores = np.concatenate((best_scores, scores[r, c]))
+                order = np.lexsort((best_ids, -best_scores, rows))
+                rows, best_ids, best_scores = rows[order], best_ids[order], best_scores[order]
+                first = np.searchsorted(rows, np.arange(len(q)))
+                rank = np.arange(len(rows)) - first[rows]
+                kth = np.flatnonzero(rank == k - 1)
+                floors[rows[kth]] = np.maximum(floors[rows[kth]], best_scores[kth])
+                rows, best_ids, best_scores = rows[rank < k], best_ids[rank < k], best_scores[rank < k]
+                size = hi - lo
+        return queries[rows], best_ids, best_scores, evaluated
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -149,13 +173,9 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             with store.open_input_file(info.path) as source:
                 for block in pq.ParquetFile(source).iter_batches(QUERY_BLOCK):
                     q_ids, q = block.column("vec_id").to_numpy(), matrix(block.column("v"), width)
-                    tables, found = distances(q, pivots), []
-                    for query, vector, table, floor in zip(q_ids.tolist(), q, tables, block.column("floor").to_numpy(), strict=True):
-                        ids, scores, _ = part.search(query, vector, table, floor, k)
-                        found.append((np.full(len(ids), query), ids, scores))
-                    cols = [np.concatenate(c) for c in zip(*found, strict=True)]
-                    limits = np.clip(cols[2], -(2.0**63), 2.0**63 - 1024)
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(limits.astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    found, ids, scores, _ = part.search(q_ids, q, distances(q, pivots), block.column("floor").to_numpy(), k)
+                    scores = np.clip(scores, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     found = rows.mapInArrow(work, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
