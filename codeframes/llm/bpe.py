@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeframes.llm.common import slices
-from codeframes.llm.pieces import WHITE, PieceEncoder, shared_encoder, spaced_pieces
+from codeframes.llm.pieces import PieceEncoder, exact_white, quick_cut, shared_encoder
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -132,17 +132,19 @@ class MergeReplay:
 def replay_encoder(ranks_path: str, pattern: str) -> PieceEncoder:
     import regex
 
-    exact = pattern.replace(r"[^\s\p", f"[^{WHITE}\\p").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-    find = regex.compile(exact).findall
+    find = regex.compile(exact_white(pattern)).findall
     replay = MergeReplay(load_ranks(ranks_path))
 
+    words = PieceEncoder(True, lambda new: (np.array(x, "<u4").tobytes() for x in replay.encode([w.encode() for w in new])))
+    cut = quick_cut(find)
+
     def encode_many(pieces: list[str]) -> list[bytes]:
-        cuts = [[w.encode() for w in find(p)] for p in pieces]
-        words = list({w for c in cuts for w in c})
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, replay.encode(words), strict=True)}
+        cuts = [cut(p) for p in pieces]
+        distinct = list({w for c in cuts for w in c})
+        ids = dict(zip(distinct, words.look_up(distinct), strict=True))
         return [b"".join(map(ids.__getitem__, c)) for c in cuts]
 
-    encoder = PieceEncoder(spaced_pieces, encode_many)
+    encoder = PieceEncoder(True, encode_many)
     encoder.vocab = replay.vocab
     encoder.names = [str(i) for i in range(len(replay.vocab))]
     return encoder
@@ -155,7 +157,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         encoder = shared_encoder(("bpe", ranks_path, pattern), lambda: replay_encoder(ranks_path, pattern))
         for batch in batches:
             for some in slices(batch):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(some.column("text").to_pylist())]
+                ids = [x.astype(np.int32) for x in encoder.encode(some.column("text"))]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -175,8 +177,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for some in slices(batch):
                 sizes, digests, decoded = [], [], []
-                for packed in encoder.encode(some.column("text").to_pylist()):
-                    ids = np.frombuffer(packed, "<u4")
+                for ids in encoder.encode(some.column("text")):
                     sizes.append(len(ids))
                     digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
                     decoded.append(hashlib.sha256(decode(ids, vocab)).hexdigest())

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +23,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/codeframes/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeframes.llm.common import slices, written
-from codeframes.llm.pieces import shared_encoder, spaced_pieces, tokenizer_encoder
+from codeframes.llm.pieces import byte_level_encoder, shared_encoder
 
 CAPACITY = 2048
 OPEN_BINS = 256
@@ -81,12 +81,12 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataF
     end = np.array([END_ID], "<u4").tobytes()
 
     def work(batches):
-        encoder = shared_encoder(("packing", tokenizer_path), lambda: tokenizer_encoder(tokenizer_path, spaced_pieces))
+        encoder = shared_encoder(("packing", tokenizer_path), lambda: byte_level_encoder(tokenizer_path))
         for batch in batches:
             for some in slices(batch):
                 rows = []
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
-                    ids += end
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")), strict=True):
+                    ids = ids.tobytes() + end
                     for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                         rows.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

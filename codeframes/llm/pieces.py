@@ -1,65 +1,215 @@
 """Whole-text encoding by pieces: a text is cut where every tokenizer here cuts anyway, and each distinct piece is
-encoded once while it stays in a bounded cache."""
+encoded once while it stays in a bounded cache.
+
+Cutting, finding distinct pieces and putting ids back in order work on whole Arrow columns; Python sees a piece
+once per slice, and the tokenizer gets those that the cache lacks in one joined text."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # Fixed value: Unicode White_Space, as \s of the tokenizers' patterns has it.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0  -     　"
 
 #: Pieces for patterns in which one space may lead a word: an optional space and a run without white space, or
 #: white space up to where the next such piece begins.  No match of those patterns crosses a piece's border.
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_WHITE = re.compile(f"[{WHITE}]")
+# A space between other white space: only without it are a text's pieces those that single spaces lead.
+_MIXED = f"[{WHITE}] (?:[{WHITE}]|$)".replace(r"\t-\r", "\t-\r").replace(r"\x85\xa0", "\x85\xa0")
+_MARKS = frozenset(".,;:!?")
 
-CACHE_LIMIT = 500_000
-
-
-def spaced_pieces(text: str) -> list[str]:
-    return SPACED.findall(text)
-
-
-def dropped_space_pieces(text: str) -> list[str]:
-    """Pieces for tokenizers that drop white space: borders at the two most common kinds, others stay inside."""
-    return text.replace("\n", " ").split(" ")
+CACHE_LIMIT = 450_000
 
 
 class PieceEncoder:
-    """``encode_many`` gives the ids of pieces as little-endian unsigned 32-bit bytes; the cache only saves time."""
+    """``encode_many`` gives the ids of pieces as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, cut: Callable[[str], list[str]], encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_LIMIT):
-        self.cut, self.encode_many, self.limit = cut, encode_many, limit
+    With ``led``, the space before a piece belongs to it; else spaces and line breaks only separate.
+    The cache only saves time: it has two generations of ``limit`` pieces, and what the older one holds and is
+    asked for again moves to the younger."""
+
+    def __init__(self, led: bool, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_LIMIT):
+        self.led, self.encode_many, self.limit = led, encode_many, limit
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [self.cut(t) if t else [] for t in texts]
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         if len(self.known) > self.limit:
-            self.known = {"": b""}
-        known = self.known
-        new = list({p for pieces in cuts for p in pieces if p not in known})
-        if new:
-            known.update(zip(new, self.encode_many(new), strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cuts]
-
-
-def tokenizer_encoder(path: str, cut: Callable[[str], list[str]]) -> PieceEncoder:
-    """Pieces through the tokenizers library, one thread; special tokens in a text are ordinary text."""
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, pieces))
+        at = [i for i, v in enumerate(found) if v is None]
+        if at:
+            unseen = []
+            for i in at:
+                v = older.get(pieces[i])
+                if v is None:
+                    unseen.append(i)
+                else:
+                    found[i] = known[pieces[i]] = v
+            for i, v in zip(unseen, self.encode_many([pieces[i] for i in unseen]), strict=True):
+                found[i] = known[pieces[i]] = v
+        return found
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null texts are empty."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.led:
+            return self._split(pc.split_pattern(pc.replace_substring(column, "\n", " "), " "))
+        mixed = pc.match_substring_regex(column, _MIXED).to_numpy(zero_copy_only=False)
+        if not mixed.any():
+            return self._split(pc.split_pattern(column, " "))
+        out: list = [None] * len(column)
+        plain = np.flatnonzero(~mixed)
+        for i, ids in zip(plain, self._split(pc.split_pattern(column.take(pa.array(plain)), " ")) if len(plain) else (), strict=True):
+            out[i] = ids
+        for i in np.flatnonzero(mixed):
+            pieces = SPACED.findall(column[int(i)].as_py())
+            distinct = list(dict.fromkeys(pieces))
+            ids = dict(zip(distinct, self.look_up(distinct), strict=True))
+            out[i] = np.frombuffer(b"".join(map(ids.__getitem__, pieces)), "<u4")
+        return out
+
+    def _split(self, lists: pa.ListArray) -> list[np.ndarray]:
+        """Ids of texts that were split at single spaces."""
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        index, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        if self.led:  # a text's first part has no space before it
+            firsts = offsets[:-1]
+            heads, back = np.unique(index[firsts - offsets[0]], return_inverse=True)
+            index[firsts - offsets[0]] = len(parts) + back
+            pieces = [" " + p for p in parts] + [parts[h] for h in heads]
+        else:
+            pieces = parts
+        values = self.look_up(pieces)
+        flat = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[index]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[index] - (ends - each), each) + np.arange(total)]
+        bounds = np.concatenate(([0], ends))[offsets - offsets[0]]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def quick_cut(find: Callable[[str], list[str]]) -> Callable[[str], list[str]]:
+    """``find`` with a short cut for what most pieces are: letters behind a space, before one mark or none."""
+
+    def cut(p: str) -> list[str]:
+        core = p[1:] if p[0] == " " else p
+        if core.isalpha():
+            return [p]
+        if core[-1:] in _MARKS and core[:-1].isalpha():
+            return [p[:-1], p[-1]]
+        return find(p)
+
+    return cut
+
+
+def exact_white(pattern: str) -> str:
+    """A tokenizer's pattern with its white space spelt out, as Python's differs by some control characters."""
+    return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+
+
+def joined_encoder(path: str, led: bool, separator: str, mark: str) -> PieceEncoder:
+    """Pieces through the tokenizers library, many in one text.
+
+    ``separator`` holds ``mark``, whose single id occurs in no piece without it: ids are cut there.  Pieces with
+    the mark or white space inside go one by one, as do all if the count of cuts doesn't come out."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def encode_many(pieces: list[str]) -> Iterable[bytes]:
-        for i in range(0, len(pieces), 4096):
-            for e in tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-
-    return PieceEncoder(cut, encode_many)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    marks = tokenizer.encode(mark, add_special_tokens=False).ids
+
+    def alone(some: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def odd(piece: str) -> bool:
+        return mark in piece or (not piece.isalpha() and bool(_WHITE.search(piece, 1 if led and len(piece) > 1 and piece[0] == " " else 0)))
+
+    def encode_many(pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        singles = [i for i, p in enumerate(pieces) if odd(p)]
+        skip = set(singles)
+        plain = [i for i in range(len(pieces)) if i not in skip] if skip else list(range(len(pieces)))
+        for k in range(0, len(plain), 2048):
+            some = plain[k : k + 2048]
+            ids = np.array(tokenizer.encode_batch_fast([separator.join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == marks[0]) if len(marks) == 1 else ids[:0]
+            if len(at) != len(some) - 1:
+                singles += some
+                continue
+            data = ids.tobytes()
+            for i, a, b in zip(some, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
+                out[i] = data[4 * a : 4 * b]
+        for i, v in zip(singles, alone([pieces[i] for i in singles]), strict=True):
+            out[i] = v
+        return out
+
+    encoder = PieceEncoder(led, encode_many)
+    encoder.tokenizer = tokenizer
+    return encoder
+
+
+def word_end_encoder(path: str) -> PieceEncoder:
+    """For a vocabulary that drops white space and whose words end in ``</w>``.
+
+    Of letters, and of letters before one mark, the number of words is known, so such pieces are told apart by
+    word ends alone; for others a zero byte between spaces is a word of its own."""
+    encoder = joined_encoder(path, False, " \x00 ", "\x00")
+    tokenizer, others = encoder.tokenizer, encoder.encode_many
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+
+    def words_in(p: str) -> int:
+        """1 or 2 where it is sure, 0 elsewhere."""
+        if not (p.isascii() or (len(p.lower()) == len(p) and unicodedata.is_normalized("NFC", p))):
+            return 0
+        return 1 if p.isalpha() else 2 * (p[-1] in _MARKS and p[:-1].isalpha())
+
+    def encode_many(pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        counts = np.fromiter(map(words_in, pieces), np.int64, len(pieces))
+        rest = np.flatnonzero(counts == 0).tolist()
+        sure = np.flatnonzero(counts)
+        for k in range(0, len(sure), 2048):
+            some = sure[k : k + 2048]
+            at = some.tolist()
+            ids = np.array(tokenizer.encode_batch_fast([" ".join([pieces[i] for i in at])], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(ends[ids]) + 1
+            last = np.cumsum(counts[some])
+            if len(stops) != last[-1]:
+                rest += at
+                continue
+            cuts, data = (4 * stops[last - 1]).tolist(), ids.tobytes()
+            for i, a, b in zip(at, [0, *cuts[:-1]], cuts, strict=True):
+                out[i] = data[a:b]
+        for i, v in zip(rest, others([pieces[i] for i in rest]), strict=True):
+            out[i] = v
+        return out
+
+    encoder.encode_many = encode_many
+    return encoder
+
+
+def byte_level_encoder(path: str) -> PieceEncoder:
+    """For a byte-level vocabulary with the common pattern, in which a line break between words stands alone."""
+    return joined_encoder(path, True, "\n", "\n")
 
 
 _ENCODERS: dict = {}

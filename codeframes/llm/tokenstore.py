@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeframes.llm.common import slices, written
-from codeframes.llm.pieces import dropped_space_pieces, shared_encoder, tokenizer_encoder
+from codeframes.llm.pieces import shared_encoder, word_end_encoder
 
 END_ID = 1
 WINDOW = 16
@@ -52,26 +52,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
+def boundaries(ids: np.ndarray, sizes: np.ndarray | None = None) -> list[list[int]]:
+    """Ends of the chunks of each of the id streams that lie in ``ids`` one after the other."""
+    sizes = np.array([len(ids)]) if sizes is None else sizes
     n = len(ids)
     up, down = (x[:n] for x in _powers(1 << max(12, int(n).bit_length())))
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
     mixed ^= mixed >> np.uint64(29)
-    prefix = np.cumsum(mixed * down, dtype=np.uint64)
-    window = prefix.copy()
-    window[WINDOW:] -= prefix[:-WINDOW]
-    marks = np.flatnonzero((window * up) >> np.uint64(64 - MEAN_BITS) == 0) + 1
-    ends, start = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - start > MOST:
-            start += MOST
-            ends.append(start)
-        if m - start >= LEAST or m == n:
-            if m > start:
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * down, dtype=np.uint64)))
+    stops = np.cumsum(sizes)
+    starts = stops - sizes
+    # the window's start, but never before the stream's
+    back = np.maximum(np.arange(1, n + 1) - WINDOW, np.repeat(starts, sizes))
+    window = (prefix[1:] - prefix[back]) * up
+    marks = np.flatnonzero(window >> np.uint64(64 - MEAN_BITS) == 0) + 1
+    cut = np.searchsorted(marks, starts, "right").tolist() + [len(marks)]
+    found = []
+    for k, (first, stop) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+        ends, start, size = [], 0, stop - first
+        for m in [*(marks[cut[k] : cut[k + 1]] - first).tolist(), size]:
+            m = min(m, size)
+            while m - start > MOST:
+                start += MOST
+                ends.append(start)
+            if m > start and (m - start >= LEAST or m == size):
                 ends.append(m)
-            start = m
-    return ends
+                start = m
+        found.append(ends)
+    return found
 
 
 def merkle_root(digests: list[bytes]) -> bytes:
@@ -124,18 +132,17 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> Store:
 
     spark = docs.sparkSession
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), END_ID + 1) <= 1 << 16 else 4
-    end = np.array([END_ID], "<u4").tobytes()
 
     def encode(batches):
-        encoder = shared_encoder(("store", tokenizer_path), lambda: tokenizer_encoder(tokenizer_path, dropped_space_pieces))
+        encoder = shared_encoder(("store", tokenizer_path), lambda: word_end_encoder(tokenizer_path))
         sent: set[bytes] = set()
         for batch in batches:
             for some in slices(batch):
                 digests, sizes, new = [], [], []
-                for packed in encoder.encode(some.column("text").to_pylist()):
-                    ids = np.frombuffer(packed + end, "<u4")
+                streams = [np.append(x, np.uint32(END_ID)) for x in encoder.encode(some.column("text"))]
+                flat = np.concatenate(streams)
+                for ids, ends in zip(streams, boundaries(flat, np.array([len(x) for x in streams])), strict=True):
                     small, at, names, fresh = ids.astype(f"<u{width}").tobytes(), 0, [], []
-                    ends = boundaries(ids)
                     for stop in ends:
                         data = small[at * width : stop * width]
                         names.append(name := hashlib.sha256(data).digest())
@@ -148,7 +155,7 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> Store:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(new, pa.list_(pa.binary()))], names=["doc_id", "digests", "sizes", "new"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    staged = written(rows.mapInArrow(encode, "doc_id long, digests array<binary>, sizes array<int>, new array<binary>"), "store-staged")
+    staged = written(rows.mapInArrow(encode, "doc_id long, digests array<binary>, sizes array<int>, new array<binary>"), "store-staged", codec="zstd")
 
     def once(batches):
         seen: set[bytes] = set()
@@ -161,7 +168,7 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> Store:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = staged.select(F.explode(F.arrays_zip("digests", "new")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.new").alias("ids")).filter("ids IS NOT NULL")
-    chunks = written(pairs.repartition(n, "digest").mapInArrow(once, "digest binary, ids binary"), "store-chunks")
+    chunks = written(pairs.repartition(n, "digest").mapInArrow(once, "digest binary, ids binary"), "store-chunks", codec="zstd")
 
     def recipes(batches):
         from pyspark import TaskContext
