@@ -123,12 +123,28 @@ def hours_minutes(seconds: Column | str) -> Column:
     return F.when(h > 0, F.format_string("%dh %dm", h, m)).otherwise(F.format_string("%dm", m))
 
 
+def _one_digit(n: Column, unit: int) -> Column:
+    """``n / unit`` as a double, printed with one digit as its exact value rounds.
+
+    Only where n is halfway between two tenths does the double's own error decide: 20 times the double, as a sum of
+    two exact products and its rounding error, is compared with the odd number halfway."""
+    tenth = unit // 10
+    low = F.floor(n / tenth).cast("long")
+    rest = n - low * tenth
+    x = n.cast("double") / float(unit)
+    total = x * 16.0 + x * 4.0
+    over = (total - (low * 2 + 1).cast("double")) + (x * 4.0 - (total - x * 16.0))
+    up = (rest * 2 > tenth) | ((rest * 2 == tenth) & ((over > 0) | ((over == 0) & (low % 2 == 1))))
+    tenths = F.when(up, low + 1).otherwise(low)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def size_text(n: Column | str) -> Column:
-    """Decimal units with one digit, half-even like the decimal value of the double."""
+    """Decimal units with one digit."""
     n = _c(n).cast("long")
-    shown = lambda unit, name: F.concat(F.bround(n / unit, 1).cast("decimal(20,1)").cast("string"), F.lit(f" {name}"))
+    shown = lambda unit, name: F.concat(_one_digit(n, unit), F.lit(f" {name}"))
     return (
-        F.when(n >= 10**9, shown(1e9, "GB")).when(n >= 10**6, shown(1e6, "MB")).when(n >= 10**3, shown(1e3, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+        F.when(n >= 10**9, shown(10**9, "GB")).when(n >= 10**6, shown(10**6, "MB")).when(n >= 10**3, shown(10**3, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from codeframes.schemas import Box
 
@@ -53,7 +54,7 @@ def hash_of(image: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def perceptual_hash(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([hash_of(pixels(h, w, c, d)) for h, w, c, d in zip(height, width, channels, data, strict=True)], dtype="int64")
 
@@ -67,7 +68,7 @@ def inside(box: Box, height: Column, width: Column) -> Column:
 def crop(images: DataFrame, box: Box) -> DataFrame:
     """The same rows with the region's pixels; an empty region or one beyond the image is an error."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def cut(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
         rows = zip(height, width, channels, data, strict=True)
         return pd.Series([pixels(h, w, c, d)[box.y : box.y + box.height, box.x : box.x + box.width].tobytes() for h, w, c, d in rows])
@@ -94,6 +95,6 @@ def png_bytes(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def png(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([png_bytes(pixels(h, w, c, d)) for h, w, c, d in zip(height, width, channels, data, strict=True)])
