@@ -135,14 +135,13 @@ def replay_encoder(ranks_path: str, pattern: str) -> PieceEncoder:
     find = regex.compile(exact_white(pattern)).findall
     replay = MergeReplay(load_ranks(ranks_path))
 
-    words = PieceEncoder(True, lambda new: (np.array(x, "<u4").tobytes() for x in replay.encode([w.encode() for w in new])))
     cut = quick_cut(find)
 
     def encode_many(pieces: list[str]) -> list[bytes]:
         cuts = [cut(p) for p in pieces]
-        distinct = list({w for c in cuts for w in c})
-        ids = dict(zip(distinct, words.look_up(distinct), strict=True))
-        return [b"".join(map(ids.__getitem__, c)) for c in cuts]
+        words = list({w for c in cuts for w in c})
+        ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, replay.encode([w.encode() for w in words]), strict=True)}
+        return [ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c)) for c in cuts]
 
     encoder = PieceEncoder(True, encode_many)
     encoder.vocab = replay.vocab
@@ -156,7 +155,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def work(batches):
         encoder = shared_encoder(("bpe", ranks_path, pattern), lambda: replay_encoder(ranks_path, pattern))
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows=4096, size=8 << 20):
                 ids = [x.astype(np.int32) for x in encoder.encode(some.column("text"))]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -175,7 +174,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         encoder = shared_encoder(("bpe", ranks_path, pattern), lambda: replay_encoder(ranks_path, pattern))
         vocab, names = encoder.vocab, encoder.names
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows=4096, size=8 << 20):
                 sizes, digests, decoded = [], [], []
                 for ids in encoder.encode(some.column("text")):
                     sizes.append(len(ids))

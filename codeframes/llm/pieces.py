@@ -21,8 +21,11 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 #: white space up to where the next such piece begins.  No match of those patterns crosses a piece's border.
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _WHITE = re.compile(f"[{WHITE}]")
+_RE2_WHITE = WHITE.replace(r"\t-\r", "\t-\r").replace(r"\x85\xa0", "\x85\xa0")
 # A space between other white space: only without it are a text's pieces those that single spaces lead.
-_MIXED = f"[{WHITE}] (?:[{WHITE}]|$)".replace(r"\t-\r", "\t-\r").replace(r"\x85\xa0", "\x85\xa0")
+_MIXED = f"[{_RE2_WHITE}] (?:[{_RE2_WHITE}]|$)"
+GLUE = "\x01"
+_MARK = "[.,;:!?]"
 _MARKS = frozenset(".,;:!?")
 
 CACHE_LIMIT = 450_000
@@ -31,12 +34,13 @@ CACHE_LIMIT = 450_000
 class PieceEncoder:
     """``encode_many`` gives the ids of pieces as little-endian unsigned 32-bit bytes.
 
-    With ``led``, the space before a piece belongs to it; else spaces and line breaks only separate.
+    With ``led``, the space before a piece belongs to it; else spaces and line breaks only separate, and a mark after
+    a word is a piece of its own.  ``lower`` is for vocabularies that lower-case anyway.
     The cache only saves time: it has two generations of ``limit`` pieces, and what the older one holds and is
     asked for again moves to the younger."""
 
-    def __init__(self, led: bool, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_LIMIT):
-        self.led, self.encode_many, self.limit = led, encode_many, limit
+    def __init__(self, led: bool, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_LIMIT, lower: bool = False):
+        self.led, self.encode_many, self.limit, self.lower = led, encode_many, limit, lower
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -63,13 +67,14 @@ class PieceEncoder:
         """Ids of each text; null texts are empty."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.led:
-            return self._split(pc.split_pattern(pc.replace_substring(column, "\n", " "), " "))
-        mixed = pc.match_substring_regex(column, _MIXED).to_numpy(zero_copy_only=False)
+            plain = pc.replace_substring(pc.ascii_lower(column) if self.lower else column, "\n", " ")
+            return self._split(pc.split_pattern(pc.replace_substring_regex(plain, rf"(\pL)({_MARK}) ", r"\1 \2 "), " "))
+        mixed = pc.or_(pc.match_substring_regex(column, _MIXED), pc.match_substring(column, GLUE)).to_numpy(zero_copy_only=False)
         if not mixed.any():
-            return self._split(pc.split_pattern(column, " "))
+            return self._split(self._glued(column))
         out: list = [None] * len(column)
         plain = np.flatnonzero(~mixed)
-        for i, ids in zip(plain, self._split(pc.split_pattern(column.take(pa.array(plain)), " ")) if len(plain) else (), strict=True):
+        for i, ids in zip(plain, self._split(self._glued(column.take(pa.array(plain)))) if len(plain) else (), strict=True):
             out[i] = ids
         for i in np.flatnonzero(mixed):
             pieces = SPACED.findall(column[int(i)].as_py())
@@ -78,6 +83,14 @@ class PieceEncoder:
             out[i] = np.frombuffer(b"".join(map(ids.__getitem__, pieces)), "<u4")
         return out
 
+    @staticmethod
+    def _glued(column: pa.Array) -> pa.ListArray:
+        """Parts between single spaces; a mark after a word, a line break and the word after it become parts of their
+        own, which a leading ``GLUE`` tells from those that a space leads."""
+        marked = pc.replace_substring_regex(column, rf"(\pL)({_MARK})([ \n])", rf"\1 {GLUE}\2\3")
+        broken = pc.replace_substring_regex(marked, f"([^{_RE2_WHITE}])\n([^{_RE2_WHITE}])", rf"\1 {GLUE}\n {GLUE}\2".replace(r"\n", "\n"))
+        return pc.split_pattern(broken, " ")
+
     def _split(self, lists: pa.ListArray) -> list[np.ndarray]:
         """Ids of texts that were split at single spaces."""
         offsets = lists.offsets.to_numpy()
@@ -87,7 +100,7 @@ class PieceEncoder:
             firsts = offsets[:-1]
             heads, back = np.unique(index[firsts - offsets[0]], return_inverse=True)
             index[firsts - offsets[0]] = len(parts) + back
-            pieces = [" " + p for p in parts] + [parts[h] for h in heads]
+            pieces = [p[1:] if p[:1] == GLUE else " " + p for p in parts] + [parts[h] for h in heads]
         else:
             pieces = parts
         values = self.look_up(pieces)
@@ -166,7 +179,7 @@ def joined_encoder(path: str, led: bool, separator: str, mark: str) -> PieceEnco
 
 
 def word_end_encoder(path: str) -> PieceEncoder:
-    """For a vocabulary that drops white space and whose words end in ``</w>``.
+    """For a lower-casing vocabulary that drops white space and whose words end in ``</w>``.
 
     Of letters, and of letters before one mark, the number of words is known, so such pieces are told apart by
     word ends alone; for others a zero byte between spaces is a word of its own."""
@@ -203,7 +216,7 @@ def word_end_encoder(path: str) -> PieceEncoder:
             out[i] = v
         return out
 
-    encoder.encode_many = encode_many
+    encoder.encode_many, encoder.lower = encode_many, True
     return encoder
 
 

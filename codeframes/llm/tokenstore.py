@@ -137,7 +137,7 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> Store:
         encoder = shared_encoder(("store", tokenizer_path), lambda: word_end_encoder(tokenizer_path))
         sent: set[bytes] = set()
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows=4096, size=8 << 20):
                 digests, sizes, new = [], [], []
                 streams = [np.append(x, np.uint32(END_ID)) for x in encoder.encode(some.column("text"))]
                 flat = np.concatenate(streams)
