@@ -27,6 +27,10 @@ from codeframes.llm.common import slices
 from codeframes.llm.pieces import PieceEncoder, exact_white, quick_cut, shared_encoder
 
 
+#: Pairs whose outcome is remembered between blocks.
+PAIR_LIMIT = 2_000_000
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -52,18 +56,30 @@ class MergeReplay:
         self.bytes_to_id = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
 
-    def merged(self, a: int, b: int) -> int:
-        """The id that a pair merges to, or -1."""
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
+    def merged(self, key: int) -> int:
+        """The id that a pair (the first id in the high bits) merges to, or -1."""
+        found = self.pairs[key] = self.ranks.get(self.vocab[key >> 32] + self.vocab[key & 0xFFFFFFFF], -1)
         return found
 
+    def _first_index(self, symbols: list[int], spans: list[tuple[int, int, int]]) -> dict[int, list[int]]:
+        """Mergeable pairs of the words as they begin: rank -> positions, from the distinct pairs alone."""
+        if len(self.pairs) > PAIR_LIMIT:
+            self.pairs.clear()
+        s = np.array(symbols, np.int64)
+        if len(s) < 2:
+            return {}
+        inside = np.ones(len(s), bool)
+        inside[np.array([b - 1 for _, a, b in spans if b > a], np.int64)] = False
+        at = np.flatnonzero(inside)
+        keys, back = np.unique(s[at] << 32 | s[at + 1], return_inverse=True)
+        found = np.array([self.merged(k) for k in keys.tolist()], np.int64)[back] if len(at) else at
+        at, found = at[found >= 0], found[found >= 0]
+        order = np.argsort(found, kind="stable")
+        ids, first = np.unique(found[order], return_index=True)
+        return {i: part.tolist() for i, part in zip(ids.tolist(), np.split(at[order], first[1:]), strict=True)} if len(ids) else {}
+
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        to_id, merged, ranks = self.bytes_to_id, self.merged, self.ranks
+        to_id, merged, ranks, known = self.bytes_to_id, self.merged, self.ranks, self.pairs.get
         out: list[list[int] | None] = [None] * len(words)
         symbols: list[int] = []
         spans: list[tuple[int, int, int]] = []
@@ -78,47 +94,47 @@ class MergeReplay:
         for _, a, b in spans:
             if b > a:
                 before[a] = after[b - 1] = -1
-        index: dict[int, list[int]] = {}
-        for _, a, b in spans:
-            for p in range(a, b - 1):
-                if (r := merged(symbols[p], symbols[p + 1])) >= 0:
-                    if r in index:
-                        index[r].append(p)
-                    else:
-                        index[r] = [p]
+        index = self._first_index(symbols, spans)
         heap = list(index)
         heapq.heapify(heap)
         odd: list[int] = []
+
+        def note(new: int, at: int) -> None:
+            """A pair that a merge has made goes to the index under its own rank."""
+            if new < rank:
+                odd.append(at)
+            elif new in index:
+                index[new].append(at)
+            else:
+                index[new] = [at]
+                heapq.heappush(heap, new)
+
         while heap:
             rank = heapq.heappop(heap)
-            for p in sorted(index.pop(rank, ())):
+            places = index.pop(rank, ())
+            for p in sorted(places) if len(places) > 1 else places:
                 q = after[p]
-                if q < 0 or symbols[p] < 0 or merged(symbols[p], symbols[q]) != rank:
+                s = symbols[p]
+                if q < 0 or s < 0 or known(s << 32 | symbols[q]) != rank:
                     continue  # one of the two went into another symbol
                 symbols[p], symbols[q] = rank, -1
                 r = after[p] = after[q]
                 if r >= 0:
                     before[r] = p
-                    new = merged(rank, symbols[r])
+                    key = rank << 32 | symbols[r]
+                    new = known(key)
+                    if new is None:
+                        new = merged(key)
                     if new >= 0:
-                        if new < rank:
-                            odd.append(p)
-                        elif new in index:
-                            index[new].append(p)
-                        else:
-                            index[new] = [p]
-                            heapq.heappush(heap, new)
-                l = before[p]  # noqa: E741
-                if l >= 0:
-                    new = merged(symbols[l], rank)
+                        note(new, p)
+                r = before[p]
+                if r >= 0:
+                    key = symbols[r] << 32 | rank
+                    new = known(key)
+                    if new is None:
+                        new = merged(key)
                     if new >= 0:
-                        if new < rank:
-                            odd.append(p)
-                        elif new in index:
-                            index[new].append(l)
-                        else:
-                            index[new] = [l]
-                            heapq.heappush(heap, new)
+                        note(new, r)
         for w, a, b in spans:
             out[w] = [s for s in symbols[a:b] if s >= 0]
         if odd:
