@@ -1,6 +1,6 @@
 """Best-fit packing with bounded space: token sequences of at most ``CAPACITY`` ids.
 
-A packer keeps at most ``OPEN_BINS`` bins.  A bitset has a bit for each amount of free space that some open bin
+A packer keeps at most ``OPEN_BINS`` bins, and takes arriving pieces ``LOOKAHEAD`` at a time, the longest first.  A bitset has a bit for each amount of free space that some open bin
 has; the best fit is the lowest set bit at or above the piece's length.  If no bin fits and all are open, the
 fullest closes first.  Pieces reach packers by a hash of their document, ``PER_PACKER`` or so to each, in the
 order of that hash, so packing again gives the same sequences; each packer leaves at most ``OPEN_BINS`` bins
@@ -23,7 +23,8 @@ from codeframes.llm.common import slices, written
 from codeframes.llm.pieces import byte_level_encoder, shared_encoder
 
 CAPACITY = 2048
-OPEN_BINS = 256
+OPEN_BINS = 1024
+LOOKAHEAD = 1024
 PER_PACKER = 131_072
 END_ID = 0
 
@@ -103,11 +104,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     def work(batches):
         from pyspark import TaskContext
 
-        base, packer = TaskContext.get().partitionId() << 40, Packer(capacity, open_bins)
+        base, packer, names = TaskContext.get().partitionId() << 40, Packer(capacity, open_bins), ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+        def placed(block: pa.Table) -> pa.RecordBatch:
+            lengths = block.column("length").to_numpy()
+            bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                bins[i], offsets[i] = packer.place(int(lengths[i]))
+            columns = [block.column(c).combine_chunks() for c in names]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(base + bins), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            placed = [packer.place(n) for n in batch.column("length").to_pylist()]
-            seq = pa.array([base + b for b, _ in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), seq, pa.array([o for _, o in placed], pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= LOOKAHEAD:
+                rows = pa.Table.from_batches(held)
+                whole = rows.num_rows - rows.num_rows % LOOKAHEAD
+                for i in range(0, whole, LOOKAHEAD):
+                    yield placed(rows.slice(i, LOOKAHEAD))
+                held = rows.slice(whole).to_batches()
+        if held:
+            yield placed(pa.Table.from_batches(held))
 
     order = F.xxhash64("doc_id", "ids_crc32")
     dealt = pieces.withColumn("__order", order).repartition(packers, "__order").sortWithinPartitions("__order", "doc_id", "piece", "start")
