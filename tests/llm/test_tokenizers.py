@@ -162,6 +162,16 @@ def check_sequences(rows, capacity=2048):
     return at
 
 
+def test_sequences_are_nearly_full(spark):
+    rng = random.Random(0)
+    lengths = [min(2048, int(rng.lognormvariate(6.2, 1.1)) + 1) for _ in range(9000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE_SCHEMA)
+    got = packing.pack(pieces).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    fill = check_sequences([(r.sequence_id, r.offset, r.length) for r in got])
+    assert len(fill) <= 1.005 * sum(lengths) / 2048 + 1
+
+
 def test_bounds():
     assert packing.piece_bounds(2048) == [(0, 2048)] and packing.piece_bounds(4096) == [(0, 2048), (2048, 2048)]
     assert packing.piece_bounds(2049) == [(0, 1), (1, 2048)] and packing.piece_bounds(1) == [(0, 1)]
