@@ -3,14 +3,14 @@
 The 64 fingerprint bits lie on a ring of ``SEGMENTS`` segments.  Two fingerprints within ``TAU`` bits must have
 a segment from which every chain of l consecutive segments differs in at most ``floor(l * TAU / SEGMENTS)``
 bits (the pigeonring principle).  With five segments and four bits the budgets are 0, 1, 2, 3, 4: one segment
-is equal, and the next one differs in at most one bit.  That two-segment chain is the bucket key (26 bits; each
-fingerprint goes to its own key and to those one flip away in the second segment), the longer chains prune
-the pairs within a bucket, and only pairs that pass get the full Hamming check.
+is equal, and the next one differs in at most one bit.  The equal segment is the bucket key of the shuffle (five
+rows a fingerprint); within a bucket each fingerprint goes to the sub-bucket of its next segment and to those one
+flip away, which makes the two-segment chain; longer chains prune the pairs of a sub-bucket, and only pairs that
+pass get the full Hamming check.
 
 A bucket never yields all its pairs: pairs that link are merged at once, and the bucket returns one edge from
-each member to the smallest fingerprint of its part.  Large buckets are searched breadth first, so that a dense
-group costs little more than a pass, and are first cut by a further equal sub-segment.  Components come from
-alternating large-star and small-star steps on tables in the shared folder.
+each member to the smallest fingerprint of its part.  Large sub-buckets are searched breadth first, so that a dense
+group costs little more than a pass.  Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; rows that repeat a
 doc_id get the same component; a null doc_id never names a component while the component has another id.
@@ -89,18 +89,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
-def chain_keys() -> list:
-    """Columns of all bucket keys of ``fp``: start segment, its bits, the next one's bits as they are and with one flip."""
-    keys, m = [], len(WIDTHS)
-    for i in range(m):
-        j = (i + 1) % m
-        base = F.col("fp").bitwiseAND(F.lit(signed(MASKS[i] | MASKS[j])))
-        for flip in (0, *(1 << (SHIFTS[j] + b) for b in range(WIDTHS[j]))):
-            pair = base.bitwiseXOR(F.lit(signed(flip))) if flip else base
-            # the start goes to bits of a segment that the key leaves free
-            free = SHIFTS[(i + 3) % m]
-            keys.append(pair.bitwiseOR(F.lit(signed((i + 1) << free))))
-    return keys
+def segment_keys() -> list:
+    """Columns of the bucket keys of ``fp``: the start segment's number and bits."""
+    bits = lambda i: F.shiftrightunsigned("fp", SHIFTS[i]).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1))
+    return [bits(i).bitwiseOR(F.lit((i + 1) << 16)).cast("int") for i in range(len(WIDTHS))]
+
+
+def chained(keys: np.ndarray, fps: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Edges of whole buckets: each fingerprint goes to the sub-bucket of its next segment and to those one flip away,
+    some of the sub-buckets at a time where they are many."""
+    j = (keys.astype(np.int64) >> 16) % len(WIDTHS)  # the number is one more than the segment, so this is the next
+    shifts, widths = np.array(SHIFTS, np.uint64)[j], np.array(WIDTHS)[j]
+    nexts = ((fps >> shifts) & np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)[j]).astype(np.int64)
+    base = keys.astype(np.int64) << 16 | nexts
+    turns = max(WIDTHS) + 1
+    pieces = -(-len(keys) * turns // most)
+    out = []
+    for piece in range(pieces):
+        some = []
+        for flip in range(turns):
+            at = np.flatnonzero(widths >= flip)
+            sub = base[at] ^ (1 << flip >> 1)
+            if pieces > 1:
+                mine = sub % pieces == piece
+                at, sub = at[mine], sub[mine]
+            some.append((sub, fps[at]))
+        sub, found = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.argsort(sub, kind="stable")
+        out.append(buckets(sub[order], found[order]))
+    return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
 def chains_hold(diff: np.ndarray) -> np.ndarray:
@@ -167,7 +184,7 @@ def buckets(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
 def edges(classes: DataFrame) -> DataFrame:
     """Edges a > b (unsigned order) that connect all distinct fingerprints within TAU bits of each other."""
     spark = classes.sparkSession
-    keyed = classes.select(F.explode(F.array(*chain_keys())).alias("key"), "fp")
+    keyed = classes.select(F.explode(F.array(*segment_keys())).alias("key"), "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches):
@@ -182,11 +199,11 @@ def edges(classes: DataFrame) -> DataFrame:
                 continue
             cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
             if cut:
-                yield rows(buckets(np.concatenate([*(k for k, _ in held), keys[:cut]]), np.concatenate([*(f for _, f in held), fps[:cut]])))
+                yield rows(chained(np.concatenate([*(k for k, _ in held), keys[:cut]]), np.concatenate([*(f for _, f in held), fps[:cut]])))
                 held = []
             held.append((keys[cut:], fps[cut:]))
         if held:
-            yield rows(buckets(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])))
+            yield rows(chained(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])))
 
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(work, "a long, b long").distinct()
 
@@ -228,11 +245,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group: that of the smallest doc_id; of rows that repeat a doc_id one stays.
 
-    Text moves once, by doc_id; a null doc_id stays only in a group without other ids."""
+    What goes is usually the shorter list, so rows are held against that; its table has a known size, by which
+    Spark broadcasts it or moves the text once, by doc_id.  Rows without an id count as repeats of each other."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    keepers = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct(), "simhash-keepers")
+    kept = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = written(found.groupBy("doc_id").agg(kept.alias("kept")).filter("not kept").select(F.col("doc_id").alias("__gone")), "simhash-gone")
     id_ = F.col("__row.doc_id").cast("long")
-    rows = docs.select(F.struct("*").alias("__row")).join(keepers, id_.eqNullSafe(F.col("__keep")), "left_semi")
+    rows = docs.select(F.struct("*").alias("__row")).join(gone, id_.eqNullSafe(F.col("__gone")), "left_anti")
     one = rows.groupBy(id_.alias("__id")).agg(F.first("__row").alias("__row")) if _repeats(docs) else rows
     return one.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
 
