@@ -171,7 +171,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def work(batches):
         encoder = shared_encoder(("bpe", ranks_path, pattern), lambda: replay_encoder(ranks_path, pattern))
         for batch in batches:
-            for some in slices(batch, rows=4096, size=8 << 20):
+            for some in slices(batch, rows=4096, size=6 << 20):
                 ids = [x.astype(np.int32) for x in encoder.encode(some.column("text"))]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -190,7 +190,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         encoder = shared_encoder(("bpe", ranks_path, pattern), lambda: replay_encoder(ranks_path, pattern))
         vocab, names = encoder.vocab, encoder.names
         for batch in batches:
-            for some in slices(batch, rows=4096, size=8 << 20):
+            for some in slices(batch, rows=4096, size=6 << 20):
                 sizes, digests, decoded = [], [], []
                 for ids in encoder.encode(some.column("text")):
                     sizes.append(len(ids))

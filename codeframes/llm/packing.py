@@ -84,7 +84,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataF
     def work(batches):
         encoder = shared_encoder(("packing", tokenizer_path), lambda: byte_level_encoder(tokenizer_path))
         for batch in batches:
-            for some in slices(batch, rows=4096, size=8 << 20):
+            for some in slices(batch, rows=4096, size=6 << 20):
                 rows = []
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")), strict=True):
                     ids = ids.tobytes() + end

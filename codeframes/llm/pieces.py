@@ -28,7 +28,7 @@ GLUE = "\x01"
 _MARK = "[.,;:!?]"
 _MARKS = frozenset(".,;:!?")
 
-CACHE_LIMIT = 450_000
+CACHE_LIMIT = 300_000
 
 
 class PieceEncoder:
@@ -95,7 +95,7 @@ class PieceEncoder:
         """Ids of texts that were split at single spaces."""
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        index, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, parts = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
         if self.led:  # a text's first part has no space before it
             firsts = offsets[:-1]
             heads, back = np.unique(index[firsts - offsets[0]], return_inverse=True)
@@ -105,12 +105,14 @@ class PieceEncoder:
             pieces = parts
         values = self.look_up(pieces)
         flat = np.frombuffer(b"".join(values), "<u4")
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes[index]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int32)  # a slice of texts is far below 2^31 ids
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[index] - (ends - each), each) + np.arange(total)]
+        at = np.repeat(starts[index] - (ends - each), each)
+        at += np.arange(total, dtype=np.int32)
+        ids = flat[at]
         bounds = np.concatenate(([0], ends))[offsets - offsets[0]]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 

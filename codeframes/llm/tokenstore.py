@@ -39,15 +39,15 @@ WINDOW = 16
 MEAN_BITS = 9
 LEAST, MOST = 64, 4096
 
-# Fixed values of the rolling hash: odd 64-bit multipliers.
-_MIX, _BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+# Fixed values of the rolling hash: odd 32-bit multipliers.
+_MIX, _BASE = 0x9E3779B1, 0x85EBCA6B
 _POLYNOMIAL = 0xEDB88320  # of crc32, bits reversed
 
 
 @lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up = np.full(n, _BASE, np.uint32)
+    down = np.full(n, pow(_BASE, -1, 1 << 32), np.uint32)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -57,15 +57,20 @@ def boundaries(ids: np.ndarray, sizes: np.ndarray | None = None) -> list[list[in
     sizes = np.array([len(ids)]) if sizes is None else sizes
     n = len(ids)
     up, down = (x[:n] for x in _powers(1 << max(12, int(n).bit_length())))
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
-    mixed ^= mixed >> np.uint64(29)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * down, dtype=np.uint64)))
+    mixed = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(_MIX)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= down
+    prefix = np.zeros(n + 1, np.uint32)
+    np.cumsum(mixed, dtype=np.uint32, out=prefix[1:])
+    window = prefix[1:].copy()
+    window[WINDOW:] -= prefix[1 : max(1, n + 1 - WINDOW)]
     stops = np.cumsum(sizes)
     starts = stops - sizes
-    # the window's start, but never before the stream's
-    back = np.maximum(np.arange(1, n + 1) - WINDOW, np.repeat(starts, sizes))
-    window = (prefix[1:] - prefix[back]) * up
-    marks = np.flatnonzero(window >> np.uint64(64 - MEAN_BITS) == 0) + 1
+    for r in range(WINDOW - 1):  # no window begins before its stream
+        at = starts[sizes > r]
+        window[at + r] = prefix[at + r + 1] - prefix[at]
+    window *= up
+    marks = np.flatnonzero(window >> np.uint32(32 - MEAN_BITS) == 0) + 1
     cut = np.searchsorted(marks, starts, "right").tolist() + [len(marks)]
     found = []
     for k, (first, stop) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
@@ -137,7 +142,7 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> Store:
         encoder = shared_encoder(("store", tokenizer_path), lambda: word_end_encoder(tokenizer_path))
         sent: set[bytes] = set()
         for batch in batches:
-            for some in slices(batch, rows=4096, size=8 << 20):
+            for some in slices(batch, rows=4096, size=6 << 20):
                 digests, sizes, new = [], [], []
                 streams = [np.append(x, np.uint32(END_ID)) for x in encoder.encode(some.column("text"))]
                 flat = np.concatenate(streams)
@@ -212,16 +217,17 @@ def read_documents(store: Store) -> DataFrame:
     spark = store.recipes.sparkSession
     steps = store.recipes.select("part", "pos", F.posexplode("digests").alias("k", "digest"))
     found = steps.join(verified_chunks(store), "digest", "left").groupBy("part", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "n", "crc", "digest"))).alias("steps"))
-    whole = store.recipes.select("part", "pos", "doc_id", "before", "root").join(found, ["part", "pos"])
+    each = lambda name: F.transform("steps", lambda s: s[name]).alias(name)
+    whole = store.recipes.select("part", "pos", "doc_id", "before", "root").join(found, ["part", "pos"]).select("part", "doc_id", "before", "root", each("n"), each("crc"), each("digest"))
 
     def work(batches):
         for batch in batches:
             sizes, crcs = [], []
-            for steps, root in zip(batch.column("steps").to_pylist(), batch.column("root").to_pylist(), strict=True):
-                if any(s["n"] is None for s in steps) or merkle_root([s["digest"] for s in steps]) != root:
+            for n, crc, digests, root in zip(*(batch.column(c).to_pylist() for c in ("n", "crc", "digest", "root")), strict=True):
+                if None in n or merkle_root(digests) != root:
                     raise ValueError("a recipe doesn't match its stored chunks")
-                sizes.append(sum(s["n"] for s in steps))
-                crcs.append(crc_of_parts([(s["crc"], 4 * s["n"]) for s in steps]))
+                sizes.append(sum(n))
+                crcs.append(crc[0] if len(n) == 1 else crc_of_parts([(c, 4 * k) for c, k in zip(crc, n, strict=True)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "before")), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     # one row per part, whose number is that of the range partitions
