@@ -78,14 +78,18 @@ def _versions(docs: DataFrame) -> DataFrame:
 
 def extend_ledger(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """Rows for the blobs of ``paths`` (path, blob of every version) that ``ledger`` lacks under ``version``."""
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("rep"))
+    firsts = paths.groupBy("blob").agg(F.min("path").alias("first"))
     if ledger is not None:
-        blobs = blobs.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    rows, blobs = _versions(docs).alias("v"), blobs.alias("b")
-    one = rows.join(blobs.hint("shuffle_hash"), F.col("v.path").eqNullSafe(F.col("b.rep")) & (F.col("v.blob") == F.col("b.blob")))
-    return (
-        one.select("v.blob", F.lit(version).alias("rule_version"), spans(F.col("v.text"), rules).alias("spans")).dropDuplicates(["blob"])
-    )
+        firsts = firsts.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+    firsts = firsts.withColumnRenamed("blob", "new_blob")
+    due = F.col("path").eqNullSafe(F.col("first")) & F.col("new_blob").isNotNull()
+    marked = written(paths.join(firsts, F.col("blob") == F.col("new_blob"), "left").select("path", "blob", due.alias("due")).distinct(), "secret-due")
+    # the shorter list is held against the rows: its table has a known size, by which Spark broadcasts it or not
+    n_due = marked.filter("due").count()
+    short = n_due <= marked.count() - n_due
+    chosen = written(marked.filter("due" if short else "not due").select(F.col("path").alias("p"), F.col("blob").alias("b")), "secret-chosen")
+    one = _versions(docs).join(chosen, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi" if short else "left_anti")
+    return one.select("blob", F.lit(version).alias("rule_version"), spans(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
