@@ -1,4 +1,5 @@
-"""``python -m codeframes.cli extract FRAMES --readings TABLE [...]``: the plan over tables of frames and readings.
+"""``python -m codeframes.cli extract FRAMES --readings TABLE [...]``: the plan over tables of frames and readings;
+``bench PREDICTIONS``: the comparison of backends.
 
 FRAMES is a parquet table of video_id, path, timestamp_ms and phash, and READINGS one of video_id, path, text and
 confidence.  ``--second`` names a table of second readings for doubtful frames.  Exit codes: 0 done, 1 failed with
@@ -18,7 +19,11 @@ from codeframes.schemas import Settings
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeframes", description="Recover code from tables of screen captures.")
     p.add_argument("--version", action="version", version=__version__)
-    e = p.add_subparsers(dest="command").add_parser("extract", help="merge readings into scripts with provenance")
+    commands = p.add_subparsers(dest="command")
+    b = commands.add_parser("bench", help="compare backends over labelled frames")
+    b.add_argument("predictions", help="parquet table of backend, name, truth, text and error")
+    b.add_argument("--order", help="backends by preference, with commas; the first wins ties")
+    e = commands.add_parser("extract", help="merge readings into scripts with provenance")
     e.add_argument("frames")
     e.add_argument("--readings", required=True)
     e.add_argument("--second")
@@ -58,13 +63,31 @@ def extract(args: argparse.Namespace) -> str:
     return sinks.summary(totals | {"total_time": time.perf_counter() - start})
 
 
+def bench(args: argparse.Namespace) -> tuple[str, int]:
+    """The report, and 0 if there is a winner."""
+    from pyspark.sql import SparkSession
+
+    from codeframes.operators import evaluate
+
+    predictions = SparkSession.builder.appName("codeframes").getOrCreate().read.parquet(args.predictions)
+    report = evaluate.benchmark(evaluate.score_predictions(predictions)).cache()
+    names = sorted(r.backend for r in report.select("backend").collect())
+    asked = args.order.split(",") if args.order else []
+    shown = evaluate.format_report(report, [*asked, *(n for n in names if n not in asked)])
+    return shown, 0 if names else 1
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     p = parser()
     args = p.parse_args(argv)
-    if args.command != "extract":
+    if args.command is None:
         p.print_usage(sys.stderr)
         return 2
     try:
+        if args.command == "bench":
+            shown, code = bench(args)
+            print(shown)
+            return code
         print(extract(args))
     except Exception as e:  # noqa: BLE001  one line for any failure
         print(f"codeframes: error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)

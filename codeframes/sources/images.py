@@ -98,3 +98,10 @@ def png_bytes(image: np.ndarray) -> bytes:
 @F.pandas_udf(BinaryType())
 def png(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([png_bytes(pixels(h, w, c, d)) for h, w, c, d in zip(height, width, channels, data, strict=True)])
+
+
+def crop_files(images: DataFrame, box: Box) -> DataFrame:
+    """name, content: the cropped region of each image (path, timestamp_ms and pixels) as a PNG file."""
+    sides = [F.lit(v) for v in (box.x, box.y, box.width, box.height)]
+    cut = crop(images, box)
+    return cut.select(crop_name(F.col("path"), F.col("timestamp_ms"), *sides).alias("name"), png("height", "width", "channels", "data").alias("content"))

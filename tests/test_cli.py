@@ -24,3 +24,13 @@ def test_extract(spark, tmp_path, capsys):
     shown = capsys.readouterr().out
     assert "Passed scoring gate:" in shown and "Snippets merged:" in shown
     assert next((tmp_path / "o/scripts/video_id=v").glob("part-*")).read_text() == "import os\n"
+
+
+def test_bench(spark, tmp_path, capsys):
+    schema = "backend string, name string, truth string, text string, error string"
+    spark.createDataFrame([("a", "1", "x = 1", "x", None), ("b", "1", "x = 1", "x = 1", None), ("c", "1", "x", "x", "gone")], schema).write.parquet(str(tmp_path / "p"))
+    assert cli.main(["bench", str(tmp_path / "p")]) == 0
+    assert "Winner: b  (recommended default, over 1 labeled frame(s))" in capsys.readouterr().out
+    spark.createDataFrame([("c", "1", "x", "x", "gone")], schema).write.parquet(str(tmp_path / "q"))
+    assert cli.main(["bench", str(tmp_path / "q")]) == 1
+    assert "no backends benchmarked" in capsys.readouterr().out

@@ -112,3 +112,25 @@ def test_stream_keeps_what_the_batch_keeps(spark, tmp_path):
     got = {r.path for r in spark.table("kept").collect()}
     assert got == {r.path for r in want.collect()}
     assert spark.table("kept").select(F.count_distinct("path")).first()[0] == len(got)
+
+
+def test_backends_of_boxes_and_replies(spark):
+    from codeframes.plans.backends import AnnotationBackend, TranscriptBackend, requests
+    from codeframes.schemas import ANNOTATIONS
+
+    frames = spark.createDataFrame([("v", 0, "/a", 0), ("v", 1, "/b", 1)], "video_id string, seq bigint, path string, timestamp_ms bigint")
+    boxes = spark.createDataFrame([("v", "/a", 0, 100, 100, [("y", "0.5", [0.5, 0.8, 0.1, 0.1]), ("x", "1.0", [0.1, 0.8, 0.1, 0.1])]), ("v", "/b", 1, 100, 100, [])], ANNOTATIONS)
+    got = {r.path: (r.text, r.confidence, r.backend) for r in AnnotationBackend("ocr", boxes).read(frames).collect()}
+    assert got == {"/a": ("x y", 0.75, "ocr"), "/b": ("", 0.0, "ocr")}
+    replies = spark.createDataFrame([("v", "/a", "```py\nx = [?]\n```", "stop"), ("v", "/b", None, "length")], "video_id string, path string, content string, finish_reason string")
+    got = {r.path: (r.text, round(r.confidence, 9), r.backend) for r in TranscriptBackend("model", replies).read(frames).collect()}
+    assert got == {"/a": ("x = [?]", 0.8, "model"), "/b": ("", 0.1, "model")}
+    asked = requests(spark.createDataFrame([("a.jpg", b"12")], "path string, content binary"), "read").first().request
+    assert json.loads(asked)["user"][0]["image_url"]["url"] == "data:image/jpeg;base64,MTI="
+
+
+def test_crop_files(spark):
+    pixels = np.arange(48, dtype=np.uint8).tobytes()
+    df = spark.createDataFrame([("/x/a.png", 5, 4, 4, 3, pixels)], "path string, timestamp_ms bigint, height int, width int, channels int, data binary")
+    row = images.crop_files(df, Box(1, 1, 2, 2)).first()
+    assert row.name.startswith("a_5_") and row.name.endswith("_1_1_2_2.png") and row.content[:4] == b"\x89PNG"
