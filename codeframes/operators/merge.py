@@ -32,12 +32,13 @@ def cluster(extractions: DataFrame, similarity_threshold: float = SIMILARITY) ->
         new = at == 0
         seeds = F.when(new, F.concat(acc["seeds"], F.array(x["norm"]))).otherwise(acc["seeds"])
         found = F.when(new, F.size(acc["seeds"])).otherwise(at - 1)
-        return F.struct(seeds.alias("seeds"), F.concat(acc["ids"], F.array(F.struct(x["seq"].alias("seq"), found.alias("cluster_id")))).alias("ids"))
+        return F.struct(seeds.alias("seeds"), F.concat(acc["ids"], F.array(found)).alias("ids"))
 
-    zero = F.struct(F.array().cast("array<string>").alias("seeds"), F.array().cast("array<struct<seq: bigint, cluster_id: int>>").alias("ids"))
-    folded = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seq", "norm"))).alias("xs"))
-    ids = folded.select("video_id", F.explode(F.aggregate("xs", zero, step, lambda acc: acc["ids"])).alias("m")).select("video_id", "m.seq", "m.cluster_id")
-    return rows.join(ids, ["video_id", "seq"])
+    # whole rows ride along, so that nothing has to be joined back
+    zero = F.struct(F.array().cast("array<string>").alias("seeds"), F.array().cast("array<int>").alias("ids"))
+    folded = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seq", "norm", F.struct("*").alias("row")))).alias("xs"))
+    paired = folded.select(F.explode(F.arrays_zip("xs", F.aggregate("xs", zero, step, lambda acc: acc["ids"]).alias("ids"))).alias("m"))
+    return paired.select("m.xs.row.*", F.col("m.ids").alias("cluster_id"))
 
 
 def snippets(clustered: DataFrame, low_confidence: float = LOW_CONFIDENCE, conflict_margin: float = CONFLICT_MARGIN) -> DataFrame:
