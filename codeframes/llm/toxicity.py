@@ -204,7 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r.t for r in sample], [label[r.doc_id] for r in sample])
 
 
-_KNOWN: dict[str, float] = {}
+_KNOWN: dict = {}
+
+
+def known_words(tag: int) -> dict[str, float]:
+    """Logits of words by this Python worker's model ``tag``, kept between tasks and bounded."""
+    if _KNOWN.get("tag") != tag or len(_KNOWN["logits"]) > CACHE_LIMIT:
+        _KNOWN.update(tag=tag, logits={})
+    return _KNOWN["logits"]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -215,17 +222,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
         model, out = shared.value, [np.zeros(0)]
-        if _KNOWN.get("") != tag or len(_KNOWN) > CACHE_LIMIT:
-            _KNOWN.clear()
-            _KNOWN[""] = tag
         for part in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"])):
             docs = [words_of(t) for t in part.column("text").to_pylist()]
-            new = list({w for d in docs for w in d if w not in _KNOWN})
-            _KNOWN.update(zip(new, model.word_logits(new), strict=True))
+            logits = known_words(tag)
+            new = list({w for d in docs for w in d if w not in logits})
+            logits.update(zip(new, model.word_logits(new), strict=True))
             sizes = np.fromiter(map(len, docs), np.int64)
             got = np.full(len(docs), model.prior)
             if sizes.any():
-                values = np.fromiter((v for d in docs for v in map(_KNOWN.__getitem__, d)), np.float64, int(sizes.sum()))
+                values = np.fromiter((v for d in docs for v in map(logits.__getitem__, d)), np.float64, int(sizes.sum()))
                 got[sizes > 0] = model.calibrated(top_segments(values, sizes[sizes > 0], model.bias))
             out.append(got)
         return pd.Series(np.concatenate(out))
