@@ -28,7 +28,7 @@ GLUE = "\x01"
 _MARK = "[.,;:!?]"
 _MARKS = frozenset(".,;:!?")
 
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 400_000
 
 
 class PieceEncoder:
@@ -175,44 +175,41 @@ def joined_encoder(path: str, led: bool, separator: str, mark: str) -> PieceEnco
             out[i] = v
         return out
 
-    encoder = PieceEncoder(led, encode_many)
-    encoder.tokenizer = tokenizer
-    return encoder
+    return PieceEncoder(led, encode_many)
 
 
 def word_end_encoder(path: str) -> PieceEncoder:
     """For a lower-casing vocabulary that drops white space and whose words end in ``</w>``.
 
-    Of letters, and of letters before one mark, the number of words is known, so such pieces are told apart by
-    word ends alone; for others a zero byte between spaces is a word of its own."""
+    A piece of small letters in normal form is one word that normalisation leaves alone: such pieces go through a
+    tokenizer without it, many at once, and are told apart by word ends.  For others a zero byte between spaces is
+    a word of its own."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
     encoder = joined_encoder(path, False, " \x00 ", "\x00")
-    tokenizer, others = encoder.tokenizer, encoder.encode_many
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    for token, i in tokenizer.get_vocab().items():
+    others, plain = encoder.encode_many, Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(plain.get_vocab_size(), bool)
+    for token, i in plain.get_vocab().items():
         ends[i] = token.endswith("</w>")
 
-    def words_in(p: str) -> int:
-        """1 or 2 where it is sure, 0 elsewhere."""
-        if not (p.isascii() or (len(p.lower()) == len(p) and unicodedata.is_normalized("NFC", p))):
-            return 0
-        return 1 if p.isalpha() else 2 * (p[-1] in _MARKS and p[:-1].isalpha())
+    def steady(p: str) -> bool:
+        return p.isalpha() and p.lower() == p and (p.isascii() or unicodedata.is_normalized("NFC", p))
 
     def encode_many(pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        counts = np.fromiter(map(words_in, pieces), np.int64, len(pieces))
-        rest = np.flatnonzero(counts == 0).tolist()
-        sure = np.flatnonzero(counts)
-        for k in range(0, len(sure), 2048):
-            some = sure[k : k + 2048]
-            at = some.tolist()
-            ids = np.array(tokenizer.encode_batch_fast([" ".join([pieces[i] for i in at])], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(ends[ids]) + 1
-            last = np.cumsum(counts[some])
-            if len(stops) != last[-1]:
-                rest += at
+        sure = np.fromiter(map(steady, pieces), bool, len(pieces))
+        rest, words = np.flatnonzero(~sure).tolist(), np.flatnonzero(sure).tolist()
+        for k in range(0, len(words), 512):
+            some = words[k : k + 512]
+            ids = np.array(plain.encode_batch_fast([" ".join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(stops) != len(some):
+                rest += some
                 continue
-            cuts, data = (4 * stops[last - 1]).tolist(), ids.tobytes()
-            for i, a, b in zip(at, [0, *cuts[:-1]], cuts, strict=True):
+            data = ids.tobytes()
+            for i, a, b in zip(some, [0, *stops[:-1]], stops, strict=True):
                 out[i] = data[a:b]
         for i, v in zip(rest, others([pieces[i] for i in rest]), strict=True):
             out[i] = v
