@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import slices
+from codeframes.llm.common import bound_batches, slices
 from codeframes.llm.pieces import PieceEncoder, exact_white, quick_cut, shared_encoder
 
 
@@ -175,6 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = [x.astype(np.int32) for x in encoder.encode(some.column("text"))]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, ids array<int>")
 
@@ -198,5 +199,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     decoded.append(hashlib.sha256(decode(ids, vocab)).hexdigest())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,6 +31,18 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Whole texts are long: Arrow batches to Python workers are held to this many bytes.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``, for operators that send whole texts to Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for rows whose crc32 of the id as text is divisible by 5; these are never learned from."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -42,6 +54,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def text_slices(texts, rows: int = 256, size: int = 2 << 20):
+    """Lists of a pandas series' texts, of at most ``rows`` rows and about ``size`` characters, one row at least."""
+    part, total = [], 0
+    for t in texts:
+        if part and (len(part) >= rows or total + len(t or "") > size):
+            yield part
+            part, total = [], 0
+        part.append(t)
+        total += len(t or "")
+    if part:
+        yield part
+
+
 def slices(batch, column: str = "text", rows: int = 512, size: int = 4 << 20):
     """Parts of an Arrow batch of at most ``rows`` rows and about ``size`` bytes of ``column``, one row at least."""
     import numpy as np

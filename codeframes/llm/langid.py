@@ -20,11 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import held_out, slices
+from codeframes.llm.common import bound_batches, held_out, text_slices
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
@@ -167,13 +166,14 @@ def fit(docs: DataFrame) -> Model:
 
 def predictor(spark: SparkSession, model: Model):
     """A pandas UDF text -> struct(lang_pred, score); the tables go out once, by broadcast."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def identify(texts: pd.Series) -> pd.DataFrame:
         langs, scores = [], [np.zeros(0)]
-        for part in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"])):
-            found, share = shared.value.predict(part.column("text").to_pylist())
+        for part in text_slices(texts):
+            found, share = shared.value.predict(part)
             langs += found
             scores.append(share)
         return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores)})

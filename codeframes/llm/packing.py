@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import slices, written
+from codeframes.llm.common import bound_batches, slices, written
 from codeframes.llm.pieces import byte_level_encoder, shared_encoder
 
 CAPACITY = 2048
@@ -94,6 +94,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataF
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, PIECE_SCHEMA)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import slices, written
+from codeframes.llm.common import bound_batches, slices, written
 
 TAU = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -80,12 +80,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=256, size=1 << 20):
                 some = [shingle_hashes(x) for x in part.column("text").cast(pa.binary()).to_pylist()]
                 flat = np.fromiter((h for s in some for h in s), np.uint64)
                 fps = fold(flat, np.fromiter(map(len, some), np.int64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
@@ -95,7 +96,7 @@ def segment_keys() -> list:
     return [bits(i).bitwiseOR(F.lit((i + 1) << 16)).cast("int") for i in range(len(WIDTHS))]
 
 
-def chained(keys: np.ndarray, fps: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+def chained(keys: np.ndarray, fps: np.ndarray, most: int = 1 << 20) -> np.ndarray:
     """Edges of whole buckets: each fingerprint goes to the sub-bucket of its next segment and to those one flip away,
     some of the sub-buckets at a time where they are many."""
     j = (keys.astype(np.int64) >> 16) % len(WIDTHS)  # the number is one more than the segment, so this is the next

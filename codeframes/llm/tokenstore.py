@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import slices, written
+from codeframes.llm.common import bound_batches, slices, written
 from codeframes.llm.pieces import shared_encoder, word_end_encoder
 
 END_ID = 1
@@ -160,6 +160,7 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> Store:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(new, pa.list_(pa.binary()))], names=["doc_id", "digests", "sizes", "new"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     staged = written(rows.mapInArrow(encode, "doc_id long, digests array<binary>, sizes array<int>, new array<binary>"), "store-staged", codec="zstd")
 
     def once(batches):

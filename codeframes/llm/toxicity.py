@@ -25,11 +25,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import held_out, slices
+from codeframes.llm.common import bound_batches, held_out, text_slices
 
 BUCKETS = 1 << 17
 DIM = 4
@@ -216,14 +215,15 @@ def known_words(tag: int) -> dict[str, float]:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     tag = zlib.crc32(model.weights.tobytes())
 
     @F.pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
         model, out = shared.value, [np.zeros(0)]
-        for part in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"])):
-            docs = [words_of(t) for t in part.column("text").to_pylist()]
+        for part in text_slices(texts):
+            docs = [words_of(t) for t in part]
             logits = known_words(tag)
             new = list({w for d in docs for w in d if w not in logits})
             logits.update(zip(new, model.word_logits(new), strict=True))
