@@ -42,6 +42,8 @@ RULES = (
 BASE = 3
 RULE_VERSION = "2"
 MASK = "[REDACTED]"
+#: One in so many versions or less are few.
+FEW = 64
 
 LEDGER_SCHEMA = "blob string, rule_version string, spans array<struct<start: int, rank: int, end: int, kind: string>>"
 _EMPTY = "array<struct<start: int, rank: int, end: int, kind: string>>"
@@ -84,10 +86,13 @@ def extend_ledger(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None =
     firsts = firsts.withColumnRenamed("blob", "new_blob")
     due = F.col("path").eqNullSafe(F.col("first")) & F.col("new_blob").isNotNull()
     marked = written(paths.join(firsts, F.col("blob") == F.col("new_blob"), "left").select("path", "blob", due.alias("due")).distinct(), "secret-due")
-    # the shorter list is held against the rows: its table has a known size, by which Spark broadcasts it or not
-    n_due = marked.filter("due").count()
-    short = n_due <= marked.count() - n_due
+    # The shorter list is held against the rows.  A list of few of them is a written table, by whose size Spark
+    # broadcasts it or not; one of a larger share grows as the rows do, so rows and list always meet by shuffle.
+    n_all, n_due = marked.count(), marked.filter("due").count()
+    short = n_due <= n_all - n_due
     chosen = written(marked.filter("due" if short else "not due").select(F.col("path").alias("p"), F.col("blob").alias("b")), "secret-chosen")
+    if min(n_due, n_all - n_due) * FEW > n_all:
+        chosen = chosen.hint("shuffle_hash")
     one = _versions(docs).join(chosen, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi" if short else "left_anti")
     return one.select("blob", F.lit(version).alias("rule_version"), spans(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
 
