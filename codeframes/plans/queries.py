@@ -236,7 +236,7 @@ def page_links(spark: Spark, d: str) -> DataFrame:
 def stream_urls(spark: Spark, d: str) -> DataFrame:
     i = F.col("page_id").cast("string")
     html = F.concat(
-        F.left(F.coalesce("html", F.lit("")), F.lit(200)),
+        F.coalesce("html", F.lit("")),
         F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<script src="https://cdn.x/v'), i, F.lit('.m3u8?t=1">')))
         .when(F.col("page_id") % 3 == 1, F.concat(F.lit("{'videoUrl' : 'http://h/"), i, F.lit(".m3u8'}")))
         .otherwise(F.lit("")),

@@ -69,3 +69,19 @@ def test_rows_do_not_depend_on_how_the_input_lies(spark, sf_dir):
     for n in (1, 5):
         assert sorted(map(tuple, merge.cluster(takes.repartition(n)).select("video_id", "seq", "cluster_id").collect())) == want
         assert sorted(map(tuple, frames.collapse_runs(signals.repartition(n), 3).collect())) == kept
+
+
+def test_stream_urls_reads_whole_pages(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    filler = "<p>some words</p>\n" * 4000
+    html = [
+        filler + '<script src="https://cdn.y/own.m3u8?k=2">', filler + "{'videoUrl': 'http://h/own.m3u8'}", filler + '{"videoUrl" : "http://h/own2.m3u8"}' + filler,
+        None, filler, filler, "https://cdn.y/first.m3u8 " + filler,
+    ]
+    pq.write_table(pa.table({"page_id": pa.array(range(len(html)), pa.int64()), "html": pa.array(html, pa.string())}), tmp_path / "pages.parquet")
+    got = {r.page_id: r.stream for r in QUERIES["stream_urls"](spark, str(tmp_path)).collect()}
+    assert got == {
+        0: "https://cdn.y/own.m3u8?k=2", 1: "http://h/own.m3u8", 2: "http://h/own2.m3u8", 3: "https://cdn.x/v3.m3u8?t=1", 4: "http://h/4.m3u8", 5: None, 6: "https://cdn.y/first.m3u8",
+    }
