@@ -16,7 +16,7 @@ def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractions: a conversation is a video, a turn a frame whose text is code, misread code or prose."""
     c = table(spark, sf_dir, "conversations")
     conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    prose = F.left(F.regexp_replace(F.coalesce("text", F.lit("")), ASCII_ONLY, ""), F.lit(120))
+    prose = F.regexp_replace(F.coalesce("text", F.lit("")), ASCII_ONLY, "")
     text = (
         F.when(F.col("turn") % 4 == 0, F.concat(F.lit("def f_"), conv, F.lit("(x):\n    return x")))
         .when(F.col("turn") % 4 == 1, F.concat(F.lit("def f_"), conv, F.lit("(x):\n    retvrn x")))

@@ -85,3 +85,11 @@ def test_stream_urls_reads_whole_pages(spark, tmp_path):
     assert got == {
         0: "https://cdn.y/own.m3u8?k=2", 1: "http://h/own.m3u8", 2: "http://h/own2.m3u8", 3: "https://cdn.x/v3.m3u8?t=1", 4: "http://h/4.m3u8", 5: None, 6: "https://cdn.y/first.m3u8",
     }
+
+
+@pytest.mark.parametrize("name", ["code_score", "fence_strip", "merge_function", "representatives", "signal_hits"])
+def test_takes_hold_whole_texts(spark, duck, sf_dir, name):
+    """The given SQL cuts the prose of a take; taken without its cut, it must give the same rows."""
+    prose = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g')"
+    whole = ORACLES[name].replace(f"left({prose}, 120)", prose)
+    assert rows(QUERIES[name](spark, sf_dir).toPandas()) == rows(duck.execute(whole).df())
