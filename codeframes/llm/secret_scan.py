@@ -30,17 +30,28 @@ class Rule(NamedTuple):
     least: int
 
 
+# A private key runs through its END line.  Where that is missing it runs to the end of the base64 lines, whose
+# breaks may be escaped, quoted or, for long pieces, blanks; headers may come before them.
+_BREAK = r"""(?:[\t\x20"'+,;>|#*]*+(?:[\r\n]|\\+[nr]))++[\t\x20"'>|#*]*+"""
+_LINE = _BREAK + r"""(?:[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={0,2}+(?=[\t\x20]*+(?:[\r\n"'\\<]|\z)))"""
+_PIECE = r"""[\t\x20]*+[A-Za-z0-9+/]{16,}+={0,2}+(?:[\t\x20]++[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\s"'\\<]|\z))?+"""
+_HEADER = _BREAK + r"[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+"
+_PEM = (
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"(?:(?:[^-]|-(?!----))*+-{{5,}}END (?:[A-Z]+ )*PRIVATE KEY-----|(?:{_HEADER})*+(?:{_LINE}|{_PIECE})++)?"
+)
+
 # The first three rules are the base, the others are added by this module.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    Rule("pem", _PEM, 0, 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{1,200}@", 0, 1),
 )
 BASE = 3
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 MASK = "[REDACTED]"
 #: One in so many versions or less are few.
 FEW = 64

@@ -71,3 +71,27 @@ def test_redaction(spark):
 def test_no_documents(spark):
     assert secret_scan.report(empty_docs(spark)).count() == 0
     assert secret_scan.redact(empty_docs(spark)).count() == 0
+
+
+def test_private_keys_are_masked_whole(spark):
+    body = "\n".join("MIIEow+/" * 8 for _ in range(25)) + "\nq83v\nZz=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    inner = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n" + body
+    one = body.replace("\n", " ")
+    m = secret_scan.MASK
+    cases = [
+        (f"a {begin}\n{body}\n{end} b", f"a {m} b"),
+        (f"a\n{begin}\r\n{inner}\r\n{end}\nb {begin}\n{body}\n{end}", f"a\n{m}\nb {m}"),
+        (f"a {begin}\n{body}\nThen prose, not key.", f"a {m}\nThen prose, not key."),
+        (f"{begin}\n{inner}", m),
+        ('{"k": "' + f"{begin}\n{body}".replace("\n", "\\n") + '", "n": 1}', '{"k": "' + m + '", "n": 1}'),
+        (f"{begin} {one.split(' q83v')[0]} q83v. b", f"{m} q83v. b"),
+        (f"{begin}\n> {body}\n-----BEGIN CERTIFICATE-----\nprose-like text", f"{m}\n-----BEGIN CERTIFICATE-----\nprose-like text"),
+        (f"{begin}\n{body}\n{begin}\n{body}\n{end} b", f"{m}\n{m} b"),
+        (f"The line {begin} opens a key, says the text.", f"The line {m} opens a key, says the text."),
+        (f"{begin}\n" + (body + "\n") * 1500 + end, m),
+        (f"{begin}\n" + (body + "\n") * 1500 + ".", m + "\n."),
+    ]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(cases)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
