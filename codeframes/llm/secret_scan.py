@@ -48,10 +48,10 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
     Rule("pem", _PEM, 0, 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{1,200}@", 0, 1),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@", 0, 1),
 )
 BASE = 3
-RULE_VERSION = "3"
+RULE_VERSION = "4"
 MASK = "[REDACTED]"
 #: One in so many versions or less are few.
 FEW = 64

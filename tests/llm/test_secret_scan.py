@@ -95,3 +95,8 @@ def test_private_keys_are_masked_whole(spark):
     docs = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(cases)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_long_url_logins_are_found(spark):
+    docs = spark.createDataFrame([(1, f"go https://{'u' * 300}:{'p' * 5000}@host/x", 0)], "doc_id long, text string, n_chars long")
+    assert secret_scan.redact(docs).first().text == f"go {secret_scan.MASK}host/x"
