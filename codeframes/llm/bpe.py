@@ -1,15 +1,22 @@
-"""Byte-level BPE by merge replay over a block's distinct words.
-
-All distinct words of a block lie in one array of symbols.  An inverted index leads from each mergeable pair (by
-the id it merges to) to the positions where it stands; ids are taken in rank order, every position of the rank
-is merged from left to right, and only the pairs that touch a merged symbol are indexed anew.  A block is what
-one Arrow batch slice brings that the worker's bounded cache doesn't hold yet, so memory doesn't grow with the
-input, and encoding needs no shuffle.
-
-Should a merge make a pair of lower rank (which needs a rank file whose merges are out of order), the word is
-encoded alone, pair by pair, so results are those of the plain procedure for any rank file.
-
-Defined results: a null text is empty: no ids, and the digests of nothing.
+"""Byte-level BPE by merge replay over the distinct words of the whole corpus.
+
+1. Texts are cut into words, a slice of texts at a time.  A slice keeps its texts as numbers of its own distinct
+   words and sends each distinct word out once (``slice, k, word``).
+2. Words are shuffled and sorted, so that each distinct word of the corpus lies in one place.  There the replay runs:
+   all distinct words of a block are one array of symbols, an inverted index leads from each mergeable pair (by the
+   id it merges to) to the positions where it stands; ids are taken in rank order, every position of the rank is
+   merged from left to right, and only the pairs that touch a merged symbol are indexed anew.  A word is encoded once
+   for the whole corpus, however many slices have it; a block bounds memory, and a word that goes on in the next
+   block keeps its ids.
+3. The ids go back to their slices, packed, and each text is put together from its words.
+
+A word has one row per slice at most, so no word is a hot key.  Should a merge make a pair of lower rank (which needs
+a rank file whose merges are out of order), the word is encoded alone, pair by pair, so results are those of the plain
+procedure for any rank file.
+
+Defined results: a null text is empty: no ids, and the digests of nothing; rows that repeat a doc_id, or have none, are
+texts of their own; an empty table gives no rows; of all columns only doc_id and text are read; a very long text is a
+slice by itself.
 """
 
 from __future__ import annotations
@@ -17,15 +24,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import bound_batches, slices
-from codeframes.llm.pieces import PieceEncoder, exact_white, quick_cut, shared_encoder
+from codeframes.llm.common import bound_batches, held, slices, written
+from codeframes.llm.pieces import exact_white, gathered, led_pieces, quick_cut
 
+#: About the bytes of text in a slice.
+SLICE_BYTES = 6 << 20
+#: Rows (a slice's word each) that one replay takes at least, where there are as many.
+BLOCK = 1 << 17
 
 #: Pairs whose outcome is remembered between blocks.
 PAIR_LIMIT = 2_000_000
@@ -50,9 +63,7 @@ def encode_alone(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.vocab: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.vocab[rank] = token
+        self.vocab = vocabulary(ranks)
         self.bytes_to_id = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
 
@@ -145,60 +156,200 @@ class MergeReplay:
         return out
 
 
-def replay_encoder(ranks_path: str, pattern: str) -> PieceEncoder:
-    import regex
+class Words:
+    """A slice of texts as numbers of its distinct words; the most frequent word is number 0."""
 
-    find = regex.compile(exact_white(pattern)).findall
-    replay = MergeReplay(load_ranks(ranks_path))
+    def __init__(self, texts: pa.Array, cut: Callable[[str], list[str]]):
+        pieces = led_pieces(pc.fill_null(texts, ""))
+        number: dict[str, int] = {}
+        cuts = [cut(p) if p else [] for p in pieces.pieces]
+        sizes = np.fromiter(map(len, cuts), np.int32, len(cuts))
+        flat = np.fromiter((number.setdefault(w, len(number)) for c in cuts for w in c), np.int32, int(sizes.sum()))
+        index, ends = gathered(pieces.index, sizes, flat)
+        counts = np.bincount(index, minlength=len(number))
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        words = list(number)
+        self.words = [words[i] for i in order.tolist()]
+        self.index = place[index] if len(index) else index
+        self.ends = np.concatenate(([0], ends)).astype(np.int64)[pieces.bounds[1:]]
 
-    cut = quick_cut(find)
 
-    def encode_many(pieces: list[str]) -> list[bytes]:
-        cuts = [cut(p) for p in pieces]
-        words = list({w for c in cuts for w in c})
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, replay.encode([w.encode() for w in words]), strict=True)}
-        return [ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c)) for c in cuts]
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that their zero bytes compress well."""
+    import zstandard
 
-    encoder = PieceEncoder(True, encode_many)
-    encoder.vocab = replay.vocab
-    encoder.names = [str(i) for i in range(len(replay.vocab))]
-    return encoder
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids: the ids of every whole text; ``pattern`` must not let a match cross the borders of ``SPACED`` pieces."""
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
 
-    def work(batches):
-        encoder = shared_encoder(("bpe", ranks_path, pattern), lambda: replay_encoder(ranks_path, pattern))
-        for batch in batches:
-            for some in slices(batch, rows=4096, size=6 << 20):
-                ids = [x.astype(np.int32) for x in encoder.encode(some.column("text"))]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ids array<int>")
 
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    import regex
 
-def decode(ids: np.ndarray, vocab: list[bytes]) -> bytes:
-    return b"".join(map(vocab.__getitem__, ids.tolist()))
+    return quick_cut(regex.compile(exact_white(pattern)).findall)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, digests of the ids and of the bytes decoded from them; encoding and decoding in one pass."""
+def cut_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """A row per slice: its documents, where each ends, its texts as packed word numbers, and its distinct words."""
 
     def work(batches):
-        encoder = shared_encoder(("bpe", ranks_path, pattern), lambda: replay_encoder(ranks_path, pattern))
-        vocab, names = encoder.vocab, encoder.names
+        from pyspark import TaskContext
+
+        cut, number = cutter(pattern), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for some in slices(batch, rows=4096, size=6 << 20):
-                sizes, digests, decoded = [], [], []
-                for ids in encoder.encode(some.column("text")):
-                    sizes.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(decode(ids, vocab)).hexdigest())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for some in slices(batch, rows=1 << 16, size=SLICE_BYTES):
+                w = Words(some.column("text"), cut)
+                one = lambda values, kind: pa.array([values], pa.list_(kind))
+                columns = [pa.array([number]), one(some.column("doc_id").to_pylist(), pa.int64()), one(w.ends, pa.int64()), pa.array([_packed(w.index)]), one(w.words, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "doc_ids", "ends", "places", "words"])
+                number += 1
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(work, "slice long, doc_ids array<long>, ends array<long>, places binary, words array<string>")
+
+
+class Blocks:
+    """Replay over sorted rows (slice, k, word), in blocks that end where a word ends; yields packed ids by slice."""
+
+    def __init__(self, replay: MergeReplay):
+        self.replay, self.last, self.last_ids = replay, None, []
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        if words and words[0] == self.last:
+            ids = [self.last_ids, *self.replay.encode([w.encode() for w in words[1:]])]
+        else:
+            ids = self.replay.encode([w.encode() for w in words])
+        if words:
+            self.last, self.last_ids = words[-1], ids[-1]
+        return ids
+
+    def run(self, rows: pa.Table) -> pa.RecordBatch:
+        coded = rows.column("word").combine_chunks().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        owner, k, index = rows.column("slice").to_numpy(), rows.column("k").to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(owner, kind="stable")
+        index, k, owner = index[order], k[order], owner[order]
+        values, ends = gathered(index, sizes, flat)
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        stops = np.append(first[1:], len(owner))
+        bounds = np.concatenate(([0], ends))
+        packed = [[_packed(x) for x in (k[a:b], sizes[index[a:b]], values[bounds[a] : bounds[b]])] for a, b in zip(first.tolist(), stops.tolist(), strict=True)]
+        columns = [pa.array([p[i] for p in packed], pa.binary()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(owner[first]), *columns], names=["slice", "ks", "sizes", "ids"])
+
+
+def encode_words(staged: DataFrame, ranks_path: str) -> DataFrame:
+    """slice, ks, sizes, ids: the ids of a slice's words, each distinct word of all slices encoded once."""
+    n = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def work(batches):
+        with held(("bpe", ranks_path), lambda: MergeReplay(load_ranks(ranks_path))) as replay:
+            blocks, rows, some = Blocks(replay), 0, []
+            for batch in batches:
+                some.append(batch)
+                rows += batch.num_rows
+                if rows >= BLOCK:
+                    yield blocks.run(pa.Table.from_batches(some))
+                    rows, some = 0, []
+            if rows:
+                yield blocks.run(pa.Table.from_batches(some))
+
+    words = staged.select("slice", F.posexplode("words").alias("k", "word"))
+    return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(work, "slice long, ks binary, sizes binary, ids binary")
+
+
+def assembled(docs: DataFrame, ranks_path: str, pattern: str, finish: Callable, schema: str) -> DataFrame:
+    """``finish(doc_ids, ids as an Arrow list column)`` of every slice; ``finish`` gives the columns of ``schema``."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    staged = written(cut_words(docs, pattern), "bpe-slices", codec="zstd")
+    found = encode_words(staged, ranks_path)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    texts = staged.select("slice", F.lit(0).alias("kind"), "doc_ids", "ends", F.size("words").alias("n"), "places", none("binary", "sizes"), none("binary", "ids"))
+    ids = found.select("slice", F.lit(1).alias("kind"), none("array<long>", "doc_ids"), none("array<long>", "ends"), none("int", "n"), F.col("ks").alias("places"), "sizes", "ids")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def put(text: dict, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sizes = np.zeros(text["n"], np.int32)
+        ks, each, flat = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.uint32)]) for i in range(3))
+        sizes[ks] = each
+        if len(ks) != text["n"]:
+            raise ValueError(f"slice {text['slice']} has ids for {len(ks)} of its {text['n']} words")
+        order = np.empty(text["n"], np.int32)  # the words' ids lie in the order of arrival
+        order[ks] = np.arange(len(ks), dtype=np.int32)
+        values, ends = gathered(order[_unpacked(text["places"])], each.astype(np.int32), flat)
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], text["ends"])).astype(np.int64)]
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+        return pa.RecordBatch.from_arrays(finish(pa.array(text["doc_ids"], pa.int64()), lists), names=names)
+
+    def work(batches):
+        text, parts = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if row["kind"] == 0:
+                    if text:
+                        yield put(text, parts)
+                    text, parts = row, []
+                else:
+                    parts.append(tuple(_unpacked(row[c]) for c in ("places", "sizes", "ids")))
+        if text:
+            yield put(text, parts)
+
+    return texts.unionByName(ids).repartition(n, "slice").sortWithinPartitions("slice", "kind").mapInArrow(work, schema)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids: the ids of every whole text; ``pattern`` must not let a match cross the borders of ``SPACED`` pieces."""
+    return assembled(docs, ranks_path, pattern, lambda doc_ids, ids: [doc_ids, ids], "doc_id long, ids array<int>")
+
+
+def vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens by id."""
+    found = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        found[rank] = token
+    return found
+
+
+def decode(ids: pa.ListArray, tokens: pa.Array, between: bytes | str = b"") -> pa.Array:
+    """The tokens of each list of ids, joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values)), pa.scalar(between, tokens.type))
+
+
+def sha256_of(values: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values], pa.string())
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the bytes decoded from them."""
+
+    def tables():
+        vocab = vocabulary(load_ranks(ranks_path))
+        return pa.array(vocab, pa.large_binary()), pa.array([str(i) for i in range(len(vocab))], pa.large_string())
+
+    def finish(doc_ids, ids):
+        with held(("bpe-names", ranks_path), tables) as (vocab, names):
+            # a part of the documents at a time: their ids as text are several times as long
+            sizes = np.diff(ids.offsets.to_numpy())
+            group = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 18))) + 1, [len(sizes)]))
+            numbers, decoded = [], []
+            for a, b in zip(group[:-1].tolist(), group[1:].tolist(), strict=True):
+                o = ids.offsets.to_numpy()[a : b + 1]
+                part = pa.ListArray.from_arrays(pa.array(o - o[0]), ids.values.slice(int(o[0]), int(o[-1] - o[0])))
+                numbers.append(sha256_of(decode(part, names, ",")))
+                decoded.append(sha256_of(decode(part, vocab)))
+            return [doc_ids, pa.array(sizes.astype(np.int64)), pa.concat_arrays(numbers), pa.concat_arrays(decoded)]
+
+    return assembled(docs, ranks_path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 FALLBACK_SHARED = "/tmp/checkpoints"
 
 #: Word characters of the contracts: anything but these ASCII white-space characters.
@@ -18,11 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED
+    """A fresh path below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Without that setting a local master gets ``FALLBACK_SHARED``; on a cluster its lack is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = FALLBACK_SHARED
     return f"{base.rstrip('/')}/codeframes/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """pyarrow's file system of a path below the shared folder, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def drop(*paths: str) -> None:
+    """Delete tables of the shared folder that nothing rests on any more; what can't be deleted stays."""
+    for path in paths:
+        try:
+            store, root = filesystem(path)
+            store.delete_dir(root)
+        except OSError:
+            pass
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
@@ -43,6 +70,57 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+#: Seconds after the last task that used it until a Python worker lets go of what it keeps between tasks.
+IDLE_SECONDS = 2.0
+_HELD: dict = {}
+_LOCK = threading.Lock()
+
+
+def release() -> None:
+    """Let go of what this process keeps between tasks, and give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    with _LOCK:
+        _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+@contextmanager
+def held(key, make: Callable) -> Iterator:
+    """What ``make`` gives, one object per Python worker, kept from task to task while they follow each other closely.
+
+    A worker holds one key at a time, and nothing once it has been idle for ``IDLE_SECONDS``: caches and models
+    of a stage don't stay in memory beside those of the next."""
+    with _LOCK:
+        timer = _HELD.pop("timer", None)
+        if _HELD.get("key") != key:
+            _HELD.clear()
+    if timer:
+        timer.cancel()
+    if "value" not in _HELD:
+        value = make()
+        with _LOCK:
+            _HELD.update(key=key, value=value)
+    value = _HELD["value"]
+    try:
+        yield value
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, release)
+        timer.daemon = True
+        with _LOCK:
+            if _HELD.get("key") == key:
+                _HELD["timer"] = timer
+        timer.start()
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for rows whose crc32 of the id as text is divisible by 5; these are never learned from."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import bound_batches, slices, written
-from codeframes.llm.pieces import byte_level_encoder, shared_encoder
+from codeframes.llm.common import bound_batches, held, slices, written
+from codeframes.llm.pieces import byte_level_encoder
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -82,17 +82,20 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataF
     end = np.array([END_ID], "<u4").tobytes()
 
     def work(batches):
-        encoder = shared_encoder(("packing", tokenizer_path), lambda: byte_level_encoder(tokenizer_path))
-        for batch in batches:
-            for some in slices(batch, rows=4096, size=6 << 20):
-                rows = []
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")), strict=True):
-                    ids = ids.tobytes() + end
-                    for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, capacity)):
-                        rows.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        with held(("packing", tokenizer_path), lambda: byte_level_encoder(tokenizer_path)) as encoder:
+            for batch in batches:
+                for some in slices(batch, rows=4096, size=4 << 20):
+                    yield bounds_of(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")))
+
+    def bounds_of(doc_ids, streams) -> pa.RecordBatch:
+        rows = []
+        for doc_id, ids in zip(doc_ids, streams, strict=True):
+            ids = ids.tobytes() + end
+            for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, capacity)):
+                rows.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, PIECE_SCHEMA)

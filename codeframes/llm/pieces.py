@@ -9,26 +9,32 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Fixed value: Unicode White_Space, as \s of the tokenizers' patterns has it.
-WHITE = r"\t-\r \x85\xa0  -     　"
+# Fixed value: the characters with Unicode White_Space, as \s of the tokenizers' patterns has it, for a class.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Pieces for patterns in which one space may lead a word: an optional space and a run without white space, or
 #: white space up to where the next such piece begins.  No match of those patterns crosses a piece's border.
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _WHITE = re.compile(f"[{WHITE}]")
-_RE2_WHITE = WHITE.replace(r"\t-\r", "\t-\r").replace(r"\x85\xa0", "\x85\xa0")
 # A space between other white space: only without it are a text's pieces those that single spaces lead.
-_MIXED = f"[{_RE2_WHITE}] (?:[{_RE2_WHITE}]|$)"
+_MIXED = f"[{WHITE}] (?:[{WHITE}]|$)"
 GLUE = "\x01"
 _MARK = "[.,;:!?]"
 _MARKS = frozenset(".,;:!?")
 
-CACHE_LIMIT = 400_000
+# Letters whose lower case in normal form is one letter again, so that a mark behind them is a match of its own:
+# basic Latin after ASCII lower-casing, Latin without U+0130, Greek and Cyrillic letters.
+_STEADY = "[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f\u03ac-\u03ce\u0430-\u045f]"
+
+#: Bytes of one generation of a cache: characters, ids, and ``_ENTRY`` for two objects and their place in it.
+CACHE_BYTES = 24 << 20
+_ENTRY = 190
 
 
 class PieceEncoder:
@@ -36,87 +42,137 @@ class PieceEncoder:
 
     With ``led``, the space before a piece belongs to it; else spaces and line breaks only separate, and a mark after
     a word is a piece of its own.  ``lower`` is for vocabularies that lower-case anyway.
-    The cache only saves time: it has two generations of ``limit`` pieces, and what the older one holds and is
-    asked for again moves to the younger."""
+    The cache only saves time: it has two generations of ``limit`` bytes, and what the older one holds and is
+    asked for again moves to the younger.  Strings of ``specials`` are cut out of a text before all else and are their id,
+    as the library's plain call has it."""
 
-    def __init__(self, led: bool, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_LIMIT, lower: bool = False):
+    def __init__(self, led: bool, encode_many: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_BYTES, lower: bool = False, specials: dict[str, int] | None = None):
         self.led, self.encode_many, self.limit, self.lower = led, encode_many, limit, lower
+        self.specials = specials or {}
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.weight = 0
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
-        if len(self.known) > self.limit:
-            self.known, self.older = {"": b""}, self.known
+        if self.weight > self.limit:
+            self.known, self.older, self.weight = {"": b""}, self.known, 0
         known, older = self.known, self.older
         found = list(map(known.get, pieces))
-        at = [i for i, v in enumerate(found) if v is None]
-        if at:
+        missing = [i for i, v in enumerate(found) if v is None]
+        kept, weight = len(known), 0
+        if missing:
             unseen = []
-            for i in at:
-                v = older.get(pieces[i])
+            for i, p in zip(missing, [pieces[i] for i in missing], strict=True):
+                v = older.get(p)
                 if v is None:
                     unseen.append(i)
                 else:
-                    found[i] = known[pieces[i]] = v
-            for i, v in zip(unseen, self.encode_many([pieces[i] for i in unseen]), strict=True):
-                found[i] = known[pieces[i]] = v
+                    found[i] = known[p] = v
+                    weight += len(p) + len(v)
+            names = [pieces[i] for i in unseen]
+            for i, p, v in zip(unseen, names, self.encode_many(names), strict=True):
+                found[i] = known[p] = v
+                weight += len(p) + len(v)
+        self.weight += weight + (len(known) - kept) * _ENTRY
         return found
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null texts are empty."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        if not self.led:
-            plain = pc.replace_substring(pc.ascii_lower(column) if self.lower else column, "\n", " ")
-            return self._split(pc.split_pattern(pc.replace_substring_regex(plain, rf"(\pL)({_MARK}) ", r"\1 \2 "), " "))
-        mixed = pc.or_(pc.match_substring_regex(column, _MIXED), pc.match_substring(column, GLUE)).to_numpy(zero_copy_only=False)
-        if not mixed.any():
-            return self._split(self._glued(column))
+        if self.specials:
+            odd = pc.match_substring_regex(column, self._special.pattern).to_numpy(zero_copy_only=False)
+            if odd.any():
+                return self._around_specials(column, odd)
+        return self._encode(column)
+
+    def _around_specials(self, column: pa.Array, odd: np.ndarray) -> list[np.ndarray]:
+        """Texts with strings of special tokens, part by part, and the others."""
         out: list = [None] * len(column)
-        plain = np.flatnonzero(~mixed)
-        for i, ids in zip(plain, self._split(self._glued(column.take(pa.array(plain)))) if len(plain) else (), strict=True):
+        rest = np.flatnonzero(~odd)
+        for i, ids in zip(rest, self._encode(column.take(pa.array(rest))) if len(rest) else (), strict=True):
             out[i] = ids
-        for i in np.flatnonzero(mixed):
-            pieces = SPACED.findall(column[int(i)].as_py())
-            distinct = list(dict.fromkeys(pieces))
-            ids = dict(zip(distinct, self.look_up(distinct), strict=True))
-            out[i] = np.frombuffer(b"".join(map(ids.__getitem__, pieces)), "<u4")
+        for i in np.flatnonzero(odd):
+            parts = self._special.split(column[int(i)].as_py())  # every other one is a special token's string
+            ids = self._encode(pa.array(parts[::2], pa.string()))
+            marks = [np.array([self.specials[p]], "<u4") for p in parts[1::2]]
+            out[i] = np.concatenate([x for pair in zip(ids, [*marks, ids[0][:0]], strict=True) for x in pair])
         return out
 
-    @staticmethod
-    def _glued(column: pa.Array) -> pa.ListArray:
-        """Parts between single spaces; a mark after a word, a line break and the word after it become parts of their
-        own, which a leading ``GLUE`` tells from those that a space leads."""
-        marked = pc.replace_substring_regex(column, rf"(\pL)({_MARK})([ \n])", rf"\1 {GLUE}\2\3")
-        broken = pc.replace_substring_regex(marked, f"([^{_RE2_WHITE}])\n([^{_RE2_WHITE}])", rf"\1 {GLUE}\n {GLUE}\2".replace(r"\n", "\n"))
-        return pc.split_pattern(broken, " ")
-
-    def _split(self, lists: pa.ListArray) -> list[np.ndarray]:
-        """Ids of texts that were split at single spaces."""
-        offsets = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
-        index, parts = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
-        if self.led:  # a text's first part has no space before it
-            firsts = offsets[:-1]
-            heads, back = np.unique(index[firsts - offsets[0]], return_inverse=True)
-            index[firsts - offsets[0]] = len(parts) + back
-            pieces = [p[1:] if p[:1] == GLUE else " " + p for p in parts] + [parts[h] for h in heads]
-        else:
-            pieces = parts
-        values = self.look_up(pieces)
-        flat = np.frombuffer(b"".join(values), "<u4")
+    def _encode(self, column: pa.Array) -> list[np.ndarray]:
+        cut = led_pieces(column) if self.led else bare_pieces(column, self.lower)
+        values = self.look_up(cut.pieces)
         sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        each = sizes[index]
-        ends = np.cumsum(each, dtype=np.int32)  # a slice of texts is far below 2^31 ids
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[index] - (ends - each), each)
-        at += np.arange(total, dtype=np.int32)
-        ids = flat[at]
-        bounds = np.concatenate(([0], ends))[offsets - offsets[0]]
+        ids, ends = gathered(cut.index, sizes, np.frombuffer(b"".join(values), "<u4"))
+        bounds = np.concatenate(([0], ends))[cut.bounds]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+class Cut(NamedTuple):
+    """Texts as pieces: ``index`` has the piece of every place, ``bounds`` where each text begins in it."""
+
+    pieces: list[str]
+    index: np.ndarray
+    bounds: np.ndarray
+
+
+def gathered(index: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``flat``, of ``sizes`` each, in the order of ``index``; and where each part ends."""
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes.astype(np.int32)  # a slice of texts is far below 2^31 ids
+    each = sizes[index].astype(np.int32)
+    ends = np.cumsum(each, dtype=np.int32)
+    at = np.repeat(starts[index] - (ends - each), each)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], ends
+
+
+def _coded(lists: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+    return coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist(), offsets - offsets[0]
+
+
+def bare_pieces(column: pa.Array, lower: bool = False) -> Cut:
+    """Pieces for patterns that drop white space: between spaces and line breaks, a mark behind a word on its own."""
+    plain = pc.replace_substring(pc.ascii_lower(column) if lower else column, "\n", " ")
+    index, parts, bounds = _coded(pc.split_pattern(pc.replace_substring_regex(plain, f"({_STEADY})({_MARK}) ", r"\1 \2 "), " "))
+    return Cut(parts, index, bounds)
+
+
+def led_pieces(column: pa.Array) -> Cut:
+    """Pieces for patterns in which one space may lead a word: those of ``SPACED``, further cut at marks and line breaks
+    behind words."""
+    mixed = pc.or_(pc.match_substring_regex(column, _MIXED), pc.match_substring(column, GLUE)).to_numpy(zero_copy_only=False)
+    if not mixed.any():
+        return _glued(column)
+    # texts with other white space go one by one; all share one list of pieces
+    plain = np.flatnonzero(~mixed)
+    cut = _glued(column.take(pa.array(plain)))
+    number = {p: i for i, p in enumerate(cut.pieces)}
+    runs: list = [None] * len(column)
+    for k, i in enumerate(plain.tolist()):
+        runs[i] = cut.index[cut.bounds[k] : cut.bounds[k + 1]]
+    for i in np.flatnonzero(mixed):
+        found = SPACED.findall(column[int(i)].as_py())
+        runs[i] = np.fromiter((number.setdefault(p, len(number)) for p in found), np.int32, len(found))
+    return Cut(list(number), np.concatenate(runs), np.concatenate(([0], np.cumsum([len(r) for r in runs]))))
+
+
+def _glued(column: pa.Array) -> Cut:
+    """Parts between single spaces; a mark after a word, a line break and the word after it become parts of their
+    own, which a leading ``GLUE`` tells from those that a space leads."""
+    marked = pc.replace_substring_regex(column, rf"(\pL)({_MARK})([ \n])", rf"\1 {GLUE}\2\3")
+    broken = pc.replace_substring_regex(marked, f"([^{WHITE}])\n([^{WHITE}])", rf"\1 {GLUE}\n {GLUE}\2".replace(r"\n", "\n"))
+    index, parts, bounds = _coded(pc.split_pattern(broken, " "))
+    pieces = [p[1:] if p[:1] == GLUE else " " + p for p in parts]
+    # a text's first part has no space before it
+    number = {p: i for i, p in enumerate(pieces)}
+    firsts = bounds[:-1]
+    heads, back = np.unique(index[firsts], return_inverse=True)
+    index[firsts] = np.array([number.setdefault(parts[h], len(number)) for h in heads], np.int32)[back]
+    return Cut(list(number), index, bounds)
+
+
 def quick_cut(find: Callable[[str], list[str]]) -> Callable[[str], list[str]]:
     """``find`` with a short cut for what most pieces are: letters behind a space, before one mark or none."""
 
@@ -147,7 +203,8 @@ def joined_encoder(path: str, led: bool, separator: str, mark: str) -> PieceEnco
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    tokenizer.encode_special_tokens = True  # the encoder has cut their strings out: no piece can be made one
     marks = tokenizer.encode(mark, add_special_tokens=False).ids
 
     def alone(some: list[str]) -> list[bytes]:
@@ -175,7 +232,7 @@ def joined_encoder(path: str, led: bool, separator: str, mark: str) -> PieceEnco
             out[i] = v
         return out
 
-    return PieceEncoder(led, encode_many)
+    return PieceEncoder(led, encode_many, specials=specials)
 
 
 def word_end_encoder(path: str) -> PieceEncoder:
@@ -222,14 +279,3 @@ def word_end_encoder(path: str) -> PieceEncoder:
 def byte_level_encoder(path: str) -> PieceEncoder:
     """For a byte-level vocabulary with the common pattern, in which a line break between words stands alone."""
     return joined_encoder(path, True, "\n", "\n")
-
-
-_ENCODERS: dict = {}
-
-
-def shared_encoder(key, make: Callable[[], PieceEncoder]) -> PieceEncoder:
-    """One encoder per Python worker and key, kept between tasks."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = make()
-    return _ENCODERS[key]

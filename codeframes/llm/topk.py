@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import shared_dir
+from codeframes.llm.common import filesystem, shared_dir
 
 K = 20
 EVERY = 20
@@ -136,8 +136,6 @@ class Part:
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: exact, for queries whose id is divisible by ``every``."""
-    from codeframes.llm.warc import filesystem
-
     spark = vectors.sparkSession
     rows = quantised(vectors)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()

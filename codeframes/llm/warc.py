@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import shared_dir, written
+from codeframes.llm.common import filesystem, shared_dir, written
 
 MIN_REVISIT = 100
 FRAME_BYTES = 256 << 10
@@ -39,12 +39,6 @@ RECORD_SCHEMA = (
 )
 
 
-def filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def record_id(page_id: int | None, salt: str = "") -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}{salt}')}>"
 

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeframes.llm import bpe, packing, tokenstore
@@ -18,22 +19,35 @@ WORD, BYTE, MULTI = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "b
 
 
 def plain(path):
+    """The library's plain call."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def hostile(n=400):
-    rng = random.Random(0)
-    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "a", "Word", "'s", "'LL", "12", "½", "é", "é", "ß", "ΣΑΣ", "漢字", "!?", "\U0001f600", "_", "-", "<|endoftext|>", "\x00", "​"]
+# every code point with White_Space, and the two look-alikes that have it not
+WHITE = [chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B, 0x1C)]
+CASED = ["İ", "ǅ", "ſ", "K", "Å", "ﬁ", "יִ", "ΐ", "ŉ", "ǰ", "ẞ", "Ω", "i̇", "Σ", "ς", "é", "e\u0301", "\u0301", "Я", "ї"]
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext"]
+
+
+def hostile(n=400, seed=0):
+    rng = random.Random(seed)
+    parts = [*WHITE, *CASED, *SPECIAL, *" .,;:!?", " ", " ", " ", "  ", "\n", "\r\n", "a", "Word", "und", "'s", "'LL", "12", "½", "ß", "ΣΑΣ", "漢字", "!?", "\U0001f600", "_", "-", "\x00", "\x01", ". "]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(n)]
 
 
+def around(marks):
+    """Every mark between letters, white space and punctuation."""
+    sides = ["", "a", " ", "\n", "  ", "x.", "'s", "İ", "<|endoftext|>"]
+    return [a + m + b for m in marks for a in sides for b in sides]
+
+
 @pytest.mark.parametrize(("path", "make"), [(WORD, word_end_encoder), (BYTE, byte_level_encoder)])
 def test_pieces_give_the_ids_of_whole_texts(path, make):
-    texts = hostile() + [r[1] for r in odd_rows()]
+    texts = around(WHITE) + around(CASED) + around(SPECIAL) + hostile(10_000) + [r[1] for r in odd_rows()]
+    texts += [f"{a}{m}{b}" for a in CASED for m in ".,;:!?" for b in (" a", "  b", " ", "\n.", "")]
     encode, whole = make(path), plain(path)
     for text, got in zip(texts, encode.encode(texts), strict=True):
         assert got.tolist() == whole(text), text
@@ -41,13 +55,15 @@ def test_pieces_give_the_ids_of_whole_texts(path, make):
 
 def test_the_cache_only_saves_time():
     seen = []
-    enc = PieceEncoder(False, lambda p: (seen.extend(p), [np.array([ord(c) for c in x], "<u4").tobytes() for x in p])[1], limit=2)
+    enc = PieceEncoder(False, lambda p: (seen.extend(p), [np.array([ord(c) for c in x], "<u4").tobytes() for x in p])[1], limit=600)
     texts = lambda t: ["".join(map(chr, x)) for x in enc.encode(t)]
     assert texts(["a b a"]) == ["aba"] and texts(["c a", None]) == ["ca", ""] and texts(["a"]) == ["a"] and texts([]) == []
-    assert sorted(seen) == ["a", "b", "c"]  # what the older generation holds isn't encoded again
+    assert sorted(seen) == ["a", "b", "c"]
     for i in range(9):
-        assert texts([f"a x{i}"]) == [f"ax{i}"]
-    assert len(enc.known) + len(enc.older) < 12
+        for _ in range(3):
+            assert texts([f"a x{i}"]) == [f"ax{i}"]
+    assert seen.count("a") == 1  # what is in use moves to the younger generation
+    assert len(enc.known) + len(enc.older) < 12 and enc.weight <= 600 + 400
 
 
 def tiktoken_encoding():
@@ -60,10 +76,32 @@ def tiktoken_encoding():
 
 def test_replay_is_tiktoken(spark):
     enc = tiktoken_encoding()
-    texts = hostile() + [r[1] for r in odd_rows()]
-    got = bpe.replay_encoder(MULTI, public_tokenizers.PATTERN).encode(texts)
-    for text, ids in zip(texts, got, strict=True):
-        assert ids.tolist() == enc.encode_ordinary(text or ""), text
+    texts = around(WHITE) + around(CASED) + hostile(10_000, 1) + [r[1] for r in odd_rows()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, MULTI, public_tokenizers.PATTERN).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert got[i] == enc.encode_ordinary(text or ""), text
+
+
+def test_words_are_encoded_once(monkeypatch):
+    ranks = bpe.load_ranks(MULTI)
+    seen = []
+    replay = bpe.MergeReplay(ranks)
+    whole = replay.encode
+    replay.encode = lambda words: seen.extend(words) or whole(words)
+    blocks = bpe.Blocks(replay)
+    rows = sorted((w, s, k) for s in range(7) for k, w in enumerate([" hello", " world", "漢字", f" w{s}"]))
+    found = {}
+    for at in range(0, len(rows), 5):
+        some = rows[at : at + 5]
+        out = blocks.run(pa.table({"slice": [s for _, s, _ in some], "k": pa.array([k for *_, k in some], pa.int32()), "word": [w for w, *_ in some]}))
+        for r in out.to_pylist():
+            ks, sizes, ids = (bpe._unpacked(r[c]).tolist() for c in ("ks", "sizes", "ids"))
+            for k, n in zip(ks, sizes, strict=True):
+                found[r["slice"], k], ids = ids[:n], ids[n:]
+    assert len(seen) == len(set(seen)) == 10
+    assert found == {(s, k): bpe.encode_alone(w.encode(), ranks) for w, s, k in rows}
 
 
 def test_replay_with_ranks_out_of_order():
@@ -106,19 +144,50 @@ def test_store_round_trip(spark):
     assert sorted(map(tuple, tokenstore.read_documents(store).collect())) == sorted(want)
     got = {r.doc_id: r.ids for r in tokenstore.reconstruct(store, store.recipes.filter("doc_id in (4, 7)")).collect()}
     assert got == {i: ids for i, ids in streams if i in (4, 7)}
-    assert store.chunks.count() == store.chunks.select("digest").distinct().count() < sum(len(r.digests) for r in store.recipes.collect())
+    n_steps = sum(len(r.digests) for r in store.recipes.collect())
+    assert store.chunks.count() == store.chunks.select("digest").distinct().count() < n_steps
     assert tokenstore.read_documents(tokenstore.write_store(empty_docs(spark), WORD)).count() == 0
 
 
+def test_store_of_awkward_rows(spark):
+    passage = " ".join(f"word{i % 977}x{i % 31}" for i in range(4000))
+    rows = [(i, passage) for i in range(300)] + [(None, "no id"), (None, None), (7, passage + " again"), (900, "y " * 200_000), (901, "z" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS bucket", "3 AS kind", "4 AS digests")
+    store = tokenstore.write_store(docs, WORD)
+    whole = plain(WORD)
+    got = tokenstore.read_documents(store).collect()
+    want = sorted((-1 if i is None else i, zlib.crc32(np.array([*whole(t), 1], "<u4").tobytes())) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
+def damaged(store, spark, change):
+    """The store with changed chunks."""
+    path = store.path + "-damaged"
+    rows = spark.read.parquet(f"{store.path}/parts")
+    change(rows).sortWithinPartitions("kind", "bucket", "key").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/parts")
+    return store._replace(path=path)
+
+
 def test_store_notices_damage(spark):
     from pyspark.sql import functions as F
 
-    store = tokenstore.write_store(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), WORD)
-    bad = store._replace(chunks=store.chunks.withColumn("ids", F.concat("ids", F.lit(b"\x00\x00"))))
+    store = tokenstore.write_store(spark.createDataFrame([(i, f"some words here {i}") for i in range(9)], "doc_id long, text string"), WORD)
+    assert tokenstore.read_documents(store).count() == 9
     with pytest.raises(Exception, match="damaged"):
-        tokenstore.read_documents(bad).collect()
-    with pytest.raises(Exception, match="stored chunks"):
-        tokenstore.read_documents(store._replace(chunks=store.chunks.filter("false"))).collect()
+        tokenstore.read_documents(damaged(store, spark, lambda rows: rows.withColumn("ids", F.concat("ids", F.lit(b"\x00\x00"))))).collect()
+    with pytest.raises(Exception, match="lack"):
+        tokenstore.read_documents(damaged(store, spark, lambda rows: rows.filter("kind <> 'chunks'"))).collect()
+    with pytest.raises(Exception, match="manifest"):
+        tokenstore.read_documents(store._replace(recipes=store.recipes.filter("doc_id <> 3"))).collect()
+    with pytest.raises(Exception, match="manifest"):
+        tokenstore.read_documents(store._replace(recipes=store.recipes.withColumn("doc_id", F.col("doc_id") + 1))).collect()
+    swapped = store.recipes.withColumn("digests", F.reverse(F.concat("digests", "digests")))
+    with pytest.raises(Exception, match="recipe"):
+        tokenstore.read_documents(store._replace(recipes=swapped)).collect()
 
 
 def test_chunks_follow_the_content():
@@ -134,12 +203,6 @@ def test_chunks_follow_the_content():
         assert ends[-1] == len(ids) and sizes.max() <= tokenstore.MOST and (sizes[:-1] >= tokenstore.LEAST).all()
 
 
-def test_checksums_of_parts():
-    data = random.Random(0).randbytes(5000)
-    parts = [(zlib.crc32(data[a:b]), b - a) for a, b in ((0, 0), (0, 17), (17, 4000), (4000, 5000))]
-    assert tokenstore.crc_of_parts(parts) == zlib.crc32(data)
-
-
 def test_packing(spark):
     whole = plain(BYTE)
     got = packing.pack_documents(odd_docs(spark), BYTE).collect()
