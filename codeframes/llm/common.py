@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,24 @@ def drop(*paths: str) -> None:
             pass
 
 
+def stored_object(spark: SparkSession, name: str, value) -> str:
+    """Write a small object, such as a trained model, to the shared folder, where tasks read it with ``kept_object``.
+
+    Unlike a broadcast it takes no memory of driver and executors, and a worker lets go of it when idle."""
+    path = f"{shared_dir(spark, name)}.pickle"
+    store, root = filesystem(path)
+    store.create_dir(root.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(root) as out:
+        out.write(pickle.dumps(value))
+    return path
+
+
+def kept_object(path: str):
+    store, root = filesystem(path)
+    with store.open_input_stream(root) as source:
+        return pickle.loads(source.read())
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession

@@ -1,26 +1,30 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (with its borders marked) and itself, hashed into ``BUCKETS``; its vector is the mean
-of theirs, so a misspelling never seen shares most of its vector with the word that it came from.  A segment of
-``SEGMENT`` words is the mean of its words, and one linear softmax layer over it is trained with the embeddings
-by AdaGrad.  Labels are of documents, so training goes in rounds: first a segment has its document's label,
-then, of a toxic document, only the segments that the model of the round before finds most toxic.  A document's
-score is a logistic curve, fitted on the training documents, over its largest segment logit.
+A word is the bag of its character n-grams (with its borders marked) and itself, hashed into ``BUCKETS``; its vector is
+the mean of theirs, so a misspelling never seen shares most of its vector with the word that it came from.  A text is
+the mean of all its words, one that occurs n times with weight sqrt(n), and one linear softmax layer over it gives the probability of label 1,
+which is the score.  Embeddings and layer are trained together by AdaGrad on documents.  A group lasso shrinks each
+embedding towards zero at every step, so that the n-grams that tell nothing stay silent and don't drown the few that do
+in a long text's mean.
 
-As the layer is linear, a trained model is one number per bucket, so scoring needs a lookup per distinct word.
+As the layer is linear, a trained model is one number per bucket, so scoring needs a lookup per n-gram of the distinct
+words of a slice of texts; n-grams are hashed in numpy over all words at once.
 
-The sample is bounded: ``POSITIVES`` and ``NEGATIVES`` labelled documents at most, by hash of the id,
-``SAMPLE_CHARS`` characters of each.  Scoring reads whole texts.
+The sample is bounded: ``POSITIVES`` and ``NEGATIVES`` labelled documents at most, by hash of the id, of those whose text
+has ``SAMPLE_CHARS`` characters at most; these are learned from whole.  Scoring reads whole texts of any length.
 
 Defined results: null, empty and wordless texts have the share of toxic rows in the sample as score; where the
 sample has one class or none, that share (0 without a sample) is everyone's score; of several labels of a
-document the largest counts.
+document the largest counts; rows that repeat a doc_id are scored row by row, and learned from together; a null id is
+scored and never learned from; an empty table gives no rows; of documents only doc_id and text are read, of labels
+doc_id and toxic.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -28,167 +32,161 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import bound_batches, held_out, text_slices
+from codeframes.llm.common import bound_batches, held, held_out, kept_object, stored_object, text_slices
 
-BUCKETS = 1 << 17
+BUCKET_BITS = 17
+BUCKETS = 1 << BUCKET_BITS
 DIM = 4
-GRAMS = (3, 4, 5, 6)
-SEGMENT = 6
-POSITIVES, NEGATIVES = 1500, 3000
-SAMPLE_CHARS = 12_000
-EPOCHS = 3
-ROUNDS = 3
-BATCH = 1024
-RATE = 1.5
+GRAMS = (3, 4, 5)
+POSITIVES, NEGATIVES = 1000, 2000
+SAMPLE_CHARS = 40_000
+EPOCHS = 16
+AVERAGED = 6
+BATCH = 64
+RATE = 0.5
+#: Shrinkage of an embedding's length per step, in steps of ``RATE``.
+LASSO = 0.02
+#: The mean of a text's words enters the layer this many times as large; else its few telling words were too quiet.
+GAIN = 10.0
 #: Initial embeddings are small: an n-gram that training hardly sees must not speak.
 SPREAD = 0.01
-CACHE_LIMIT = 500_000
-LONGEST_WORD = 40
+#: A text's mean is taken with so many silent words besides its own, so that few words alone decide nothing.
+SILENT = 16
 
 WORD = re.compile(r"\w+")
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint64(0x100000001B3)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Distinct words in the order in which they first occur: a word's weight isn't how often it is repeated."""
-    return list(dict.fromkeys(WORD.findall((text or "").lower())))
-
-
-def gram_ids(word: str) -> list[int]:
-    """Buckets of a word: its n-grams with borders, and itself; a very long word counts by its start and end."""
-    if len(word) > LONGEST_WORD:
-        word = word[: LONGEST_WORD // 2] + word[-LONGEST_WORD // 2 :]
-    marked = f"<{word}>"
-    grams = {marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
-    return sorted(zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams)
+    return WORD.findall((text or "").lower())
+
+
+def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams and of the words themselves, word after word; and how many each word has."""
+    flats, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), 1 << 15):
+        flat, size = _gram_ids(words[at : at + (1 << 15)])
+        flats.append(flat)
+        sizes.append(size)
+    return np.concatenate(flats), np.concatenate(sizes)
+
+
+def _gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    marked = [f"<{w}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    stops = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    room = np.repeat(stops, lengths) - np.arange(len(points))  # characters up to the word's end
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in words), np.int32, len(words))
+    buckets, owners = [whole], [np.arange(len(words), dtype=np.int32)]
+    h = np.zeros(len(points), np.uint64)
+    for k in range(max(GRAMS)):
+        h[: len(h) - k] = (h[: len(h) - k] * _PRIME) ^ (points[k:] * _MULTIPLIER)
+        h ^= h >> np.uint64(29)
+        if k + 1 in GRAMS:
+            at = np.flatnonzero(room > k)
+            buckets.append(((h[at] * _MULTIPLIER) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            owners.append(owner[at])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate(buckets)[order], np.bincount(owners, minlength=len(words))
 
 
 class Model(NamedTuple):
     weights: np.ndarray  # a logit per bucket
     bias: float
-    slope: float
-    shift: float
     prior: float
 
-    def word_logits(self, words: list[str]) -> list[float]:
-        ids = [gram_ids(w) for w in words]
-        flat = np.fromiter((g for x in ids for g in x), np.int64)
-        sizes = np.fromiter(map(len, ids), np.int64)
-        starts = np.cumsum(sizes) - sizes
-        return (np.add.reduceat(self.weights[flat], starts) / sizes).tolist() if len(ids) else []
-
-    def calibrated(self, top: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -50, 50)))
-
-
-def top_segments(values: np.ndarray, sizes: np.ndarray, bias: float) -> np.ndarray:
-    """Largest segment logit of consecutive documents of ``sizes`` words each, all of one word at least."""
-    parts = -(-sizes // SEGMENT)
-    owner_first = np.cumsum(parts) - parts
-    owner = np.repeat(np.arange(len(sizes)), parts)
-    starts = (np.cumsum(sizes) - sizes)[owner] + (np.arange(len(owner)) - owner_first[owner]) * SEGMENT
-    counts = np.diff(np.concatenate((starts, [len(values)])))
-    # the mean over a short last segment would make one word loud: it is taken over half a segment at least
-    logits = np.add.reduceat(values, starts) / np.maximum(counts, SEGMENT // 2) + bias
-    return np.maximum.reduceat(logits, owner_first)
-
-
-def _train(segments: list[np.ndarray], labels: np.ndarray, grams: list[np.ndarray], seed: int) -> tuple[np.ndarray, float]:
-    """Joint training; returns the logit per bucket and the bias."""
+    def word_logits(self, words: list[str]) -> np.ndarray:
+        flat, sizes = gram_ids(words)
+        return np.add.reduceat(self.weights[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes if len(words) else np.zeros(0)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The softmax's probability of label 1 for each text."""
+        number: dict[str, int] = {}
+        docs = [{number.setdefault(w, len(number)): n for w, n in Counter(words_of(t)).items()} for t in texts]
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        out = np.full(len(docs), self.prior)
+        some = sizes > 0
+        if some.any() and 0 < self.prior < 1:
+            words = np.fromiter((w for d in docs for w in d), np.int64, int(sizes.sum()))
+            weight = np.sqrt(np.fromiter((n for d in docs for n in d.values()), np.float64, len(words)))
+            first = (np.cumsum(sizes) - sizes)[some]
+            sums = np.add.reduceat(self.word_logits(list(number))[words] * weight, first)
+            means = sums / (np.add.reduceat(weight, first) + SILENT)
+            out[some] = 1 / (1 + np.exp(-np.clip(means + self.bias, -50, 50)))
+        return out
+
+
+def _rows(docs: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Buckets of each document and their shares in the mean of its words."""
+    number: dict[str, int] = {}
+    coded = [{number.setdefault(w, len(number)): n for w, n in Counter(words).items()} for words in docs]
+    flat, sizes = gram_ids(list(number))
+    first = np.cumsum(sizes) - sizes
+    columns, shares = [], []
+    for words in coded:
+        distinct, weight = np.fromiter(words, np.int64, len(words)), np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
+        n = sizes[distinct]
+        at = np.repeat(first[distinct] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        used, to = np.unique(flat[at], return_inverse=True)
+        columns.append(used)
+        shares.append((np.bincount(to, np.repeat(weight / n, n)) * (GAIN / (weight.sum() + SILENT))).astype(np.float32))
+    return columns, shares
+
+
+def _descend(columns: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Joint training; returns the logit per bucket and the bias, both as means over the last epochs."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-SPREAD, SPREAD, (BUCKETS, DIM)).astype(np.float32)
-    layer = np.zeros((DIM, 2), np.float32)
-    layer[:, 1], bias = rng.uniform(-1, 1, DIM), np.zeros(2, np.float32)
-    seen, seen_layer, seen_bias = np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(layer, 1e-6), np.full(2, 1e-6, np.float32)
-    gram_sizes = np.fromiter(map(len, grams), np.int64)
-    gram_flat, gram_first = np.concatenate(grams), np.cumsum(gram_sizes) - gram_sizes
-    share = np.maximum(labels.mean(), 1e-3)
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share)).astype(np.float32)
-
-    def ranges(first, sizes):
-        return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-
+    layer, bias = rng.uniform(-1, 1, (DIM, 2)), np.zeros(2)
+    seen, seen_layer, seen_bias = np.full((BUCKETS, 1), 1e-6, np.float32), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
+    # the rarer class counts more, by the root of how much rarer it is
+    weight = np.where(y == 1, np.sqrt(0.5 / y.mean()), np.sqrt(0.5 / (1 - y.mean())))
+    mean, mean_bias = np.zeros(BUCKETS), 0.0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(segments))
-        rate = RATE * (1 - epoch / (EPOCHS + 1))
+        order = rng.permutation(len(y))
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            sizes = np.fromiter((len(segments[r]) for r in rows), np.int64)
-            words, back = np.unique(np.concatenate([segments[r] for r in rows]), return_inverse=True)
-            n = gram_sizes[words]
-            ids = gram_flat[ranges(gram_first[words], n)]
-            starts = np.cumsum(n) - n
-            word_vectors = np.add.reduceat(table[ids], starts, axis=0) / n[:, None]
-            firsts = np.cumsum(sizes) - sizes
-            x = np.add.reduceat(word_vectors[back], firsts, axis=0) / sizes[:, None]
+            sizes = np.array([len(columns[r]) for r in rows])
+            at, share = np.concatenate([columns[r] for r in rows]), np.concatenate([shares[r] for r in rows])
+            x = np.add.reduceat(table[at] * share[:, None], np.cumsum(sizes) - sizes, axis=0)
             z = x @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
+            p[np.arange(len(rows)), y[rows]] -= 1
             p *= weight[rows][:, None] / len(rows)
             grad_layer, grad_bias, grad_x = x.T @ p, p.sum(axis=0), p @ layer.T
-            per_word = np.zeros((len(words), DIM), np.float32)
-            np.add.at(per_word, back, np.repeat((grad_x / sizes[:, None]).astype(np.float32), sizes, axis=0))
-            per_gram = np.repeat((per_word / n[:, None]).astype(np.float32), n, axis=0)
-            used, to = np.unique(ids, return_inverse=True)
-            step = np.zeros((len(used), DIM), np.float32)
-            np.add.at(step, to, per_gram)
-            seen[used] += (step**2).mean(axis=1, keepdims=True)
-            table[used] -= rate * step / np.sqrt(seen[used])
+            per = np.repeat(grad_x, sizes, axis=0) * share[:, None]
+            step = np.stack([np.bincount(at, per[:, k], minlength=BUCKETS) for k in range(DIM)], axis=1).astype(np.float32)
+            seen += (step**2).mean(axis=1, keepdims=True)
+            table -= RATE * step / np.sqrt(seen)
+            table *= np.maximum(0, 1 - LASSO * RATE / np.maximum(np.sqrt((table**2).sum(axis=1, keepdims=True)), 1e-9))
             seen_layer += grad_layer**2
             seen_bias += grad_bias**2
-            layer -= (rate * 0.1 * grad_layer / np.sqrt(seen_layer)).astype(np.float32)
-            bias -= (rate * 0.1 * grad_bias / np.sqrt(seen_bias)).astype(np.float32)
-    return table @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a small ridge."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hessian = a.T @ (a * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hessian, a.T @ (p - y) + 1e-2 * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), float(w[1])
+            layer -= RATE * 0.1 * grad_layer / np.sqrt(seen_layer)
+            bias -= RATE * 0.1 * grad_bias / np.sqrt(seen_bias)
+        if epoch >= EPOCHS - AVERAGED:
+            mean += table @ (layer[:, 1] - layer[:, 0]) / AVERAGED
+            mean_bias += (bias[1] - bias[0]) / AVERAGED
+    return (mean * GAIN).astype(np.float32), float(mean_bias)
 
 
 def train(texts: list[str | None], toxic: list[int]) -> Model:
-    docs = [(words_of(t), y) for t, y in zip(texts, toxic, strict=True)]
-    docs = [(w, y) for w, y in docs if w]
+    docs = [(words, y) for words, y in ((words_of(t), y) for t, y in zip(texts, toxic, strict=True)) if words]
     prior = float(np.mean([y for _, y in docs])) if docs else 0.0
     if prior in (0.0, 1.0):
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 50.0 if prior else -50.0, prior)
-    vocab: dict[str, int] = {}
-    coded = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64) for words, _ in docs]
-    grams = [np.array(gram_ids(w)) for w in vocab]
-    y = np.array([label for _, label in docs])
-    segments = [c[i : i + SEGMENT] for c in coded for i in range(0, len(c), SEGMENT)]
-    owner = np.repeat(np.arange(len(docs)), [-(-len(c) // SEGMENT) for c in coded])
-    long_enough = np.array([len(s) for s in segments]) >= SEGMENT // 2
-    use = np.ones(len(segments), bool)
-    labels = y[owner]
-    sizes = np.array([len(c) for c in coded])
-    flat = np.concatenate(coded)
-    for k in range(ROUNDS):
-        chosen = np.flatnonzero(use)
-        weights, bias = _train([segments[i] for i in chosen], labels[chosen], grams, seed=k)
-        per_word = np.array([weights[g].mean() for g in grams])
-        logits = np.array([per_word[s].sum() / max(len(s), SEGMENT // 2) for s in segments]) + bias
-        best = np.full(len(docs), -np.inf)
-        np.maximum.at(best, owner, logits)
-        # of a toxic document its most toxic segments stay, the unclear ones take no part
-        use = (labels == 0) | (logits >= np.minimum(best[owner], np.maximum(0.0, best[owner] * 0.5))) | ~long_enough & (logits >= best[owner])
-    top = top_segments(per_word[flat], sizes, bias)
-    slope, shift = _logistic(top, y)
-    return Model(weights.astype(np.float32), bias, slope, shift, prior)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, prior)
+    weights, bias = _descend(*_rows([words for words, _ in docs]), np.array([y for _, y in docs]))
+    return Model(weights, bias, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that aren't held out; the sample is bounded."""
-    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     label: dict[int, int] = {}
     for value, most in ((1, POSITIVES), (0, NEGATIVES)):
@@ -198,42 +196,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return train([], [])
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame([(i,) for i in label], "doc_id long"))  # at most POSITIVES + NEGATIVES rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("t")).join(ids, "doc_id", "left_semi").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.t or ""))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
+    # of rows that repeat an id one is learned from, so the sample stays within its bound
+    sample = text.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("t").alias("t")).collect()
+    sample.sort(key=lambda r: r.doc_id)
     return train([r.t for r in sample], [label[r.doc_id] for r in sample])
 
 
-_KNOWN: dict = {}
-
-
-def known_words(tag: int) -> dict[str, float]:
-    """Logits of words by this Python worker's model ``tag``, kept between tasks and bounded."""
-    if _KNOWN.get("tag") != tag or len(_KNOWN["logits"]) > CACHE_LIMIT:
-        _KNOWN.update(tag=tag, logits={})
-    return _KNOWN["logits"]
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    tag = zlib.crc32(model.weights.tobytes())
+    path = stored_object(docs.sparkSession, "toxicity", model)
 
     @F.pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
-        model, out = shared.value, [np.zeros(0)]
-        for part in text_slices(texts):
-            docs = [words_of(t) for t in part]
-            logits = known_words(tag)
-            new = list({w for d in docs for w in d if w not in logits})
-            logits.update(zip(new, model.word_logits(new), strict=True))
-            sizes = np.fromiter(map(len, docs), np.int64)
-            got = np.full(len(docs), model.prior)
-            if sizes.any():
-                values = np.fromiter((v for d in docs for v in map(logits.__getitem__, d)), np.float64, int(sizes.sum()))
-                got[sizes > 0] = model.calibrated(top_segments(values, sizes[sizes > 0], model.bias))
-            out.append(got)
-        return pd.Series(np.concatenate(out))
+        with held(path, lambda: kept_object(path)) as model:
+            return pd.Series(np.concatenate([np.zeros(0), *(model.scores(part) for part in text_slices(texts, rows=1024, size=1 << 20))]))
 
     rows = docs.select("doc_id", held_out().alias("held_out"), toxic(F.col("text").cast("string")).alias("score"))
     return rows.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))

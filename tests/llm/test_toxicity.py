@@ -53,7 +53,50 @@ def test_odd_inputs(spark):
     assert len(got) == docs.count() and all(r.score is not None and 0 <= r.score <= 1 for r in got)
     assert toxicity.score(empty_docs(spark), model).count() == 0
     nothing = toxicity.fit(docs, labels.filter("false"))
-    assert {r.score for r in toxicity.score(docs, nothing).collect()} <= {0.0, nothing.calibrated(np.zeros(1))[0]}
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
+    one = toxicity.fit(docs, labels.filter("toxic = 0"))
+    assert {r.score for r in toxicity.score(docs, one).collect()} == {0.0}
+
+
+def plain_score(model, text):
+    """The averaged bag under the softmax, gram by gram and word by word."""
+    mask, count = (1 << 64) - 1, {}
+    for w in toxicity.WORD.findall((text or "").lower()):
+        count[w] = count.get(w, 0) + 1
+    if not count:
+        return model.prior
+    total = weights = 0.0
+    for w, n in count.items():
+        marked = [ord(c) for c in f"<{w}>"]
+        buckets = [zlib.crc32(w.encode()) % toxicity.BUCKETS]
+        for size in toxicity.GRAMS:
+            for i in range(len(marked) - size + 1):
+                h = 0
+                for c in marked[i : i + size]:
+                    h = ((h * 0x100000001B3) & mask) ^ ((c * 0x9E3779B97F4A7C15) & mask)
+                    h ^= h >> 29
+                buckets.append(((h * 0x9E3779B97F4A7C15) & mask) >> (64 - toxicity.BUCKET_BITS))
+        total += n**0.5 * float(np.mean(model.weights[buckets].astype(float)))
+        weights += n**0.5
+    return 1 / (1 + np.exp(-(total / (weights + toxicity.SILENT) + model.bias)))
+
+
+def test_scores_are_those_of_a_plain_model():
+    rows = corpus(600)
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    texts = [rows[0][1], rows[1][1], "scoundrel", "a", "", "é漢字 \U0001f600 é é", "x" * 3000, "blockhead " * 500, "word scoundrell " + "y" * 70]
+    assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-6)
+    long = "q" * 50 + "blockhead" + "z" * 50  # what stands inside a long word counts
+    assert model.word_logits([long])[0] != model.word_logits(["q" * 50 + "blockhexd" + "z" * 50])[0]
+
+
+def test_all_of_a_long_text_counts():
+    rows = corpus(600)
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    clean = sentence(random.Random(9), 30_000)
+    bad = " ".join(clean.split()[:25_000]) + " scoundrel blockhead nitwit dunderhead" * 1500
+    scores = model.scores([clean, bad])
+    assert scores[1] > 0.5 > scores[0]
 
 
 def test_empty_text_has_the_prior(spark):
