@@ -69,12 +69,16 @@ def kept_object(path: str):
         return pickle.loads(source.read())
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
+def written_at(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """``df`` as a table of the shared folder, and its path: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    return written_at(df, name, codec)[0]
 
 
 #: Whole texts are long: Arrow batches to Python workers are held to this many bytes.

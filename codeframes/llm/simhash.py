@@ -3,27 +3,30 @@
 The 64 fingerprint bits lie on a ring of ``SEGMENTS`` segments.  Two fingerprints within ``TAU`` bits must have
 a segment from which every chain of l consecutive segments differs in at most ``floor(l * TAU / SEGMENTS)``
 bits (the pigeonring principle).  With five segments and four bits the budgets are 0, 1, 2, 3, 4: one segment
-is equal, and the next one differs in at most one bit.  The equal segment is the bucket key of the shuffle (five
-rows a fingerprint); within a bucket each fingerprint goes to the sub-bucket of its next segment and to those one
-flip away, which makes the two-segment chain; longer chains prune the pairs of a sub-bucket, and only pairs that
-pass get the full Hamming check.
+is equal, and the next one differs in at most one bit, so one half of it is equal too.  The equal segment and the equal
+half are the bucket key of the shuffle (ten rows a fingerprint, some six million buckets); within a bucket each
+fingerprint goes to the sub-bucket of the other half and to those one flip away, which makes the two-segment chain;
+longer chains prune the pairs of a sub-bucket, and only pairs that pass get the full Hamming check.
 
 A bucket never yields all its pairs: pairs that link are merged at once, and the bucket returns one edge from
 each member to the smallest fingerprint of its part.  Large sub-buckets are searched breadth first, so that a dense
-group costs little more than a pass.  Components come from alternating large-star and small-star steps on tables in the shared folder.
+group costs little more than a pass.  Components come from alternating large-star and small-star steps on tables in the
+shared folder; a step's tables go when the next ones are written.
 
-Defined results: null and wordless texts have fingerprint zero and link like any other; rows that repeat a
-doc_id get the same component; a null doc_id never names a component while the component has another id.
+Defined results: null and wordless texts have fingerprint zero and link like any other; rows that
+repeat a doc_id get the component of their own text; a null doc_id never names a component while the component has
+another id; an empty table gives no rows; of all columns only doc_id and text are read, and ``keep_one`` passes the
+others through, whatever their names; a text of any length is hashed whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import bound_batches, slices, written
+from codeframes.llm.common import bound_batches, drop, slices, written, written_at
 
 TAU = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -76,7 +79,7 @@ def fold(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint of each whole text as a signed long."""
+    """doc_id, fp, mark: the fingerprint of each whole text as a signed long, and a hash that tells an id's texts apart."""
 
     def work(batches):
         for batch in batches:
@@ -84,26 +87,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 some = [shingle_hashes(x) for x in part.column("text").cast(pa.binary()).to_pylist()]
                 flat = np.fromiter((h for s in some for h in s), np.uint64)
                 fps = fold(flat, np.fromiter(map(len, some), np.int64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps), part.column("mark")], names=["doc_id", "fp", "mark"])
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), mark(text).alias("mark")).mapInArrow(work, "doc_id long, fp long, mark long")
+
+
+def mark(text: Column) -> Column:
+    """64 bits of a text; a null text has its own."""
+    return F.xxhash64(text.isNull(), text)
+
+
+#: (shift, width) of the halves of each segment.
+HALVES = tuple(((s, w // 2), (s + w // 2, w - w // 2)) for s, w in zip(SHIFTS, WIDTHS, strict=True))
 
 
 def segment_keys() -> list:
-    """Columns of the bucket keys of ``fp``: the start segment's number and bits."""
-    bits = lambda i: F.shiftrightunsigned("fp", SHIFTS[i]).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1))
-    return [bits(i).bitwiseOR(F.lit((i + 1) << 16)).cast("int") for i in range(len(WIDTHS))]
+    """Columns of the bucket keys of ``fp``: the start segment's number and bits, and one half of the next segment."""
+    bits = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+    keys = []
+    for i in range(len(WIDTHS)):
+        for half, (shift, width) in enumerate(HALVES[(i + 1) % len(WIDTHS)]):
+            key = F.shiftleft(bits(SHIFTS[i], WIDTHS[i]), 7).bitwiseOR(bits(shift, width)).bitwiseOR(F.lit((2 * i + half + 1) << 20))
+            keys.append(key.cast("int"))
+    return keys
 
 
 def chained(keys: np.ndarray, fps: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """Edges of whole buckets: each fingerprint goes to the sub-bucket of its next segment and to those one flip away,
-    some of the sub-buckets at a time where they are many."""
-    j = (keys.astype(np.int64) >> 16) % len(WIDTHS)  # the number is one more than the segment, so this is the next
-    shifts, widths = np.array(SHIFTS, np.uint64)[j], np.array(WIDTHS)[j]
-    nexts = ((fps >> shifts) & np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)[j]).astype(np.int64)
-    base = keys.astype(np.int64) << 16 | nexts
-    turns = max(WIDTHS) + 1
+    """Edges of whole buckets: each fingerprint goes to the sub-bucket of its next segment's other half and to those one
+    flip away, some of the sub-buckets at a time where they are many."""
+    tag = (keys.astype(np.int64) >> 20) - 1
+    other = np.array([HALVES[(t // 2 + 1) % len(WIDTHS)][1 - t % 2] for t in range(2 * len(WIDTHS))])[tag]
+    widths = other[:, 1]
+    rest = ((fps >> other[:, 0].astype(np.uint64)) & ((1 << widths) - 1).astype(np.uint64)).astype(np.int64)
+    base = keys.astype(np.int64) << 8 | rest
+    turns = max(w for halves in HALVES for _, w in halves) + 1
     pieces = -(-len(keys) * turns // most)
     out = []
     for piece in range(pieces):
@@ -213,50 +232,55 @@ def components(pairs: DataFrame, name: str = "links") -> DataFrame:
     """node, root for every node of the edges (a, b): alternating large-star and small-star steps.
 
     Only minima are gathered per node, so a hub costs one row per task; every step is a table in the shared folder."""
-    now = written(pairs.select("a", "b").filter("a <> b"), f"{name}-edges")
+    now, path = written_at(pairs.select("a", "b").filter("a <> b"), f"{name}-edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large.filter("a <> b"), f"{name}-large")
+        large, large_path = written_at(large.filter("a <> b"), f"{name}-large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = written(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}-small")
+        now, small_path = written_at(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}-small")
+        drop(path, large_path)
+        path = small_path
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(seen)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row of ``docs``."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, mark of every row, and the least (without id, doc_id, mark) of its component as ``least``."""
     fps = written(fingerprints(docs), "simhash-fps")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    classes = written(fps.groupBy("fp").agg(first.alias("rep")), "simhash-classes")
     links = components(edges(classes), "simhash")
     rooted = classes.join(links, classes.fp == links.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-labels")
-    return fps.join(labels, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    labels = written(rooted.join(least, "root").select("fp", "least"), "simhash-labels")
+    return fps.join(labels, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of ``docs``."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: that of the smallest doc_id; of rows that repeat a doc_id one stays.
-
-    What goes is usually the shorter list, so rows are held against that; its table has a known size, by which
-    Spark broadcasts it or moves the text once, by doc_id.  Rows without an id count as repeats of each other."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    kept = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = written(found.groupBy("doc_id").agg(kept.alias("kept")).filter("not kept").select(F.col("doc_id").alias("__gone")), "simhash-gone")
-    id_ = F.col("__row.doc_id").cast("long")
-    rows = docs.select(F.struct("*").alias("__row")).join(gone, id_.eqNullSafe(F.col("__gone")), "left_anti")
-    one = rows.groupBy(id_.alias("__id")).agg(F.first("__row").alias("__row")) if _repeats(docs) else rows
-    return one.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether any doc_id repeats, from the id column alone."""
-    return bool(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count())
+    """One row of each group: that of the smallest doc_id, and of several texts with that id the one of the smallest hash.
+
+    A row without an id, or whose id other texts have too, goes only if its own text is a near duplicate.  Rows that
+    repeat both id and text are duplicates: the one whose columns have the smallest hash stays.  What goes is usually
+    the shorter list, so rows are held against that; its table has a known size, by which Spark broadcasts it or moves
+    the text once, by doc_id."""
+    found = grouped(docs.select("doc_id", "text"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
+    marks = written(found.groupBy("doc_id", "mark").agg(F.bool_or(kept).alias("kept"), F.count(F.lit(1)).alias("n")), "simhash-marks")
+    gone = written(marks.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__gone_mark")), "simhash-gone")
+    id_, mark_ = F.col("__row.doc_id").cast("long"), mark(F.col("__row.text").cast("string"))
+    rows = docs.select(F.struct("*").alias("__row")).join(gone, id_.eqNullSafe(F.col("__gone")) & (mark_ == F.col("__gone_mark")), "left_anti")
+    if marks.filter("kept and n > 1").limit(1).count():
+        rows = rows.groupBy(id_.alias("__id"), mark_.alias("__mark")).agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return rows.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))

@@ -110,3 +110,24 @@ def test_keep_one(spark):
     rows = odd_rows()
     want = sorted(set(plain_components([r[0] for r in rows], [plain_fingerprint(r[1]) for r in rows])))
     assert ids == want
+
+
+def test_keep_one_keeps_what_is_no_duplicate(spark):
+    from .helpers import sentence
+
+    rng = random.Random(21)
+    a, b, c, d, e = (sentence(rng, 80) for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (None, a, "y"), (3, c, "x"), (3, d, "x"), (3, c, "z"), (4, e, "x"), (5, e + " ", "x"), (6, None, "x"), (7, "", "x"), (None, e, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (3, c), (3, d), (4, e), (6, None)], key=str)
+    again = [tuple(r) for r in simhash.keep_one(docs.repartition(3)).collect()]
+    assert sorted(again, key=str) == sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+    ids = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert (None, None) in ids and (None, 4) in ids and (7, 6) in ids and (3, 3) in ids
+
+
+def test_a_very_long_text():
+    text = " ".join(f"w{i % 4999}" for i in range(200_000))
+    flat = np.array(simhash.shingle_hashes(text.encode()), np.uint64)
+    assert int(simhash.fold(flat, np.array([len(flat)]))[0]) == plain_fingerprint(text)
