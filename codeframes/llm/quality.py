@@ -9,11 +9,12 @@ A line fails if it
 A document is kept if it passes the base limits and its passing lines hold at least ``MIN_LEFT`` percent of the
 characters of all its lines that have a word.
 
-Repeated three-word windows are found without a shuffle: window hashes are sorted as longs that carry their
-position in the low bits, and neighbours of equal hash are compared by their words.
+Repeated three-word windows are found without a shuffle, and only where some hash of a window repeats: windows are then
+sorted by hash and words, so that equal ones are neighbours, whatever collides.
 
-Defined results: a null text counts as empty (no words, base_failed); rows that repeat a doc_id are judged row
-by row; all other columns pass through untouched, whatever their names.
+Defined results: a null text counts as empty (no words, base_failed); rows that repeat a doc_id, or have none, are judged
+row by row; an empty table gives no rows; all other columns pass through untouched, whatever their names; texts of any
+length take the same path.
 """
 
 from __future__ import annotations
@@ -21,11 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import ASCII_SPACE
+from codeframes.llm.common import ASCII_SPACE, let
 
 BLANKS = " \t\n\x0b\f\r"
-#: Positions take this many bits of a window's long; longer texts take the path without packing.
-POSITION_BITS = 22
 MIN_WORDS = 50
 MAX_REPEATED = 50
 MIN_LEFT = 50
@@ -53,47 +52,41 @@ def _has_word(line: Column) -> Column:
     return line.rlike(f"[^{ASCII_SPACE}]")
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line that has a word passes all rules."""
+def line_passes(line: Column, boiler: Column | bool = True, separated: Column | bool = True, marked: Column | bool = True) -> Column:
+    """Whether a line that has a word passes all rules; the flags tell whether its text holds any boilerplate, separator
+    or mark at all, and so whether the line must be searched for them."""
+    boiler, separated, marked = (F.lit(x) if isinstance(x, bool) else x for x in (boiler, separated, marked))
     trimmed = F.btrim(line, F.lit(BLANKS))
     words = F.size(F.split(trimmed, f"[{ASCII_SPACE}]+"))
     count = lambda cls: F.length(line) - F.length(F.regexp_replace(line, cls, ""))
-    separators = count(SEPARATORS)
-    low = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | low.contains(phrase)
+    few = let(count(SEPARATORS), lambda n: (n < 2) | (n * 5 < words))
     return (
         (F.right(trimmed, F.lit(1)).isin(*CLOSING) | trimmed.rlike(SENTENCE_END))
-        & (count(MARKS) * 2 < words)
-        & ~((separators >= 2) & (separators * 5 >= words))
-        & ~boiler
+        & (~marked | (count(MARKS) * 2 < words))
+        & (~separated | few)
+        & (~boiler | ~let(F.lower(line), _holds_boilerplate))
     )
 
 
-def _covered(words: Column, hashes: Column, packed: Column) -> Column:
-    """Number of words in windows that occur twice or more; ``packed`` holds the sorted windows or null if too long."""
-    mask = F.lit((1 << POSITION_BITS) - 1)
+def _holds_boilerplate(low: Column) -> Column:
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | low.contains(phrase)
+    return found
+
 
-    def same(i: Column, j: Column) -> Column:
-        return (words[i] == words[j]) & (words[i + 1] == words[j + 1]) & (words[i + 2] == words[j + 2])
+def _covered(words: Column, windows: Column) -> Column:
+    """Number of words in windows that occur twice or more."""
+    row = lambda h, i: F.struct(h.alias("h"), words[i].alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i"))
 
-    def repeats(rows: Column, key, at) -> Column:
+    def repeats(rows: Column) -> Column:
         def twin(x: Column, y: Column) -> Column:
-            return (key(x) == key(y)) & same(at(x), at(y))
+            return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
         hit = F.filter(rows, lambda x, k: ((k > 0) & twin(F.get(rows, k - 1), x)) | ((k + 1 < F.size(rows)) & twin(x, F.get(rows, k + 1))))
-        return F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(at(x), at(x) + 1, at(x) + 2)))))
+        return F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    long_rows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return (
-        F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0))
-        .when(
-            F.size(hashes) < (1 << POSITION_BITS),
-            repeats(packed, lambda x: F.shiftright(x, POSITION_BITS), lambda x: x.bitwiseAND(mask).cast("int")),
-        )
-        .otherwise(F.element_at(F.transform(F.array(long_rows), lambda rows: repeats(rows, lambda x: x["h"], lambda x: x["i"])), 1))
-    )
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(F.sort_array(F.transform(windows, row)), repeats))
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -105,10 +98,14 @@ def assess(docs: DataFrame) -> DataFrame:
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(c("words")[i], c("words")[i + 1], c("words")[i + 2]))).otherwise(
         F.array().cast("array<bigint>")
     )
-    three = two.select("*", windows.alias(_P + "windows"), F.filter(c("lines"), line_passes).alias(_P + "passing"))
-    pack = F.transform(c("windows"), lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR(i.cast("long")))
-    repeated = F.size(F.array_distinct(c("windows"))) < F.size(c("windows"))
-    four = three.select("*", F.when(repeated & (F.size(c("windows")) < (1 << POSITION_BITS)), F.sort_array(pack)).alias(_P + "packed"))
+    flags = two.select(
+        "*",
+        _holds_boilerplate(F.lower(c("text"))).alias(_P + "boiler"),
+        c("text").rlike(SEPARATORS).alias(_P + "separated"),
+        c("text").rlike(MARKS).alias(_P + "marked"),
+    )
+    passing = F.filter(c("lines"), lambda line: line_passes(line, c("boiler"), c("separated"), c("marked")))
+    four = flags.select("*", windows.alias(_P + "windows"), passing.alias(_P + "passing"))
     text_chars = lambda lines: F.length(F.array_join(lines, ""))
     five = four.select(
         c("row").alias("row"),
@@ -116,7 +113,7 @@ def assess(docs: DataFrame) -> DataFrame:
         F.length(F.array_join(c("words"), "")).cast("long").alias("word_chars"),
         (F.length(c("text")) - F.length(F.regexp_replace(c("text"), "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long").alias("n_dup_lines"),
-        _covered(c("words"), c("windows"), c("packed")).cast("long").alias("n_repeat_words"),
+        _covered(c("words"), c("windows")).cast("long").alias("n_repeat_words"),
         text_chars(c("lines")).cast("long").alias("line_chars"),
         text_chars(c("passing")).cast("long").alias("left_chars"),
         F.array_join(c("passing"), "\n").alias("cleaned"),

@@ -6,18 +6,24 @@ one version of each blob that the ledger lacks under the current rules, scans on
 and joins findings back to every path.  The join back is on the blob; only blobs with findings take part, and
 Spark splits a blob that a third of the paths share.
 
-Spans are code points, end exclusive.  They come from splitting the text at the matches: lengths of the pieces
-and of the matches add up to the positions.
+A ledger is kept as a table at a path of its own (``Ledger``): a later scan of the same and of new versions reads it,
+scans what is new, and adds that.
+
+Spans are code points, end exclusive.  A rule passes over a text once: its matches are marked off in the text, and the
+lengths of the parts between the marks add up to the positions.
 
 Defined results: a null text is an empty blob; rows that repeat a path and text give a row each; rows that
-repeat a path with another text are versions of it; extra columns are not read.
+repeat a path with another text are versions of it; a null path is a path like others; an empty table gives no rows and
+extends the ledger by none; extra columns are not read, and ``redact`` passes them through, whatever their names; long
+texts are scanned whole.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeframes.llm.common import let, written
@@ -53,8 +59,8 @@ RULES = (
 BASE = 3
 RULE_VERSION = "4"
 MASK = "[REDACTED]"
-#: One in so many versions or less are few.
-FEW = 64
+#: Marks matches off; a character of its own kind stands for it where a text has it, which no rule tells apart.
+_EDGE, _OTHER = "\ue000", "\ue001"
 
 LEDGER_SCHEMA = "blob string, rule_version string, spans array<struct<start: int, rank: int, end: int, kind: string>>"
 _EMPTY = "array<struct<start: int, rank: int, end: int, kind: string>>"
@@ -62,21 +68,25 @@ _EMPTY = "array<struct<start: int, rank: int, end: int, kind: string>>"
 
 def _spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches whose value is long enough."""
-    pattern = F.lit(rule.pattern)
-    pieces = F.transform(F.split(text, rule.pattern, -1), F.length)
-    matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    values = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
+    value = f"${rule.group}"
+    marked = F.regexp_replace(F.translate(text, _EDGE, _OTHER), F.lit(rule.pattern), F.lit(f"{_EDGE}$0{_EDGE}{value}{_EDGE}"))
+    # lengths of a part before a match, the match, its value, the next part before a match, and so on
+    sizes = F.transform(F.split(marked, _EDGE, -1), F.length)
+
+    def walk(found: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + found[i * 3]
+            end = start + found[i * 3 + 1]
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+            more = F.when(found[i * 3 + 2] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+            return F.struct(end.alias("at"), more.alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        more = F.when(x["value"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start + x["size"]).alias("at"), more.alias("spans"))
+        none = F.array().cast(_EMPTY)
+        zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        n = ((F.size(found) - 1) / 3).cast("int")
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: acc["spans"])).otherwise(none)
 
-    rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("gap"), matches.alias("size"), values.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("spans"))
-    found = F.aggregate(let(rows, lambda x: x), zero, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(_EMPTY))
+    return let(sizes, walk)
 
 
 def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -89,30 +99,50 @@ def _versions(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("path"), text.alias("text"), F.sha2(text, 256).alias("blob"))
 
 
+class Ledger:
+    """A ledger as a table at ``path``, which every run that adds to it extends by files of its own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        """All rows; none while the table doesn't exist."""
+        try:
+            return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+
 def extend_ledger(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """Rows for the blobs of ``paths`` (path, blob of every version) that ``ledger`` lacks under ``version``."""
+    """Rows for the blobs of ``paths`` (path, blob of every version) that ``ledger`` lacks under ``version``.
+
+    The versions that are due are a written list, by whose size Spark broadcasts it (few new versions: no text moves)
+    or moves list and texts by path and blob."""
     firsts = paths.groupBy("blob").agg(F.min("path").alias("first"))
     if ledger is not None:
         firsts = firsts.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    firsts = firsts.withColumnRenamed("blob", "new_blob")
-    due = F.col("path").eqNullSafe(F.col("first")) & F.col("new_blob").isNotNull()
-    marked = written(paths.join(firsts, F.col("blob") == F.col("new_blob"), "left").select("path", "blob", due.alias("due")).distinct(), "secret-due")
-    # The shorter list is held against the rows.  A list of few of them is a written table, by whose size Spark
-    # broadcasts it or not; one of a larger share grows as the rows do, so rows and list always meet by shuffle.
-    n_all, n_due = marked.count(), marked.filter("due").count()
-    short = n_due <= n_all - n_due
-    chosen = written(marked.filter("due" if short else "not due").select(F.col("path").alias("p"), F.col("blob").alias("b")), "secret-chosen")
-    if min(n_due, n_all - n_due) * FEW > n_all:
-        chosen = chosen.hint("shuffle_hash")
-    one = _versions(docs).join(chosen, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi" if short else "left_anti")
+    due = written(firsts.select(F.col("first").alias("p"), F.col("blob").alias("b")), "secret-due")
+    one = _versions(docs).join(due, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
     return one.select("blob", F.lit(version).alias("rule_version"), spans(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(path, blob, spans) of every version, and the ledger with what was new; both rest on written tables."""
+def scan(docs: DataFrame, ledger: DataFrame | Ledger | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(path, blob, spans) of every version, and the ledger with what was new; both rest on written tables.
+
+    A ``Ledger`` is extended in place."""
+    known = ledger.read() if isinstance(ledger, Ledger) else ledger
     paths = written(_versions(docs).select("path", "blob"), "secret-paths")
-    new = written(extend_ledger(docs, paths, ledger, rules, version), "secret-ledger")
-    full = new if ledger is None else ledger.unionByName(new)
+    new = written(extend_ledger(docs, paths, known, rules, version), "secret-ledger")
+    if isinstance(ledger, Ledger):
+        ledger.add(new)
+        full = ledger.read()
+    else:
+        full = new if known is None else known.unionByName(new)
     hits = full.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
     found = paths.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(_EMPTY)).alias("spans"))
     return found, full
@@ -122,8 +152,8 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    found, _ = scan(docs)
+def report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    found, _ = scan(docs, ledger)
     base = F.filter("spans", lambda s: s["rank"] < BASE)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
@@ -144,10 +174,10 @@ def masked(text: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, folded).otherwise(text)
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """All rows, secrets masked; n_chars, where there is one, follows the text."""
-    _, ledger = scan(docs)
-    hits = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("__hit_blob"), F.col("spans").alias("__hit_spans"))
+    _, full = scan(docs, ledger)
+    hits = full.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("__hit_blob"), F.col("spans").alias("__hit_spans"))
     blob = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     rows = docs.select(F.struct("*").alias("__row"), blob.alias("__blob")).join(hits, F.col("__blob") == F.col("__hit_blob"), "left")
     text = F.when(F.col("__hit_spans").isNotNull(), masked(F.col("__row.text"), F.col("__hit_spans"))).otherwise(F.col("__row.text"))

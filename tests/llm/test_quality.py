@@ -30,6 +30,26 @@ def test_repeats_on_hostile_texts(spark):
     assert got == [plain(t)[4] for t in texts]
 
 
+def test_a_very_long_text(spark):
+    words = [f"w{i % 70_001}" for i in range(150_000)]
+    for k in (0, 5, 149_990):
+        words[k : k + 3] = ["same", "three", "words"]
+    text = " ".join(words)
+    row = quality.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert tuple(row[c] for c in BASE) == plain(text)
+
+
+def test_flags_change_no_verdict(spark):
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    lines = ["SHARE THIS page with all.", "a | b.", "a | b | c | d.", "Ok! Ok! Ok!", "Fine words here.", "Cookie Policy."]
+    rows = [(i, prose + "\n" + "\n".join(lines[:i] + lines[i + 1 :])) for i in range(len(lines))]
+    got = {r.doc_id: r.text.split("\n")[1:] for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one = spark.createDataFrame([(x,) for x in lines], "line string")
+    good = [r.line for r in one.filter(quality.line_passes(one.line)).collect()]
+    assert good == ["a | b.", "Fine words here."]
+    assert got == {i: [x for x in lines[:i] + lines[i + 1 :] if x in good] for i in range(len(lines))}
+
+
 def test_lines_that_pass(spark):
     prose = "The quick fox ran over the hill and slept."
     lines = [prose, "Home | About | News | Contact us.", "BUY!! NOW!! CHEAP!! STUFF!!", "All rights reserved.", "no end mark here", "w*** t### s$$$ z&&&", "It ended. Then it was cut"]

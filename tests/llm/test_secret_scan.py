@@ -24,6 +24,8 @@ TEXTS = [
     "secret=xxxxxx ",
     "-----BEGIN RSA PRIVATE KEY----- postgres://u:pw@h/ eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl",
     "token=abcdef " * 500,
+    "\ue000 token=abcdef\ue000\ue001 secret=ghijkl $0 \\ue000 " + "0" * 24 + "\ue000",
+    "x " * 60_000 + "token=abcdef " + "y\n" * 60_000 + "f" * 30,
 ]
 
 
@@ -60,6 +62,20 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {(r.path, len(r.spans)) for r in again.collect()} == {(1, 1), (2, 1), (3, 0), (4, 2), (1, 2)}
 
 
+def test_a_kept_ledger_spares_the_second_run(spark, tmp_path):
+    book = secret_scan.Ledger(spark, str(tmp_path / "ledger"))
+    assert book.read().count() == 0
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0])], "doc_id long, text string")
+    first = sorted(map(tuple, secret_scan.report(docs, book).collect()), key=str)
+    assert book.read().count() == len(TEXTS)
+    paths = secret_scan._versions(docs).select("path", "blob")
+    assert secret_scan.extend_ledger(docs, paths, book.read()).count() == 0  # no text is scanned again
+    assert sorted(map(tuple, secret_scan.report(docs, book).collect()), key=str) == first and book.read().count() == len(TEXTS)
+    more = docs.union(spark.createDataFrame([(99, "token=zyxwvu")], docs.schema))
+    assert secret_scan.report(more, book).count() == len(TEXTS) + 2 and book.read().count() == len(TEXTS) + 1
+    assert secret_scan.redact(more, book).filter("doc_id = 99").first().text == secret_scan.MASK
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef b " + "0" * 30, 9), (2, "clean", 5), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(docs).collect()}
