@@ -9,8 +9,8 @@ Spark splits a blob that a third of the paths share.
 A ledger is kept as a table at a path of its own (``Ledger``): a later scan of the same and of new versions reads it,
 scans what is new, and adds that.
 
-Spans are code points, end exclusive.  A rule passes over a text once: its matches are marked off in the text, and the
-lengths of the parts between the marks add up to the positions.
+Spans are code points, end exclusive.  Where a rule matches, its matches are marked off in the text in one pass,
+and the lengths of the parts between the marks add up to the positions.
 
 Defined results: a null text is an empty blob; rows that repeat a path and text give a row each; rows that
 repeat a path with another text are versions of it; a null path is a path like others; an empty table gives no rows and
@@ -86,7 +86,7 @@ def _spans_of(text: Column, rule: Rule, rank: int) -> Column:
         n = ((F.size(found) - 1) / 3).cast("int")
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: acc["spans"])).otherwise(none)
 
-    return let(sizes, walk)
+    return F.when(text.rlike(rule.pattern), let(sizes, walk)).otherwise(F.array().cast(_EMPTY))
 
 
 def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
