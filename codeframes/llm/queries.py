@@ -57,7 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"))
+    return topk.search(table(spark, sf_dir, "embeddings")).drop("query_key")
 
 
 QUERIES = {

@@ -2,19 +2,28 @@
 
 Components become floor(64 * x).  Distances from every vector to ``PIVOTS`` pivots are computed once.  By the
 triangle inequality the largest difference of two vectors' pivot distances is a lower bound of their distance,
-and, as the inner product is half of (|q|^2 + |x|^2 - distance^2), an upper bound of their score.  A query
-evaluates the candidates of the largest bounds first and stops where no bound reaches its k-th score.
+and, as the inner product is half of (|q|^2 + |x|^2 - distance^2), an upper bound of their score; the product of the
+two lengths is another.  A query evaluates candidates in the order of their bounds, in rounds that double, and stops
+where no bound reaches its k-th score.
+
+Where bounds rule out too little, they cost more than they save: in high dimensions without clusters distances to
+pivots differ too little.  A trial of ``TRIAL`` candidates per query block measures the share that bounds leave; above
+``WORTH`` the block's other candidates are evaluated whole, by one dense product, which is exact too.  ``Part.products``
+counts all products that were really computed, those of dense blocks included.
 
 Queries lie in the shared folder in blocks.  Each task holds one part of the candidates and streams the query
 blocks past it, so neither side is broadcast or collected and no join makes their product.  Each query starts
-from a floor that its own row carries: its k-th score among the pivots' bounded sample; a part returns at most
+from a floor that its own row carries: its k-th score among a bounded sample; a part returns at most
 k rows per query and none below the floor, and the k best over all parts are the result.
 
 Pivots are picked far apart from the sample of ``SAMPLE`` rows with the smallest hashes of their ids.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors
-count as if filled up with zeros; a query's own id is never its candidate, rows that repeat an id included; rows
-with null ids take no part; sums are exact while they stay below 2^53, and are rounded beyond.
+count as if filled up with zeros; a query's own id is never its candidate, rows that repeat an id included; rows that
+repeat id and vector are one query and several candidates, rows that repeat an id with another vector are queries of
+their own, told apart by ``query_key``; rows with null ids take no part; ties go to the smaller vec_id; an empty table
+gives no rows; of all columns only vec_id and embedding are read; sums are exact while they stay below 2^53, and are
+rounded beyond.
 """
 
 from __future__ import annotations
@@ -24,17 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import filesystem, shared_dir
+from codeframes.llm.common import filesystem, held, kept_object, shared_dir, stored_object
 
 K = 20
 EVERY = 20
 SCALE = 64
-PIVOTS = 16
-SAMPLE = 1024
+PIVOTS = 64
+SAMPLE = 4096
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 8192
-#: Candidates per query that are evaluated before the floors rise for the first time.
-FIRST_ROUND = 128
+#: Candidates per query of the first round of evaluation.
+FIRST_ROUND = 64
+#: Candidates of a trial, and the share of pairs left by the bounds up to which they are worth their cost.
+TRIAL = 512
+WORTH = 0.25
 #: Slack of the bounds against rounding, far below the steps of integer scores.
 SLACK = 0.25
 
@@ -77,6 +89,23 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
+class Best:
+    """The best k of each query so far, and the floors that new scores must reach."""
+
+    def __init__(self, n: int, floors: np.ndarray, k: int):
+        self.n, self.k, self.floors = n, k, floors.copy()
+        self.rows, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        rows, ids, scores = np.concatenate((self.rows, rows)), np.concatenate((self.ids, ids)), np.concatenate((self.scores, scores))
+        order = np.lexsort((ids, -scores, rows))
+        rows, ids, scores = rows[order], ids[order], scores[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(self.n))[rows]
+        kth = np.flatnonzero(rank == self.k - 1)
+        self.floors[rows[kth]] = np.maximum(self.floors[rows[kth]], scores[kth])
+        self.rows, self.ids, self.scores = rows[rank < self.k], ids[rank < self.k], scores[rank < self.k]
+
+
 class Part:
     """A part of the candidates with its pivot table, searched by blocks of queries against blocks of candidates."""
 
@@ -86,98 +115,118 @@ class Part:
         self.squares = (self.x**2).sum(axis=1)
         self.table = distances(self.x, pivots).T.astype(np.float32)  # the bounds allow for the rounding
 
+        self.lengths = np.sqrt(self.squares)
+        self.products = 0
+
     def bounds(self, q: np.ndarray, q_table: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Upper bounds of the scores [query, candidate] from the largest difference of pivot distances."""
+        """Upper bounds of the scores [query, candidate] from the largest difference of pivot distances, and from lengths."""
         gap = np.zeros((len(q), hi - lo), np.float32)
         for row, d in zip(self.table[:, lo:hi], q_table.T.astype(np.float32), strict=True):
             np.maximum(gap, np.abs(row[None, :] - d[:, None]), out=gap)
         rounding = 1e-6 * (float(np.abs(q_table).max(initial=0)) + float(self.table.max(initial=0)))
         low = np.maximum(gap.astype(np.float64) - rounding, 0)
-        return ((q**2).sum(axis=1)[:, None] + self.squares[None, lo:hi] - low**2) / 2 + SLACK
-
-    def search(self, queries: np.ndarray, q: np.ndarray, q_table: np.ndarray, floors: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Query ids, ids and scores: the best k of each query at or above its floor; and the number of evaluations."""
-        rows, best_ids, best_scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        floors, evaluated = floors.copy(), 0
-        for lo in range(0, len(self.ids), CANDIDATE_BLOCK):
-            hi = min(lo + CANDIDATE_BLOCK, len(self.ids))
-            bound = self.bounds(q, q_table, lo, hi)
-            bound[queries[:, None] == self.ids[None, lo:hi]] = -np.inf
-            # the largest bounds first, in rounds that grow; what no bound reaches is never evaluated
-            size = FIRST_ROUND
-            while True:
-                hope = bound >= floors[:, None]
-                hope &= np.isfinite(bound)
-                left = int(hope.sum(axis=1).max(initial=0))
-                if not left:
-                    break
-                if left > size:
-                    least = np.partition(bound, bound.shape[1] - size, axis=1)[:, -size]
-                    hope &= bound >= least[:, None]
-                evaluated += int(hope.sum())
-                at = np.flatnonzero(hope.any(axis=0))
-                scores = q @ self.x[lo + at].T
-                good = hope[:, at] & (scores >= floors[:, None])
-                bound[hope] = -np.inf
-                r, c = np.nonzero(good)
-                rows = np.concatenate((rows, r))
-                best_ids = np.concatenate((best_ids, self.ids[lo + at[c]]))
-                best_scores = np.concatenate((best_scores, scores[r, c]))
-                order = np.lexsort((best_ids, -best_scores, rows))
-                rows, best_ids, best_scores = rows[order], best_ids[order], best_scores[order]
-                first = np.searchsorted(rows, np.arange(len(q)))
-                rank = np.arange(len(rows)) - first[rows]
-                kth = np.flatnonzero(rank == k - 1)
-                floors[rows[kth]] = np.maximum(floors[rows[kth]], best_scores[kth])
-                rows, best_ids, best_scores = rows[rank < k], best_ids[rank < k], best_scores[rank < k]
-                size = hi - lo
-        return queries[rows], best_ids, best_scores, evaluated
+        squares = (q**2).sum(axis=1)
+        by_pivots = (squares[:, None] + self.squares[None, lo:hi] - low**2) / 2
+        return np.minimum(by_pivots, np.sqrt(squares)[:, None] * self.lengths[None, lo:hi] * (1 + 1e-12)) + SLACK
+
+    def search(self, queries: np.ndarray, q: np.ndarray, q_table: np.ndarray, floors: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of the query, ids and scores: the best k of each query at or above its floor."""
+        best = Best(len(q), floors, k)
+        lo, worth = 0, None
+        while lo < len(self.ids):
+            hi = min(lo + (TRIAL if worth is None else CANDIDATE_BLOCK), len(self.ids))
+            own = queries[:, None] == self.ids[None, lo:hi]
+            if worth:
+                bound = self.bounds(q, q_table, lo, hi)
+                bound[own] = -np.inf
+                self._in_order(q, bound, lo, best)
+            else:
+                scores = q @ self.x[lo:hi].T
+                self.products += scores.size
+                scores[own] = -np.inf
+                r, c = np.nonzero((scores >= best.floors[:, None]) & np.isfinite(scores))
+                best.add(r, self.ids[lo + c], scores[r, c])
+            if worth is None:  # what would the bounds have left of the trial, under the floors as they are now?
+                worth = float((self.bounds(q, q_table, lo, hi) >= best.floors[:, None]).mean()) <= WORTH
+            lo = hi
+        return best.rows, best.ids, best.scores
+
+    def _in_order(self, q: np.ndarray, bound: np.ndarray, lo: int, best: Best) -> None:
+        """Evaluate the pairs of a block whose bounds reach the floors, the largest first, in rounds that double."""
+        size = FIRST_ROUND
+        while True:
+            hope = (bound >= best.floors[:, None]) & np.isfinite(bound)
+            left = int(hope.sum(axis=1).max(initial=0))
+            if not left:
+                return
+            if left > size:
+                least = np.partition(bound, bound.shape[1] - size, axis=1)[:, -size]
+                hope &= bound >= least[:, None]
+            r, c = np.nonzero(hope)
+            at = np.unique(c)
+            if 8 * len(r) < len(q) * len(at):  # few pairs: one by one
+                scores = np.einsum("ij,ij->i", q[r], self.x[lo + c])
+                self.products += len(r)
+            else:
+                scores = (q @ self.x[lo + at].T)[r, np.searchsorted(at, c)]
+                self.products += len(q) * len(at)
+            bound[hope] = -np.inf
+            good = scores >= best.floors[r]
+            best.add(r[good], self.ids[lo + c[good]], scores[good])
+            size *= 2
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
-    """query_id, rank, vec_id, score: exact, for queries whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score, query_key: exact, for queries whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = quantised(vectors)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    held = matrix(pa.array([r.v for r in sample], pa.list_(pa.float64())), width)
-    pivots, held_ids = pick_pivots(held), np.array([r.vec_id for r in sample], np.int64)
+    sampled = matrix(pa.array([r.v for r in sample], pa.list_(pa.float64())), width)
+    pivots, sampled_ids = pick_pivots(sampled), np.array([r.vec_id for r in sample], np.int64)
+    model = stored_object(spark, "topk-sample", (pivots, sampled, sampled_ids))
     query_dir = shared_dir(spark, "topk-queries")
 
     def floors(batches):
-        for batch in batches:
-            ids, q = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), width)
-            scores = q @ held.T
-            scores[ids[:, None] == held_ids[None, :]] = -np.inf
-            # repeated sample ids are distinct candidates, so the k-th largest is a floor
-            floor = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(floor)], names=["vec_id", "v", "floor"])
-
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    queries.mapInArrow(floors, "vec_id long, v array<double>, floor double").write.parquet(query_dir)
+        with held(model, lambda: kept_object(model)) as (_, sampled, sampled_ids):
+            for batch in batches:
+                ids, q = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), width)
+                found = np.full(len(ids), -np.inf)
+                for a in range(0, len(ids), QUERY_BLOCK):
+                    scores = q[a : a + QUERY_BLOCK] @ sampled.T
+                    scores[ids[a : a + QUERY_BLOCK, None] == sampled_ids[None, :]] = -np.inf
+                    # repeated sample ids are distinct candidates, so the k-th largest is a floor
+                    if scores.shape[1] >= k:
+                        found[a : a + QUERY_BLOCK] = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+                yield pa.RecordBatch.from_arrays([batch.column("query_key"), batch.column("vec_id"), batch.column("v"), pa.array(found)], names=["query_key", "vec_id", "v", "floor"])
+
+    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select(F.xxhash64("vec_id", "v").alias("query_key"), "vec_id", "v")
+    queries.mapInArrow(floors, "query_key long, vec_id long, v array<double>, floor double").write.parquet(query_dir)
 
     def work(batches):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        held_batches = [b for b in batches if b.num_rows]
-        if not held_batches:
+        some = [b for b in batches if b.num_rows]
+        if not some:
             return
-        part = Part(np.concatenate([b.column("vec_id").to_numpy() for b in held_batches]), np.concatenate([matrix(b.column("v"), width) for b in held_batches]), pivots)
+        with held(model, lambda: kept_object(model)) as (pivots, *_):
+            part = Part(np.concatenate([b.column("vec_id").to_numpy() for b in some]), np.concatenate([matrix(b.column("v"), width) for b in some]), pivots)
         store, root = filesystem(query_dir)
         for info in store.get_file_info(fs.FileSelector(root)):
             if not info.path.endswith(".parquet"):
                 continue
             with store.open_input_file(info.path) as source:
                 for block in pq.ParquetFile(source).iter_batches(QUERY_BLOCK):
-                    q_ids, q = block.column("vec_id").to_numpy(), matrix(block.column("v"), width)
-                    found, ids, scores, _ = part.search(q_ids, q, distances(q, pivots), block.column("floor").to_numpy(), k)
+                    keys, q_ids, q = block.column("query_key").to_numpy(), block.column("vec_id").to_numpy(), matrix(block.column("v"), width)
+                    found, ids, scores = part.search(q_ids, q, distances(q, pivots), block.column("floor").to_numpy(), k)
                     scores = np.clip(scores, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array(q_ids[found]), pa.array(ids), pa.array(scores)], names=["query_key", "query_id", "vec_id", "score"])
 
-    found = rows.mapInArrow(work, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = rows.mapInArrow(work, "query_key long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_key")
 
 
 ORACLE = """

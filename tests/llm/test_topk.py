@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from codeframes.llm import topk
 
@@ -37,17 +38,42 @@ def test_few_and_no_vectors(spark):
     assert run(spark, []) == [] and run(spark, [(0, [1.0])]) == []
 
 
-def test_bounds_save_evaluations_and_lose_nothing():
-    rng = np.random.default_rng(0)
-    centres = rng.integers(-60, 60, (20, 6))
-    x = (centres[rng.integers(0, 20, 4000)] + rng.integers(-3, 4, (4000, 6))).astype(float)
-    ids = np.arange(4000)
-    part = topk.Part(ids, x, topk.pick_pivots(x[:500]))
-    queries = np.arange(0, 4000, 200)
-    tables = topk.distances(x[queries], topk.pick_pivots(x[:500]))
-    found, got, scores, evaluated = part.search(queries, x[queries], tables, np.full(len(queries), -np.inf))
-    for q in queries:
+def searched(x, queries, floors=-np.inf):
+    """The products that a search computed, after holding its result against the plain one."""
+    ids, pivots = np.arange(len(x)), topk.pick_pivots(x[:500])
+    part = topk.Part(ids, x, pivots)
+    found, got, scores = part.search(queries, x[queries], topk.distances(x[queries], pivots), np.full(len(queries), floors))
+    for k, q in enumerate(queries):
         s = x @ x[q]
         order = [i for i in np.lexsort((ids, -s)) if i != q][:20]
-        assert got[found == q].tolist() == order and scores[found == q].tolist() == s[order].tolist()
-    assert evaluated < 0.7 * 20 * 4000
+        assert got[found == k].tolist() == order and scores[found == k].tolist() == s[order].tolist()
+    return part.products / (len(queries) * len(x))
+
+
+@pytest.mark.parametrize("width", [6, 64])
+def test_bounds_save_evaluations_and_lose_nothing(width):
+    rng = np.random.default_rng(0)
+    centres = rng.integers(-60, 60, (20, width))
+    x = (centres[rng.integers(0, 20, 4000)] + rng.integers(-3, 4, (4000, width))).astype(float)
+    assert searched(x, np.arange(0, 4000, 200)) < 0.7
+
+
+def test_where_bounds_are_worth_nothing_all_pairs_are_evaluated():
+    x = np.floor(64 * np.random.default_rng(0).normal(size=(4000, 64)))
+    assert searched(x, np.arange(0, 4000, 200)) == 1.0
+
+
+def test_queries_that_repeat_an_id(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(100)] + [(20, [1.0, 0.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0, 1, "x") for i, v in rows], SCHEMA)
+    got = [r for r in topk.search(df).collect() if r.query_id == 20]
+    lists = {}
+    for r in got:
+        lists.setdefault(r.query_key, []).append((r["rank"], r.vec_id, r.score))
+    want = []
+    for v in {tuple(v) for i, v in rows if i == 20}:
+        q = [math.floor(64 * float(np.float32(x))) for x in v]
+        scores = sorted((-sum(a * math.floor(64 * float(np.float32(b))) for a, b in zip(q, w, strict=True)), i) for i, w in rows if i != 20)[:20]
+        want.append([(k + 1, i, -s) for k, (s, i) in enumerate(scores)])
+    assert sorted(map(sorted, lists.values())) == sorted(want)
