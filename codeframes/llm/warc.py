@@ -2,11 +2,13 @@
 
 A bundle is a ``.warc.zst`` file of independent Zstandard frames, each holding whole WARC records, and ends
 with a seek table (a skippable frame with the compressed and plain size of every frame).  The index maps
-each record to ``(bundle, frame, offset in the plain frame, length)``, so one record costs one frame read.
+each record to ``(bundle, frame, offset in the plain frame, length)``, so one record costs one frame read.  A record's id
+is that of its place; a revisit names its response by page and payload digest, by which the index finds it.
 
 Defined results: a null payload is empty; payloads below ``MIN_REVISIT`` bytes are always responses; of rows
 that repeat both the smallest page_id and the payload, each is a response; a null page_id never is the
-smallest one, and equal payloads of which no row has an id are all responses.
+smallest one, and equal payloads of which no row has an id are all responses; an empty table gives no rows and no
+bundle; of all columns only page_id, url and html are read; a payload of any length is one record, in a frame by itself.
 Bundles get a fresh name per task attempt and only the committed index names them, so a retried task leaves
 at most an orphan file that nothing reads.
 """
@@ -32,26 +34,27 @@ BUNDLE_BYTES = 32 << 20
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
-INDEX_SCHEMA = "page_id long, record_id string, bundle string, frame int, offset long, length long"
+INDEX_SCHEMA = "page_id long, record_id string, digest string, bundle string, frame int, offset long, length long"
 RECORD_SCHEMA = (
     "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long,"
     " payload binary, bundle string, frame int"
 )
 
 
-def record_id(page_id: int | None, salt: str = "") -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}{salt}')}>"
+def record_id(bundle: str, number: int) -> str:
+    """An id of the record's own: that of its place, as bundles have names of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{bundle}/{number}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with the payload, or a revisit that names the response holding it."""
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record: a response with the payload, or a revisit that names the page and digest of the response holding it."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {name}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -64,7 +67,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if revisit:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {record_id(refers_to)}",
             f"X-Refers-To-Page-ID: {refers_to}",
             f"X-Payload-Length: {len(payload)}",
         ]
@@ -175,7 +177,7 @@ def write_archives(marked: DataFrame, out_dir: str, frame_bytes: int = FRAME_BYT
     def work(batches):
         store, root = filesystem(out_dir)
         store.create_dir(root, recursive=True)
-        writer, name = None, ""
+        writer, name, number = None, "", 0
         for batch in batches:
             found = []
             cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]
@@ -183,15 +185,18 @@ def write_archives(marked: DataFrame, out_dir: str, frame_bytes: int = FRAME_BYT
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     writer = BundleWriter(store.open_output_stream(f"{root}/{name}", compression=None), frame_bytes)
-                data = record(page_id, url, payload, digest, refers)
+                    number = 0
+                own = record_id(name, number)
+                data = record(own, page_id, url, payload, digest, refers)
                 frame, offset = writer.add(data)
-                found.append((page_id, record_id(page_id), name, frame, offset, len(data)))
+                found.append((page_id, own, digest, name, frame, offset, len(data)))
+                number += 1
                 if writer.size > bundle_bytes:
                     writer.close()
                     writer = None
-            types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-            names = ("page_id", "record_id", "bundle", "frame", "offset", "length")
-            arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 6, types, strict=True)]
+            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+            names = ("page_id", "record_id", "digest", "bundle", "frame", "offset", "length")
+            arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 7, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=list(names))
         if writer is not None:
             writer.close()
@@ -236,22 +241,30 @@ def read_archives(spark: SparkSession, index: DataFrame, out_dir: str, payloads:
 
 
 def fetch(index: DataFrame, wanted: DataFrame, out_dir: str) -> DataFrame:
-    """Records whose ``record_id`` is in ``wanted``, by frame-relative offset: reads only the frames that hold them."""
+    """Records whose ``record_id`` is in ``wanted``, by frame-relative offset: reads only the frames that hold them, each once."""
     hits = index.join(wanted.select("record_id").distinct(), "record_id", "left_semi")
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary())])
 
     def work(batches):
         store, root = filesystem(out_dir)
+        bundle, source, reader, frame, plain = None, None, None, None, b""
         for batch in batches:
             for row in batch.to_pylist():
-                with store.open_input_file(f"{root}/{row['bundle']}") as source:
-                    headers, block = BundleReader(source).record(row["frame"], row["offset"])
-                    out = decode(headers, block)
-                yield pa.RecordBatch.from_pylist(
-                    [{"record_id": row["record_id"], "page_id": out[0], "payload": out[6]}],
-                    schema=pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary())]),
-                )
-
-    return hits.mapInArrow(work, "record_id string, page_id long, payload binary")
+                if row["bundle"] != bundle:
+                    if source is not None:
+                        source.close()
+                    bundle, frame = row["bundle"], None
+                    source = store.open_input_file(f"{root}/{bundle}")
+                    reader = BundleReader(source)
+                if row["frame"] != frame:
+                    frame, plain = row["frame"], reader.frame(row["frame"])
+                _, _, headers, block = next(parse(plain, row["offset"]))
+                out = decode(headers, block)
+                yield pa.RecordBatch.from_pylist([{"record_id": row["record_id"], "page_id": out[0], "payload": out[6]}], schema=schema)
+        if source is not None:
+            source.close()
+
+    return hits.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(work, "record_id string, page_id long, payload binary")
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -39,6 +39,17 @@ def test_index_leads_to_single_records(spark):
     assert got == {1: b"z" * 600_000, 6: b"z" * 100, 7: b""}
 
 
+def test_every_record_has_an_id_of_its_own(spark):
+    out = shared_dir(spark, "warc-test")
+    pages = spark.createDataFrame([*rows(), (None, "u", "z" * 100, None), (None, None, None, None), (None, "u", "own " * 50, None)], PAGES)
+    index = warc.write_archives(warc.mark_revisits(pages), out, frame_bytes=500, bundle_bytes=2000)
+    assert index.count() == index.select("record_id").distinct().count() == pages.count()
+    got = warc.fetch(index, index, out).collect()
+    assert len(got) == pages.count() and {r.record_id for r in got} == {r.record_id for r in index.collect()}
+    revisits = [r for r in warc.read_archives(spark, index, out).collect() if r.record_type == "revisit"]
+    assert revisits and all(index.filter((index.page_id == r.refers_to) & (index.digest == r.payload_digest)).count() for r in revisits)
+
+
 def test_no_pages(spark):
     assert warc.archive(spark, spark.createDataFrame([], PAGES)).count() == 0
 
