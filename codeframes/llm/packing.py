@@ -1,13 +1,15 @@
 """Best-fit packing with bounded space: token sequences of at most ``CAPACITY`` ids.
 
-A packer keeps at most ``OPEN_BINS`` bins, and takes arriving pieces ``LOOKAHEAD`` at a time, the longest first.  A bitset has a bit for each amount of free space that some open bin
-has; the best fit is the lowest set bit at or above the piece's length.  If no bin fits and all are open, the
-fullest closes first.  Pieces reach packers by a hash of their document, ``PER_PACKER`` or so to each, in the
-order of that hash, so packing again gives the same sequences; each packer leaves at most ``OPEN_BINS`` bins
-unfilled, which is a small share of what it packs.
+A packer keeps at most ``OPEN_BINS`` bins and places each piece as it arrives.  A bitset has a bit for each amount of
+free space that some open bin has; the best fit is the lowest set bit at or above the piece's length.  If no bin fits
+and all are open, the fullest closes first.  Pieces reach packers by a hash of their document, ``PER_PACKER`` or so to
+each, in the order of that hash, so packing again gives the same sequences; each packer leaves at most ``OPEN_BINS`` bins
+unfilled, which is a small share of what it packs.  ``lookahead`` is how many arrived pieces a packer may hold and place
+the longest first; 1 is the plain online method.
 
 Defined results: a null text is one end id; documents longer than the capacity are cut so that only their first
-piece is shorter; rows that repeat a doc_id are packed one by one.
+piece is shorter; rows that repeat a doc_id, or have none, are packed one by one; an empty table gives no rows; of all
+columns only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from codeframes.llm.pieces import byte_level_encoder
 
 CAPACITY = 2048
 OPEN_BINS = 1024
-LOOKAHEAD = 1024
+LOOKAHEAD = 1
 PER_PACKER = 131_072
 END_ID = 0
 
@@ -101,7 +103,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, PIECE_SCHEMA)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_packer: int = PER_PACKER) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_packer: int = PER_PACKER, lookahead: int = LOOKAHEAD) -> DataFrame:
     """``pieces`` (a written table) with sequence_id and offset."""
     packers = max(1, -(-pieces.count() // per_packer))
 
@@ -113,22 +115,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
         def placed(block: pa.Table) -> pa.RecordBatch:
             lengths = block.column("length").to_numpy()
             bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-            for i in np.argsort(-lengths, kind="stable").tolist():
+            for i in np.lexsort((-lengths, np.arange(len(lengths)) // lookahead)).tolist():
                 bins[i], offsets[i] = packer.place(int(lengths[i]))
             columns = [block.column(c).combine_chunks() for c in names]
             return pa.RecordBatch.from_arrays([*columns, pa.array(base + bins), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 
-        held: list[pa.RecordBatch] = []
+        # several blocks of the lookahead at a time; one piece at a time is the order of arrival itself
+        step = max(lookahead, 1024) // lookahead * lookahead
+        some: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= LOOKAHEAD:
-                rows = pa.Table.from_batches(held)
-                whole = rows.num_rows - rows.num_rows % LOOKAHEAD
-                for i in range(0, whole, LOOKAHEAD):
-                    yield placed(rows.slice(i, LOOKAHEAD))
-                held = rows.slice(whole).to_batches()
-        if held:
-            yield placed(pa.Table.from_batches(held))
+            some.append(batch)
+            if sum(b.num_rows for b in some) >= step:
+                rows = pa.Table.from_batches(some)
+                whole = rows.num_rows - rows.num_rows % step
+                for i in range(0, whole, step):
+                    yield placed(rows.slice(i, step))
+                some = rows.slice(whole).to_batches()
+        if some:
+            yield placed(pa.Table.from_batches(some))
 
     order = F.xxhash64("doc_id", "ids_crc32")
     dealt = pieces.withColumn("__order", order).repartition(packers, "__order").sortWithinPartitions("__order", "doc_id", "piece", "start")

@@ -225,14 +225,25 @@ def check_sequences(rows, capacity=2048):
     return at
 
 
-def test_sequences_are_nearly_full(spark):
+@pytest.mark.parametrize(("lookahead", "over"), [(1024, 1.005), (1, 1.02)])
+def test_sequences_are_nearly_full(spark, lookahead, over):
     rng = random.Random(0)
     lengths = [min(2048, int(rng.lognormvariate(6.2, 1.1)) + 1) for _ in range(9000)]
     pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE_SCHEMA)
-    got = packing.pack(pieces).collect()
+    got = packing.pack(pieces, lookahead=lookahead).collect()
     assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
     fill = check_sequences([(r.sequence_id, r.offset, r.length) for r in got])
-    assert len(fill) <= 1.005 * sum(lengths) / 2048 + 1
+    assert len(fill) <= over * sum(lengths) / 2048 + 1
+
+
+def test_pieces_are_placed_as_they_arrive(spark):
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 2048) for _ in range(3000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE_SCHEMA)
+    got = {r.doc_id: (r.sequence_id, r.offset) for r in packing.pack(pieces, open_bins=7).collect()}
+    order = pieces.selectExpr("doc_id", "length", "xxhash64(doc_id, ids_crc32) AS o").orderBy("o", "doc_id").collect()
+    packer = packing.Packer(2048, 7)
+    assert got == {r.doc_id: packer.place(r.length) for r in order}
 
 
 def test_bounds():
