@@ -72,9 +72,8 @@ def bench(args: argparse.Namespace) -> tuple[str, int]:
     predictions = SparkSession.builder.appName("codeframes").getOrCreate().read.parquet(args.predictions)
     report = evaluate.benchmark(evaluate.score_predictions(predictions)).cache()
     names = sorted(r.backend for r in report.select("backend").collect())
-    asked = args.order.split(",") if args.order else []
-    shown = evaluate.format_report(report, [*asked, *(n for n in names if n not in asked)])
-    return shown, 0 if names else 1
+    asked = [n for n in (args.order or "").split(",") if n]
+    return evaluate.format_report(report, [*asked, *(n for n in names if n not in asked)]), 0 if names else 1
 
 
 def main(argv: Sequence[str] | None = None) -> int:

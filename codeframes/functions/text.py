@@ -139,6 +139,22 @@ def _one_digit(n: Column, unit: int) -> Column:
     return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
+def two_digits(x: Column | str) -> Column:
+    """A double from 0 to 100 printed with two digits as its exact value rounds, halves to even.
+
+    200 times the double, as a sum of three exact products and its rounding errors, is compared with the odd number
+    halfway between two hundredths."""
+    x = _c(x)
+    low = F.floor(x * 100)
+    a, b, c = x * 128.0, x * 64.0, x * 8.0
+    ab = a + b
+    whole = ab + c
+    rest = (b - (ab - a)) + (c - (whole - ab))
+    over = (whole - (low * 2 + 1).cast("double")) + rest
+    hundredths = F.when((over > 0) | ((over == 0) & (low % 2 == 1)), low + 1).otherwise(low)
+    return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
 def size_text(n: Column | str) -> Column:
     """Decimal units with one digit."""
     n = _c(n).cast("long")

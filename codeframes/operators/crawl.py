@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values of lesson pages.
+STREAM_SCHEME, STREAM_ENDING, STREAM_FIELD = "https://", ".m3u8", "videoUrl"
+
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
 
@@ -27,9 +30,13 @@ def page_links(pages: DataFrame, base: str = "url", html: str = "html", containi
 
 def stream_url(html):
     """The first https address of a playlist, or that of a ``videoUrl`` field."""
-    direct = F.regexp_extract(html, r"""(https://[^"'\s]+\.m3u8[^"'\s]*)""", 1)
-    field = F.regexp_extract(html, r"""["']videoUrl["']\s*:\s*["']([^"']+m3u8)""", 1)
-    return F.coalesce(F.nullif(direct, F.lit("")), F.nullif(field, F.lit("")))
+    words = F.split(html, r"""["'\s]""")
+    # what stands behind the scheme must have something before the playlist's ending
+    address = lambda w: F.substring_index(w, STREAM_SCHEME, -1)
+    streams = F.filter(words, lambda w: w.contains(STREAM_SCHEME) & (F.locate(STREAM_ENDING, address(w)) > 1))
+    direct = F.transform(streams, lambda w: F.concat(F.lit(STREAM_SCHEME), address(w)))
+    field = F.regexp_extract(html, rf"""(["']){STREAM_FIELD}(["'])\s*:\s*(["'])([^"']+?{STREAM_ENDING[1:]})""", 4)
+    return F.coalesce(F.get(direct, F.lit(0)), F.nullif(field, F.lit("")))
 
 
 def probe_size(text):

@@ -27,15 +27,33 @@ def winner(report: DataFrame, order: DataFrame) -> DataFrame:
     return report.join(order, "backend").agg(F.max_by("backend", F.struct("aggregate", (-F.col("ordinal")).alias("first"))).alias("winner"))
 
 
+# The report's columns, and what stands below them.
+COLUMNS = {"backend": "backend", "levenshtein": "mean_levenshtein", "token_acc": "mean_token_acc", "aggregate": "aggregate"}
+WINNER = "Winner: {}  (recommended default, over {} labeled frame(s))"
+NO_WINNER = "Winner: (no backends benchmarked)"
+
+
+def report_text(report: DataFrame, order: DataFrame) -> DataFrame:
+    """One row, ``text``: the report as a table of fixed width, a line per backend in ``order`` (backend, ordinal), and the winner.
+
+    Columns are as wide as their longest cell; made by expressions over the one row that the few backends gather to."""
+    cell = lambda name: F.col(name) if name == "backend" else F.format_string("%.3f", F.col(name))
+    lines = report.join(order, "backend").select("ordinal", "aggregate", "backend", "n_frames", F.array(*(cell(c) for c in COLUMNS.values())).alias("cells"))
+    best = F.max_by(F.struct("backend", "n_frames"), F.struct("aggregate", (-F.col("ordinal")).alias("first")))
+    gathered = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "cells"))), lambda r: r["cells"]).alias("body"), best.alias("best"))
+    head = F.array(*map(F.lit, COLUMNS))
+    table = gathered.select("best", F.concat(F.array(head), "body").alias("body"))
+    widths = F.transform(F.sequence(F.lit(0), F.lit(len(COLUMNS) - 1)), lambda c: F.array_max(F.transform("body", lambda row: F.length(row[c]))))
+    wide = table.select("*", widths.alias("widths"))
+    shown = F.transform("body", lambda row: F.array_join(F.zip_with(row, "widths", lambda text, n: F.rpad(text, n, " ")), "  "))
+    rule = F.array_join(F.transform("widths", lambda n: F.repeat(F.lit("-"), n)), "  ")
+    before, between, after = WINNER.split("{}")
+    last = F.when(F.col("best").isNull(), F.lit(NO_WINNER)).otherwise(F.concat(F.lit(before), "best.backend", F.lit(between), F.col("best.n_frames").cast("string"), F.lit(after)))
+    parts = wide.select(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, 2, 1 << 20), F.array(F.lit(""), last)).alias("lines"))
+    return parts.select(F.array_join("lines", "\n").alias("text"))
+
+
 def format_report(report: DataFrame, order: list[str]) -> str:
-    """The report, a row per backend in the order given, as fixed-width text; collected rows are one per backend."""
-    rows = sorted(report.collect(), key=lambda r: order.index(r.backend))
-    head = ("backend", "levenshtein", "token_acc", "aggregate")
-    cells = [head, *((r.backend, f"{r.mean_levenshtein:.3f}", f"{r.mean_token_acc:.3f}", f"{r.aggregate:.3f}") for r in rows)]
-    wide = [max(map(len, column)) for column in zip(*cells, strict=True)]
-    shown = ["  ".join(c.ljust(w) for c, w in zip(row, wide, strict=True)) for row in cells]
-    shown.insert(1, "  ".join("-" * w for w in wide))
-    if not rows:
-        return "\n".join([*shown, "", "Winner: (no backends benchmarked)"])
-    best = max(rows, key=lambda r: (r.aggregate, -order.index(r.backend)))
-    return "\n".join([*shown, "", f"Winner: {best.backend}  (recommended default, over {best.n_frames} labeled frame(s))"])
+    """``report_text`` for backends in the order of a list."""
+    ordinals = report.sparkSession.createDataFrame([(n, i) for i, n in enumerate(order)], "backend string, ordinal int")
+    return report_text(report, ordinals).first().text

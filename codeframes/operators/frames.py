@@ -24,8 +24,8 @@ def sample_fps(frames: DataFrame, fps: float) -> DataFrame:
     if not fps > 0:
         raise ValueError(f"fps must be positive, not {fps}")
     slot = F.floor(F.col("timestamp_ms") * fps / 1000)
-    first = F.row_number().over(Window.partitionBy("video_id", slot).orderBy("timestamp_ms", "path"))
-    return frames.withColumn("__first", first).filter("__first = 1").drop("__first")
+    firsts = frames.groupBy("video_id", slot.alias("__slot")).agg(F.min_by(F.struct(*frames.columns), F.struct("timestamp_ms", "path")).alias("__row"))
+    return firsts.select("__row.*")
 
 
 def scene_cuts(frames: DataFrame, threshold: float, score: str = "scene_score") -> DataFrame:

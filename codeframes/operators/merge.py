@@ -1,49 +1,91 @@
 """Merging of extractions: first-fit clusters, representatives, notes, scripts and provenance.
 
-The fold over a video runs in the JVM on an array of (seq, normalised text); a video is one recording, so its
-extractions fit a task.  All steps share one partitioning by video.
+Clusters are found in one pass over each video's extractions in order: a task holds the first texts of the running
+video's clusters and no rows.  All steps share one partitioning by video.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from codeframes.functions.text import normalize, similar
+from codeframes.functions.text import normalize, two_digits
+from codeframes.schemas import check_bounds
 
 SIMILARITY, LOW_CONFIDENCE, CONFLICT_MARGIN = 0.85, 0.5, 0.1
 
 
-def _unit(**values: float) -> None:
-    for name, value in values.items():
-        if not 0 <= value <= 1:
-            raise ValueError(f"{name} must be from 0 to 1, not {value}")
+def distance_within(a: str, b: str, most: int) -> int | None:
+    """The edit distance of two texts if it is at most ``most``; only a band of that width round the diagonal is filled."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most:
+        return None
+    start = 0
+    while start < len(a) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    while a and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    far = most + 1
+    row = list(range(min(len(a), most) + 1)) + [far] * max(0, len(a) - most)
+    for j, y in enumerate(b, 1):
+        low, high = max(1, j - most), min(len(a), j + most)
+        before = row[low - 1]
+        row[low - 1] = j if low == 1 else far
+        for i in range(low, high + 1):
+            best = before + (a[i - 1] != y)
+            before = row[i]
+            if before + 1 < best:
+                best = before + 1
+            if row[i - 1] + 1 < best:
+                best = row[i - 1] + 1
+            row[i] = best
+    return row[len(a)] if row[len(a)] <= most else None
+
+
+def alike(a: str, b: str, threshold: float) -> bool:
+    """Whether 1 - edit distance / longer length reaches the threshold."""
+    longest = max(len(a), len(b))
+    if a == b or not longest:
+        return True
+    found = distance_within(a, b, min(longest, int((1 - threshold) * longest) + 1))
+    return found is not None and 1.0 - found / longest >= threshold
 
 
 def cluster(extractions: DataFrame, similarity_threshold: float = SIMILARITY) -> DataFrame:
     """``extractions`` with ``norm`` and ``cluster_id``: in order of seq, each joins the first cluster whose first
     member is similar enough, or starts one."""
-    _unit(similarity_threshold=similarity_threshold)
+    check_bounds(similarity_threshold=similarity_threshold)
     rows = extractions.withColumn("norm", normalize("text"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(acc["seeds"], lambda s: similar(x["norm"], s, similarity_threshold)), F.lit(True)).cast("int")
-        new = at == 0
-        seeds = F.when(new, F.concat(acc["seeds"], F.array(x["norm"]))).otherwise(acc["seeds"])
-        found = F.when(new, F.size(acc["seeds"])).otherwise(at - 1)
-        return F.struct(seeds.alias("seeds"), F.concat(acc["ids"], F.array(found)).alias("ids"))
-
-    # whole rows ride along, so that nothing has to be joined back
-    zero = F.struct(F.array().cast("array<string>").alias("seeds"), F.array().cast("array<int>").alias("ids"))
-    folded = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seq", "norm", F.struct("*").alias("row")))).alias("xs"))
-    paired = folded.select(F.explode(F.arrays_zip("xs", F.aggregate("xs", zero, step, lambda acc: acc["ids"]).alias("ids"))).alias("m"))
-    return paired.select("m.xs.row.*", F.col("m.ids").alias("cluster_id"))
+    def fold(batches):
+        import pyarrow as pa
+
+        video, seeds, known = object(), [], {}
+        for batch in batches:
+            ids = []
+            for v, norm in zip(batch.column("video_id").to_pylist(), batch.column("norm").to_pylist(), strict=True):
+                if v != video:
+                    video, seeds, known = v, [], {}
+                found = known.get(norm)  # of a text that is a seed: none before it was alike
+                if found is None:
+                    found = next((k for k, s in enumerate(seeds) if alike(norm, s, similarity_threshold)), len(seeds))
+                    if found == len(seeds):
+                        seeds.append(norm)
+                        known[norm] = found
+                ids.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32())], names=[*batch.schema.names, "cluster_id"])
+
+    n = int(extractions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = StructType([*rows.schema.fields, StructField("cluster_id", IntegerType())])
+    return rows.repartition(n, "video_id").sortWithinPartitions("video_id", "seq").mapInArrow(fold, schema)
 
 
 def snippets(clustered: DataFrame, low_confidence: float = LOW_CONFIDENCE, conflict_margin: float = CONFLICT_MARGIN) -> DataFrame:
     """One row per cluster: the best text, sources, and what is doubtful, in order of the first source."""
-    _unit(low_confidence=low_confidence, conflict_margin=conflict_margin)
+    check_bounds(low_confidence_threshold=low_confidence, conflict_margin=conflict_margin)
     best = F.struct((-F.col("confidence")).alias("c"), "timestamp_ms", "path", "seq")
     grouped = clustered.groupBy("video_id", "cluster_id").agg(
         F.min_by(F.struct("text", "norm", "confidence"), best).alias("rep"),
@@ -64,20 +106,17 @@ def snippets(clustered: DataFrame, low_confidence: float = LOW_CONFIDENCE, confl
     return flagged.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
 
 
-def notes(low_confidence: float = LOW_CONFIDENCE):
-    """A pandas UDF that words the flags of a snippet: (low, conflict, variants, representative, runner-up)."""
+# The notes' words.
+LOW_NOTE = ("low confidence: representative confidence ", " < ")
+CONFLICT_NOTE = ("conflict: ", " differing transcriptions with near-equal confidence (representative ", " vs runner-up ", "); kept the highest-confidence one")
 
-    @F.pandas_udf("string")
-    def worded(low: pd.Series, conflict: pd.Series, n: pd.Series, rep: pd.Series, runner: pd.Series) -> pd.Series:
-        out = []
-        for lo, co, k, a, b in zip(low, conflict, n, rep, runner, strict=True):
-            said = [f"low confidence: representative confidence {a:.2f} < {low_confidence:.2f}"] if lo else []
-            if co:
-                said.append(f"conflict: {k} differing transcriptions with near-equal confidence (representative {a:.2f} vs runner-up {b:.2f}); kept the highest-confidence one")
-            out.append("; ".join(said))
-        return pd.Series(out, dtype="object")
 
-    return worded("low_confidence", "conflict", "n_variants", "rep_confidence", "runner_up_confidence")
+def notes(low_confidence: float = LOW_CONFIDENCE) -> Column:
+    """The flags of a snippet in words, joined by ``; ``."""
+    low = F.concat(F.lit(LOW_NOTE[0]), two_digits("rep_confidence"), F.lit(LOW_NOTE[1] + f"{low_confidence:.2f}"))
+    a, b, c, d = map(F.lit, CONFLICT_NOTE)
+    conflict = F.concat(a, F.col("n_variants").cast("string"), b, two_digits("rep_confidence"), c, two_digits("runner_up_confidence"), d)
+    return F.concat_ws("; ", F.when(F.col("low_confidence"), low), F.when(F.col("conflict"), conflict))
 
 
 def with_merge_function(found: DataFrame, clustered: DataFrame, merge: Column) -> DataFrame:

@@ -127,7 +127,7 @@ def llm_confidence(spark: Spark, d: str) -> DataFrame:
 
 
 def signal_hits(spark: Spark, d: str) -> DataFrame:
-    return corpora.code_texts(spark, d).select("id", *(scoring.signal("text", name).alias(name) for name, _, _ in scoring.SIGNALS))
+    return corpora.code_texts(spark, d).select("id", *(scoring.signal("text", name).alias(name) for name in scoring.WEIGHTS))
 
 
 def code_score(spark: Spark, d: str) -> DataFrame:

@@ -92,6 +92,14 @@ def test_sizes_times_and_slugs(spark):
     assert column(spark, ["/a/talk.v1.mp4", "", "/x/.bashrc", "/"], text.artifact_base) == ["talk.v1", "extracted", ".bashrc", "extracted"]
 
 
+def test_two_digits(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [n / 100 for n in range(0, 201)] + [n / 1000 for n in range(0, 1001)] + [n / 8 for n in range(0, 80)] + [rng.random() for _ in range(3000)]
+    assert column(spark, values, text.two_digits, "v double") == [f"{v:.2f}" for v in values]
+
+
 def test_data_uri(spark):
     import base64
 

@@ -167,3 +167,27 @@ def test_settings():
         with pytest.raises(ValueError):
             parse_crop(bad)
     assert parse_crop("1,2,3,4").width == 3
+
+
+def test_banded_distance_is_that_of_the_full_table():
+    import random
+
+    from codeframes.operators.merge import alike, distance_within
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(6)
+    for _ in range(4000):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 14)))
+        b = "".join(rng.choice("abé") for _ in range(rng.randint(0, 14))) if rng.random() < 0.5 else a[: rng.randint(0, 9)] + "b" + a[rng.randint(0, 9) :]
+        want = plain(a, b)
+        for most in range(0, 9):
+            assert distance_within(a, b, most) == (want if want <= most else None), (a, b, most)
+        for t in (0.0, 0.5, 0.85, 1.0):
+            assert alike(a, b, t) == (1.0 - want / max(len(a), len(b)) >= t if a or b else True)
