@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeframes.functions import text
 from codeframes.operators import layout
+from codeframes.plans.pipeline import paired
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,7 @@ class AnnotationBackend:
 
     def read(self, frames: DataFrame) -> DataFrame:
         found = layout.extractions(self.annotations, self.name).select("video_id", "path", "text", "confidence", "bboxes", "backend")
-        return frames.join(found.dropDuplicates(["video_id", "path"]), ["video_id", "path"])
+        return paired(frames, found)
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class TranscriptBackend:
     def read(self, frames: DataFrame) -> DataFrame:
         code = text.strip_fence("content")
         found = self.replies.select("video_id", "path", code.alias("text"), text.transcript_confidence(code, "finish_reason").alias("confidence"))
-        return frames.join(found.dropDuplicates(["video_id", "path"]), ["video_id", "path"]).withColumn("backend", F.lit(self.name))
+        return paired(frames, found).withColumn("backend", F.lit(self.name))
 
 
 def requests(images: DataFrame, prompt: str, path: str = "path", content: str = "content") -> DataFrame:

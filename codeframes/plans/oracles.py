@@ -341,3 +341,12 @@ ORACLES["image_phash"] = """WITH p AS (SELECT vec_id, list_transform(embedding,
     f AS (SELECT vec_id, r.k * 8 + c.k AS place, sum(s * c) AS low FROM r JOIN c ON c.i = r.j GROUP BY ALL),
     m AS (SELECT *, median(low) OVER (PARTITION BY vec_id) AS middle FROM f)
     SELECT vec_id, CAST(sum(CASE WHEN low <= middle THEN 0 WHEN place = 0 THEN -9223372036854775808 ELSE 1::BIGINT << CAST(63 - place AS INTEGER) END) AS BIGINT) AS phash FROM m GROUP BY vec_id"""
+
+# pictures as frames of videos of fifty: those kept differ from the one kept before by more than 24 bits
+ORACLES["read_pictures"] = f"""WITH RECURSIVE h AS ({ORACLES['image_phash']}),
+    o AS (SELECT vec_id, phash, vec_id // 50 AS video, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id % 50, '/shots/' || vec_id || '.png') AS n FROM h),
+    fold AS (SELECT video, n, vec_id, phash AS last, true AS keep FROM o WHERE n = 1
+      UNION ALL SELECT o.video, o.n, o.vec_id, CASE WHEN bit_count(xor(o.phash, f.last)) > 24 THEN o.phash ELSE f.last END, bit_count(xor(o.phash, f.last)) > 24
+      FROM fold f JOIN o ON o.video = f.video AND o.n = f.n + 1),
+    p AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(0, least(255, CAST(floor((CAST(v AS DOUBLE) + 1) * 127) AS INTEGER)))) AS g FROM embeddings WHERE len(embedding) = 64)
+    SELECT CAST(video AS VARCHAR) AS video_id, '/shots/' || vec_id || '.png' AS path, 'import m' || g[11] AS text, g[11] / 256.0::DOUBLE AS confidence FROM fold JOIN p USING (vec_id) WHERE keep"""

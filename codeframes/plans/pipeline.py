@@ -24,6 +24,14 @@ class Backend(Protocol):
     def read(self, frames: DataFrame) -> DataFrame: ...
 
 
+def paired(frames: DataFrame, readings: DataFrame) -> DataFrame:
+    """Every frame with its reading by (video_id, path); a frame without one is an error, as no reader skips frames."""
+    found = readings.dropDuplicates(["video_id", "path"]).withColumn("__read", F.lit(True))
+    both = frames.join(found, ["video_id", "path"], "left")
+    missing = F.raise_error(F.concat(F.lit("no reading of the frame "), F.col("path"))).cast("string")
+    return both.withColumn("text", F.when(F.col("__read"), F.col("text")).otherwise(missing)).drop("__read")
+
+
 @dataclass(frozen=True)
 class TableBackend:
     """Readings that exist already, by (video_id, path)."""
@@ -32,8 +40,7 @@ class TableBackend:
     readings: DataFrame
 
     def read(self, frames: DataFrame) -> DataFrame:
-        found = self.readings.select("video_id", "path", "text", "confidence").dropDuplicates(["video_id", "path"])
-        return frames.join(found, ["video_id", "path"]).withColumn("backend", F.lit(self.name))
+        return paired(frames, self.readings.select("video_id", "path", "text", "confidence")).withColumn("backend", F.lit(self.name))
 
 
 @dataclass(frozen=True)
@@ -59,7 +66,11 @@ class FunctionBackend:
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Written to the session's shared folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/checkpoints"  # one machine, as in tests
     path = f"{base.rstrip('/')}/codeframes/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

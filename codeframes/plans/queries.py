@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeframes.functions import scoring, text
 from codeframes.operators import crawl, escalate, evaluate, frames, layout, merge
-from codeframes.plans import corpora
+from codeframes.plans import corpora, video
 from codeframes.plans.corpora import table
 from codeframes.plans.oracles import ORACLES  # noqa: F401
 from codeframes.plans.pipeline import Plan, TableBackend
@@ -284,6 +284,27 @@ def image_phash(spark: Spark, d: str) -> DataFrame:
     return _pictures(spark, d).select("vec_id", images.perceptual_hash("height", "width", "channels", "data").alias("phash"))
 
 
+def read_pictures(spark: Spark, d: str) -> DataFrame:
+    """Pictures as frames of videos of fifty: hash, run collapse, crop and a reader that knows pixels.
+
+    Vectors of another length than a picture's 64 pixels are no pictures."""
+    pictures = _pictures(spark, d).withColumn("path", F.concat(F.lit("/shots/"), F.col("vec_id").cast("string"), F.lit(".png")))
+    shots = pictures.select(F.floor(F.col("vec_id") / 50).cast("string").alias("video_id"), "path", (F.col("vec_id") % 50 * 1000).alias("timestamp_ms"))
+    kept = frames.collapse_runs(frames.with_seq(video.hashed(shots, pictures)), max_distance=24)
+
+    def setup():
+        import zlib
+
+        def read(pngs):  # the first grey level of the region, as a line of code
+            levels = [zlib.decompress(p[p.index(b"IDAT") + 4 : p.index(b"IEND") - 8])[1] for p in pngs]
+            return [(f"import m{n}", n / 256) for n in levels]
+
+        return read
+
+    got = video.ImageBackend("levels", setup, pictures, Box(2, 1, 4, 3)).read(kept)
+    return got.select("video_id", "path", "text", "confidence")
+
+
 def image_crop(spark: Spark, d: str) -> DataFrame:
     cut = images.crop(_pictures(spark, d), Box(2, 1, 4, 3))
     return cut.select("vec_id", F.hex("data").alias("pixels"), "width", "height")
@@ -294,7 +315,7 @@ def _named() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         timecode, frame_union, fps_sample, showinfo_pts, pair_frames, suffix_order, dedup_runs, sign_hash, bbox_pixels, line_groups, annotation_text, box_union, crop_name,
         artifact_names, data_uris, fence_strip, llm_confidence, signal_hits, code_score, gate, normalize_text, similarity_pairs, clusters, representatives, notes, script,
         provenance, merge_function, escalation, extract_plan, run_stats, tokens, token_accuracy, backend_eval, winner, page_links, stream_urls, slugs, size_text, duration_text,
-        progress, probe_sizes, merge_mode, image_phash, image_crop,
+        progress, probe_sizes, merge_mode, image_phash, image_crop, read_pictures,
     ]
     return {f.__name__: f for f in made}
 

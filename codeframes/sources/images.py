@@ -105,3 +105,20 @@ def crop_files(images: DataFrame, box: Box) -> DataFrame:
     sides = [F.lit(v) for v in (box.x, box.y, box.width, box.height)]
     cut = crop(images, box)
     return cut.select(crop_name(F.col("path"), F.col("timestamp_ms"), *sides).alias("name"), png("height", "width", "channels", "data").alias("content"))
+
+
+def write_crops(images: DataFrame, box: Box, folder: str) -> DataFrame:
+    """name, size: writes each image's region as a PNG file into ``folder``, which all executors see."""
+
+    def work(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"name": batch["name"], "size": batch["content"].map(len)})
+
+    return crop_files(images, box).mapInPandas(work, "name string, size long")

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 def write_scripts(scripts: DataFrame, path: str) -> None:
     """``video_id=.../part-*``: each video's script as one text value; a new run replaces the videos that it holds."""
-    spark = scripts.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     value = F.regexp_replace("script", r"\n\z", "")  # the writer ends the line itself
-    scripts.select(value.alias("value"), "video_id").repartition("video_id").write.mode("overwrite").partitionBy("video_id").text(path)
+    scripts.select(value.alias("value"), "video_id").repartition("video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").text(path)
 
 
 def provenance_json(entries: DataFrame) -> DataFrame:
@@ -33,9 +31,8 @@ def provenance_json(entries: DataFrame) -> DataFrame:
 
 def write_provenance(entries: DataFrame, path: str) -> None:
     """JSON lines below ``video_id=...``, a line per entry in order; a new run replaces the videos that it holds."""
-    entries.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     ordered = entries.repartition("video_id").sortWithinPartitions("video_id", "entry")
-    ordered.select("video_id", "timestamp", "screenshot", "raw_ocr", "cleaned_code").write.mode("overwrite").partitionBy("video_id").json(path)
+    ordered.select("video_id", "timestamp", "screenshot", "raw_ocr", "cleaned_code").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").json(path)
 
 
 def summary(stats: dict) -> str:
