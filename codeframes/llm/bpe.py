@@ -1,16 +1,16 @@
 """Byte-level BPE by merge replay over the distinct words of the whole corpus.
 
 1. Texts are cut into words, a slice of texts at a time.  A slice keeps its texts as numbers of its own distinct
-   words and sends each distinct word out once (``slice, k, word``).
-2. Words are shuffled and sorted, so that each distinct word of the corpus lies in one place.  There the replay runs:
-   all distinct words of a block are one array of symbols, an inverted index leads from each mergeable pair (by the
-   id it merges to) to the positions where it stands; ids are taken in rank order, every position of the rank is
-   merged from left to right, and only the pairs that touch a merged symbol are indexed anew.  A word is encoded once
-   for the whole corpus, however many slices have it; a block bounds memory, and a word that goes on in the next
-   block keeps its ids.
-3. The ids go back to their slices, packed, and each text is put together from its words.
-
-A word has one row per slice at most, so no word is a hot key.  Should a merge make a pair of lower rank (which needs
+   words and sends each distinct word out once, packed by cell; a word's cell is a hash of it.
+2. Cells are shuffled, so that each distinct word of the corpus lies in one place.  There the replay runs: all distinct
+   words of a cell are one array of symbols, an inverted index leads from each mergeable pair (by the id it merges to)
+   to the positions where it stands; ids are taken in rank order, every position of the rank is merged from left to
+   right, and only the pairs that touch a merged symbol are indexed anew.  A word is encoded once for the whole corpus,
+   however many slices have it.
+3. The ids go back to the tasks that cut their slices, packed, by way of files, and each text is put together from its words.
+
+There are ``CELLS`` cells to a shuffle partition, so a task holds a small share of a partition at a time.  A word has one
+entry per slice at most, so no word makes its cell hot.  Should a merge make a pair of lower rank (which needs
 a rank file whose merges are out of order), the word is encoded alone, pair by pair, so results are those of the plain
 procedure for any rank file.
 
@@ -25,20 +25,26 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import bound_batches, held, slices, written
+from codeframes.llm.common import bound_batches, filesystem, held, shared_dir, slices, written
 from codeframes.llm.pieces import exact_white, gathered, led_pieces, quick_cut
 
 #: About the bytes of text in a slice.
-SLICE_BYTES = 6 << 20
-#: Rows (a slice's word each) that one replay takes at least, where there are as many.
-BLOCK = 1 << 17
+SLICE_BYTES = 16 << 20
+#: Cells per partition of the shuffle.
+CELLS = 4
+# Of a text's word numbers: those of one byte, and the first that takes more than two.
+_SINGLE = 192
+_DOUBLE = _SINGLE + (255 - _SINGLE) * 256
+PARTS = pa.list_(pa.struct([("cell", pa.int32()), ("sizes", pa.binary()), ("data", pa.binary())]))
 
 #: Pairs whose outcome is remembered between blocks.
 PAIR_LIMIT = 2_000_000
@@ -171,34 +177,68 @@ class Words:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         words = list(number)
-        self.words = [words[i] for i in order.tolist()]
+        self.words = [words[i].encode() for i in order.tolist()]
         self.index = place[index] if len(index) else index
         self.ends = np.concatenate(([0], ends)).astype(np.int64)[pieces.bounds[1:]]
 
+    def cells(self, count: int) -> np.ndarray:
+        """The cell of every word."""
+        return np.fromiter((crc32(w) % count for w in self.words), np.int32, len(self.words))
+
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers byte by byte, so that their zero bytes compress well."""
-    import zstandard
-
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _packed_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers of words in texts, of which small ones are frequent: one byte for the ``_SINGLE`` smallest, which entropy coding
+    makes shorter still; two for the next ones, and four for the rest, in streams of their own."""
+    ranks = ranks.astype(np.int64)
+    heads = np.minimum(ranks, 255).astype(np.uint8)
+    middle = (ranks >= _SINGLE) & (ranks < _DOUBLE)
+    heads[middle] = _SINGLE + ((ranks[middle] - _SINGLE) >> 8)
+    heads[ranks >= _DOUBLE] = 255
+    streams = (heads.tobytes(), ((ranks[middle] - _SINGLE) & 255).astype(np.uint8).tobytes(), (ranks[ranks >= _DOUBLE] - _DOUBLE).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    packed = [zstandard.ZstdCompressor(level=3).compress(x) for x in streams]
+    return np.array([len(x) for x in packed], "<i8").tobytes() + b"".join(packed)
+
+
+def _unpacked_ranks(data: bytes) -> np.ndarray:
+    ends = 24 + np.cumsum(np.frombuffer(data[:24], "<i8"))
+    heads, lows, large = (np.frombuffer(zstandard.decompress(data[a:b]), np.uint8) for a, b in zip([24, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    ranks = heads.astype(np.int32)
+    middle = (heads >= _SINGLE) & (heads < 255)
+    ranks[middle] = _SINGLE + ((ranks[middle] - _SINGLE) << 8) + lows
+    ranks[heads == 255] = _DOUBLE + np.ascontiguousarray(large.reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
+    return ranks
+
+
+def _pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Sizes and bytes of words."""
+    return _packed(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def _unpack_words(sizes: bytes, data: bytes) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(_unpacked(sizes), dtype=np.int64)))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(zstandard.decompress(data))])
+
+
 def cutter(pattern: str) -> Callable[[str], list[str]]:
     import regex
 
     return quick_cut(regex.compile(exact_white(pattern)).findall)
 
 
-def cut_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """A row per slice: its documents, where each ends, its texts as packed word numbers, and its distinct words."""
+def cut_words(docs: DataFrame, pattern: str, cells: int) -> DataFrame:
+    """A row per slice: its documents, where each ends, its texts as packed word numbers, the words' cells, and its distinct
+    words by cell."""
 
     def work(batches):
         from pyspark import TaskContext
@@ -207,107 +247,124 @@ def cut_words(docs: DataFrame, pattern: str) -> DataFrame:
         for batch in batches:
             for some in slices(batch, rows=1 << 16, size=SLICE_BYTES):
                 w = Words(some.column("text"), cut)
-                one = lambda values, kind: pa.array([values], pa.list_(kind))
-                columns = [pa.array([number]), one(some.column("doc_id").to_pylist(), pa.int64()), one(w.ends, pa.int64()), pa.array([_packed(w.index)]), one(w.words, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["slice", "doc_ids", "ends", "places", "words"])
+                cell = w.cells(cells)
+                order = np.argsort(cell, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1]))) if len(cell) else order
+                parts = []
+                for part in np.split(order, first[1:]) if len(cell) else ():
+                    sizes, data = _pack_words([w.words[i] for i in part.tolist()])
+                    parts.append({"cell": int(cell[part[0]]), "sizes": sizes, "data": data})
+                one = lambda values, kind: pa.array([values], kind)
+                columns = [
+                    one(number, pa.int64()), one(some.column("doc_id").to_pylist(), pa.list_(pa.int64())), one(w.ends, pa.list_(pa.int64())),
+                    one(_packed_ranks(w.index), pa.binary()), one(_packed(cell), pa.binary()), one(parts, PARTS),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "doc_ids", "ends", "places", "cells", "parts"])
                 number += 1
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "slice long, doc_ids array<long>, ends array<long>, places binary, words array<string>")
-
-
-class Blocks:
-    """Replay over sorted rows (slice, k, word), in blocks that end where a word ends; yields packed ids by slice."""
-
-    def __init__(self, replay: MergeReplay):
-        self.replay, self.last, self.last_ids = replay, None, []
-
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        if words and words[0] == self.last:
-            ids = [self.last_ids, *self.replay.encode([w.encode() for w in words[1:]])]
-        else:
-            ids = self.replay.encode([w.encode() for w in words])
-        if words:
-            self.last, self.last_ids = words[-1], ids[-1]
-        return ids
-
-    def run(self, rows: pa.Table) -> pa.RecordBatch:
-        coded = rows.column("word").combine_chunks().dictionary_encode()
-        ids = self.ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        owner, k, index = rows.column("slice").to_numpy(), rows.column("k").to_numpy(), coded.indices.to_numpy()
-        order = np.argsort(owner, kind="stable")
-        index, k, owner = index[order], k[order], owner[order]
-        values, ends = gathered(index, sizes, flat)
-        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        stops = np.append(first[1:], len(owner))
-        bounds = np.concatenate(([0], ends))
-        packed = [[_packed(x) for x in (k[a:b], sizes[index[a:b]], values[bounds[a] : bounds[b]])] for a, b in zip(first.tolist(), stops.tolist(), strict=True)]
-        columns = [pa.array([p[i] for p in packed], pa.binary()) for i in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(owner[first]), *columns], names=["slice", "ks", "sizes", "ids"])
+    return rows.mapInArrow(work, "slice long, doc_ids array<long>, ends array<long>, places binary, cells binary, parts array<struct<cell: int, sizes: binary, data: binary>>")
+
+
+def encode_cell(replay: MergeReplay, rows: list[tuple[int, bytes, bytes]]) -> list[tuple[int, bytes, bytes]]:
+    """(slice, sizes, words) of all of a cell's rows become (slice, sizes, ids), every distinct word encoded once."""
+    columns = [_unpack_words(sizes, data) for _, sizes, data in rows]
+    coded = pa.concat_arrays(columns).dictionary_encode()
+    ids = replay.encode(coded.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+    index = coded.indices.to_numpy()
+    values, ends = gathered(index, sizes, flat)
+    bounds = np.concatenate(([0], ends))
+    out, at = [], 0
+    for (owner, *_), column in zip(rows, columns, strict=True):
+        to = at + len(column)
+        out.append((owner, _packed(sizes[index[at:to]]), _packed(values[bounds[at] : bounds[to]])))
+        at = to
+    return out
 
 
 def encode_words(staged: DataFrame, ranks_path: str) -> DataFrame:
-    """slice, ks, sizes, ids: the ids of a slice's words, each distinct word of all slices encoded once."""
+    """slice, cell, sizes, ids: the ids of a slice's words, each distinct word of all slices encoded once."""
     n = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def encoded(replay, cell, rows):
+        found = encode_cell(replay, rows)
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        owners, sizes, ids = (pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True))
+        return pa.RecordBatch.from_arrays([owners, pa.array([cell] * len(found), pa.int32()), sizes, ids], names=["slice", "cell", "sizes", "ids"])
+
     def work(batches):
         with held(("bpe", ranks_path), lambda: MergeReplay(load_ranks(ranks_path))) as replay:
-            blocks, rows, some = Blocks(replay), 0, []
+            now, rows = None, []
             for batch in batches:
-                some.append(batch)
-                rows += batch.num_rows
-                if rows >= BLOCK:
-                    yield blocks.run(pa.Table.from_batches(some))
-                    rows, some = 0, []
+                for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "slice", "sizes", "data")), strict=True):
+                    if cell != now and rows:
+                        yield encoded(replay, now, rows)
+                        rows = []
+                    now = cell
+                    rows.append(row)
             if rows:
-                yield blocks.run(pa.Table.from_batches(some))
+                yield encoded(replay, now, rows)
 
-    words = staged.select("slice", F.posexplode("words").alias("k", "word"))
-    return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(work, "slice long, ks binary, sizes binary, ids binary")
+    parts = staged.select("slice", F.explode("parts").alias("p")).select("slice", "p.cell", "p.sizes", "p.data")
+    return parts.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(work, "slice long, cell int, sizes binary, ids binary")
 
 
 def assembled(docs: DataFrame, ranks_path: str, pattern: str, finish: Callable, schema: str) -> DataFrame:
-    """``finish(doc_ids, ids as an Arrow list column)`` of every slice; ``finish`` gives the columns of ``schema``."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = written(cut_words(docs, pattern), "bpe-slices", codec="zstd")
-    found = encode_words(staged, ranks_path)
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    texts = staged.select("slice", F.lit(0).alias("kind"), "doc_ids", "ends", F.size("words").alias("n"), "places", none("binary", "sizes"), none("binary", "ids"))
-    ids = found.select("slice", F.lit(1).alias("kind"), none("array<long>", "doc_ids"), none("array<long>", "ends"), none("int", "n"), F.col("ks").alias("places"), "sizes", "ids")
+    """``finish(doc_ids, ids as an Arrow list column)`` of every slice; ``finish`` gives the columns of ``schema``.
+
+    Texts stay where they were cut: the ids of the words go to files by the task that cut their slices, from which the
+    last stage reads those of its own slices."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = written(cut_words(docs, pattern, CELLS * n), "bpe-slices", codec="uncompressed")  # its columns are packed
+    path = shared_dir(docs.sparkSession, "bpe-ids")
+    found = encode_words(staged, ranks_path).withColumn("cutter", F.shiftright("slice", 32))
+    ordered = found.repartition(n, "cutter").sortWithinPartitions("cutter", "slice", "cell")
+    ordered.write.partitionBy("cutter").option("compression", "uncompressed").parquet(path)
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def put(text: dict, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        sizes = np.zeros(text["n"], np.int32)
-        ks, each, flat = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.uint32)]) for i in range(3))
-        sizes[ks] = each
-        if len(ks) != text["n"]:
-            raise ValueError(f"slice {text['slice']} has ids for {len(ks)} of its {text['n']} words")
-        order = np.empty(text["n"], np.int32)  # the words' ids lie in the order of arrival
-        order[ks] = np.arange(len(ks), dtype=np.int32)
-        values, ends = gathered(order[_unpacked(text["places"])], each.astype(np.int32), flat)
+    def ids_of(cutter: int) -> dict[int, list[tuple[int, bytes, bytes]]]:
+        """(cell, sizes, ids) of the slices that a task cut."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, folder = filesystem(f"{path}/cutter={cutter}")
+        parts: dict[int, list] = {}
+        for info in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with files.open_input_file(info.path) as source:
+                    rows = pq.ParquetFile(source).read(columns=["slice", "cell", "sizes", "ids"])
+                for number, *part in zip(*(rows.column(c).to_pylist() for c in ("slice", "cell", "sizes", "ids")), strict=True):
+                    parts.setdefault(number, []).append(part)
+        return parts
+
+    def put(text: dict, parts: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        cells = _unpacked(text["cells"])
+        parts.sort(key=lambda p: p[0])
+        none = [np.zeros(0, np.uint32)]
+        sizes, flat = np.concatenate([_unpacked(p[1]) for p in parts] or none), np.concatenate([_unpacked(p[2]) for p in parts] or none)
+        if len(sizes) != len(cells):
+            raise ValueError(f"slice {text['slice']} has ids for {len(sizes)} of its {len(cells)} words")
+        order = np.empty(len(cells), np.int32)  # ids lie by cell, and in a cell by the word's number
+        order[np.argsort(cells, kind="stable")] = np.arange(len(cells), dtype=np.int32)
+        values, ends = gathered(order[_unpacked_ranks(text["places"])], sizes.astype(np.int32), flat)
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], text["ends"])).astype(np.int64)]
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
         return pa.RecordBatch.from_arrays(finish(pa.array(text["doc_ids"], pa.int64()), lists), names=names)
 
     def work(batches):
-        text, parts = None, []
+        cutter, parts = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if row["kind"] == 0:
-                    if text:
-                        yield put(text, parts)
-                    text, parts = row, []
-                else:
-                    parts.append(tuple(_unpacked(row[c]) for c in ("places", "sizes", "ids")))
-        if text:
-            yield put(text, parts)
-
-    return texts.unionByName(ids).repartition(n, "slice").sortWithinPartitions("slice", "kind").mapInArrow(work, schema)
+                text = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if text["slice"] >> 32 != cutter:
+                    cutter = text["slice"] >> 32
+                    parts = ids_of(cutter)
+                yield put(text, parts.pop(text["slice"], []))
+
+    return staged.drop("parts").mapInArrow(work, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -84,24 +84,33 @@ def test_replay_is_tiktoken(spark):
         assert got[i] == enc.encode_ordinary(text or ""), text
 
 
-def test_words_are_encoded_once(monkeypatch):
+def test_words_are_encoded_once():
     ranks = bpe.load_ranks(MULTI)
     seen = []
     replay = bpe.MergeReplay(ranks)
     whole = replay.encode
     replay.encode = lambda words: seen.extend(words) or whole(words)
-    blocks = bpe.Blocks(replay)
-    rows = sorted((w, s, k) for s in range(7) for k, w in enumerate([" hello", " world", "漢字", f" w{s}"]))
-    found = {}
-    for at in range(0, len(rows), 5):
-        some = rows[at : at + 5]
-        out = blocks.run(pa.table({"slice": [s for _, s, _ in some], "k": pa.array([k for *_, k in some], pa.int32()), "word": [w for w, *_ in some]}))
-        for r in out.to_pylist():
-            ks, sizes, ids = (bpe._unpacked(r[c]).tolist() for c in ("ks", "sizes", "ids"))
-            for k, n in zip(ks, sizes, strict=True):
-                found[r["slice"], k], ids = ids[:n], ids[n:]
+    slices = [[w.encode() for w in (" hello", " world", "漢字", f" w{i}")] for i in range(7)] + [[]]
+    found = bpe.encode_cell(replay, [(i, *bpe._pack_words(words)) for i, words in enumerate(slices)])
     assert len(seen) == len(set(seen)) == 10
-    assert found == {(s, k): bpe.encode_alone(w.encode(), ranks) for w, s, k in rows}
+    for (owner, sizes, ids), words in zip(found, slices, strict=True):
+        ids, ends = bpe._unpacked(ids).tolist(), np.cumsum(bpe._unpacked(sizes)).tolist()
+        assert [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)] == [bpe.encode_alone(w, ranks) for w in words] and words == slices[owner]
+
+
+def test_word_numbers_survive_packing():
+    rng = np.random.default_rng(0)
+    for numbers in ([], [0], [255], [1 << 24], range(70_000), rng.zipf(1.3, 50_000) % 10**6, [191, 192, 447, 448, 16319, 16320, 16321]):
+        numbers = np.array(numbers, np.int32)
+        assert bpe._unpacked_ranks(bpe._packed_ranks(numbers)).tolist() == numbers.tolist()
+        assert bpe._unpacked(bpe._packed(numbers)).tolist() == numbers.tolist()
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 9001}é" for i in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, "")], "doc_id long, text string").repartition(1)
+    enc = tiktoken_encoding()
+    assert {r.doc_id: r.ids for r in bpe.encode(docs, MULTI, public_tokenizers.PATTERN).collect()} == {1: enc.encode_ordinary(text), 2: enc.encode_ordinary("short"), 3: []}
 
 
 def test_replay_with_ranks_out_of_order():
