@@ -46,6 +46,16 @@ def probe_size(text):
     return F.when(w.isNotNull() & h.isNotNull() & (F.size(parts) == 2), F.struct(w.alias("width"), h.alias("height")))
 
 
+def probe_seconds(text):
+    """The duration that a media probe printed; null where it isn't a number."""
+    return F.trim(text).try_cast("double")
+
+
+def probe_has_audio(text):
+    """Whether a probe for audio streams printed any; false where it failed."""
+    return F.coalesce(F.trim(text) != "", F.lit(False))
+
+
 def merge_decisions(lessons: DataFrame, force: bool = False) -> DataFrame:
     """Per course (has_stream, downloaded, width, height): merge or not, by copy or anew, and the padded size."""
     even = lambda c: F.max(c) + F.pmod(F.max(c), F.lit(2))

@@ -191,3 +191,10 @@ def test_banded_distance_is_that_of_the_full_table():
             assert distance_within(a, b, most) == (want if want <= most else None), (a, b, most)
         for t in (0.0, 0.5, 0.85, 1.0):
             assert alike(a, b, t) == (1.0 - want / max(len(a), len(b)) >= t if a or b else True)
+
+
+def test_probes(spark):
+    from codeframes.operators import crawl
+
+    df = spark.createDataFrame([(" 12.5\n".strip(), "audio"), ("N/A", " "), (None, None)], "d string, a string")
+    assert [tuple(r) for r in df.select(crawl.probe_seconds(F.col("d")), crawl.probe_has_audio(F.col("a"))).collect()] == [(12.5, True), (None, False), (None, False)]
