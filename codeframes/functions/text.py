@@ -62,6 +62,7 @@ def token_accuracy(predicted: Column | str, truth: Column | str) -> Column:
 def strip_fence(content: Column | str) -> Column:
     """Inside of the first fenced block, which ends at a fence at a line's start or at the end; newlines around go."""
     content = F.coalesce(_c(content), F.lit(""))
+    # Fixed value: how replies fence code.
     fence = r"(?smd)```[^\n]*\n(.*?)(?:^```|\z)"
     inside = F.when(content.rlike(fence), F.regexp_extract(content, fence, 1)).otherwise(content)
     return F.regexp_replace(inside, r"\A\n+|\n+\z", "")

@@ -61,13 +61,13 @@ def test_transcript_confidence(spark):
     assert [r[0] for r in df.select(text.transcript_confidence("t", "r")).collect()] == [0.3, 0.9, 0.9]
 
 
-CODE = "import numpy as np\n\n\ndef loss(params, batch):\n    preds = model(params, batch)\n    return jnp.mean((preds - batch) ** 2)\n"
+CODE = "from pathlib import Path\n\n\ndef largest(folder, limit):\n    sizes = [p.stat().st_size for p in Path(folder).iterdir()]\n    return sorted(sizes)[-limit:]\n"
 BOUNDS = [
-    (CODE, 0.6, 1.01), ("const sum = (a, b) => {\n  return a + b;\n};\n", 0.6, 1.01), ("", 0, 1e-9), ("  \n\t ", 0, 1e-9), ("import numpy as np", 0.3, 1.01), ("pip install requests", 0.3, 1.01),
-    ("class Foo {\n    int x = 0;\n}", 0.6, 1.01), ("public static void main(String[] a) {", 0.6, 1.01), ("SELECT name FROM users WHERE active = true", 0.3, 1.01),
-    ("SELECT a.id, b.name FROM users a JOIN orders b ON a.id = b.uid", 0.3, 1.01), ('<div class="card">hello</div>', 0.3, 1.01), ("MAX_RETRIES", 0.01, 0.4),
-    ("select one of the options from the menu", 0, 0.2), ("select a date from the calendar", 0, 0.2), ("the individual(s) and class(es) named", 0, 0.2), ("class agenda: what to read", 0, 0.2),
-    ("  -> crop likely code regions", 0, 0.4), ("If you return to the class later, you can import these ideas and build for the future without worry.", 0, 0.2), ("x = ", 0.2, 1.01),
+    (CODE, 0.6, 1.01), ("let area = (w, h) => {\n  return w * h;\n};\n", 0.6, 1.01), ("", 0, 1e-9), ("\n \t\n", 0, 1e-9), ("import zlib as z", 0.3, 1.01), ("npm install left-pad", 0.3, 1.01),
+    ("class Shelf {\n    int books = 3;\n}", 0.6, 1.01), ("private final void close(Stream out) {", 0.6, 1.01), ("SELECT price FROM parts WHERE size > 3", 0.3, 1.01),
+    ("SELECT p.name, s.city FROM parts p JOIN shops s ON p.shop = s.id", 0.3, 1.01), ('<p lang="en">words</p>', 0.3, 1.01), ("LAST_STEP", 0.01, 0.4),
+    ("select two of these plums from that tree", 0, 0.2), ("please select a chair from row nine", 0, 0.2), ("bring your ticket(s) and pass(es) along", 0, 0.2), ("class reunion: bring cake", 0, 0.2),
+    ("  -> rest a little", 0, 0.4), ("While we wait for the bus, try to return what you import with every async letter.", 0, 0.2), ("n = ", 0.2, 1.01),
 ]
 
 
