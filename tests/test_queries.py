@@ -92,3 +92,18 @@ def test_takes_hold_whole_texts(duck):
     assert "left(" not in ORACLES["code_score"]
     longest = duck.execute(ORACLES["gate"].split("SELECT video_id, seq, score")[0] + "SELECT max(length(text)) FROM takes").fetchone()[0]
     assert longest > 500
+
+
+def test_hashes_round_as_their_sql_on_one_thread(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    # mirrored and flat pictures: frequencies are equal in pairs, and rounding decides on which side of the median they lie
+    grey = np.random.default_rng(1).integers(0, 256, (200, 8, 8))
+    grey = np.concatenate([(grey + grey.transpose(0, 2, 1)) // 2, (grey + grey[:, ::-1]) // 2, np.arange(0, 256, 5)[:, None, None] * np.ones((1, 8, 8))])
+    vectors = (grey.reshape(-1, 64) + 0.5) / 127 - 1
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    duck = duckdb.connect(config={"threads": 1})  # on several its sums add in an order that differs from run to run
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    assert rows(QUERIES["image_phash"](spark, str(tmp_path)).toPandas()) == rows(duck.execute(ORACLES["image_phash"]).df())
