@@ -32,6 +32,9 @@ _MARKS = frozenset(".,;:!?")
 # basic Latin after ASCII lower-casing, Latin without U+0130, Greek and Cyrillic letters.
 _STEADY = "[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f\u03ac-\u03ce\u0430-\u045f]"
 
+#: A space and letters that every version of Unicode has as letters: one match of the patterns in which a space may lead.
+LED_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f]+")
+
 #: Bytes of one generation of a cache: characters, ids, and ``_ENTRY`` for two objects and their place in it.
 CACHE_BYTES = 24 << 20
 _ENTRY = 190
@@ -129,7 +132,7 @@ def gathered(index: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np
 
 def _coded(lists: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
     coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
-    return coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist(), offsets - offsets[0]
+    return coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), offsets - offsets[0]
 
 
 def bare_pieces(column: pa.Array, lower: bool = False) -> Cut:
@@ -192,17 +195,21 @@ def exact_white(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
 
 
-def joined_encoder(path: str, led: bool, separator: str, mark: str) -> PieceEncoder:
-    """Pieces through the tokenizers library, many in one text.
-
-    ``separator`` holds ``mark``, whose single id occurs in no piece without it: ids are cut there.  Pieces with
-    the mark or white space inside go one by one, as do all if the count of cuts doesn't come out."""
+def loaded(path: str):
+    """The tokenizers library's tokenizer of a file, on one thread."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+def joined_encoder(tokenizer, led: bool, separator: str, mark: str) -> PieceEncoder:
+    """Pieces through the tokenizers library, many in one text.
+
+    ``separator`` holds ``mark``, whose single id occurs in no piece without it: ids are cut there.  Pieces with
+    the mark or white space inside go one by one, as do all if the count of cuts doesn't come out."""
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     tokenizer.encode_special_tokens = True  # the encoder has cut their strings out: no piece can be made one
     marks = tokenizer.encode(mark, add_special_tokens=False).ids
@@ -235,16 +242,42 @@ def joined_encoder(path: str, led: bool, separator: str, mark: str) -> PieceEnco
     return PieceEncoder(led, encode_many, specials=specials)
 
 
+def _words_apart(others: Callable, sure: Callable[[str], object], plain, separator: str, stops: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """``encode_many`` that gives ``sure`` pieces to ``plain``, many in one text, and the rest to ``others``.
+
+    ``stops`` has where each piece ends in the ids; pieces whose count doesn't come out go to ``others``, too."""
+
+    def encode_many(pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        fits = np.fromiter((bool(v) for v in map(sure, pieces)), bool, len(pieces))
+        rest, words = np.flatnonzero(~fits).tolist(), np.flatnonzero(fits).tolist()
+        for k in range(0, len(words), 512):
+            some = words[k : k + 512]
+            ids = np.array(plain.encode_batch_fast([separator.join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * stops(ids)).tolist()
+            if len(ends) != len(some):
+                rest += some
+                continue
+            data = ids.tobytes()
+            for i, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+                out[i] = data[a:b]
+        for i, v in zip(rest, others([pieces[i] for i in rest]), strict=True):
+            out[i] = v
+        return out
+
+    return encode_many
+
+
 def word_end_encoder(path: str) -> PieceEncoder:
     """For a lower-casing vocabulary that drops white space and whose words end in ``</w>``.
 
     A piece of small letters in normal form is one word that normalisation leaves alone: such pieces go through a
     tokenizer without it, many at once, and are told apart by word ends.  For others a zero byte between spaces is
     a word of its own."""
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    from tokenizers import normalizers, pre_tokenizers
 
-    encoder = joined_encoder(path, False, " \x00 ", "\x00")
-    others, plain = encoder.encode_many, Tokenizer.from_file(path)
+    encoder = joined_encoder(loaded(path), False, " \x00 ", "\x00")
+    plain = loaded(path)
     plain.normalizer = normalizers.Sequence([])
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     ends = np.zeros(plain.get_vocab_size(), bool)
@@ -254,28 +287,32 @@ def word_end_encoder(path: str) -> PieceEncoder:
     def steady(p: str) -> bool:
         return p.isalpha() and p.lower() == p and (p.isascii() or unicodedata.is_normalized("NFC", p))
 
-    def encode_many(pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(pieces)
-        sure = np.fromiter(map(steady, pieces), bool, len(pieces))
-        rest, words = np.flatnonzero(~sure).tolist(), np.flatnonzero(sure).tolist()
-        for k in range(0, len(words), 512):
-            some = words[k : k + 512]
-            ids = np.array(plain.encode_batch_fast([" ".join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-            if len(stops) != len(some):
-                rest += some
-                continue
-            data = ids.tobytes()
-            for i, a, b in zip(some, [0, *stops[:-1]], stops, strict=True):
-                out[i] = data[a:b]
-        for i, v in zip(rest, others([pieces[i] for i in rest]), strict=True):
-            out[i] = v
-        return out
-
-    encoder.encode_many, encoder.lower = encode_many, True
+    encoder.encode_many = _words_apart(encoder.encode_many, steady, plain, " ", lambda ids: np.flatnonzero(ends[ids]) + 1)
+    encoder.lower = True
     return encoder
 
 
 def byte_level_encoder(path: str) -> PieceEncoder:
-    """For a byte-level vocabulary with the common pattern, in which a line break between words stands alone."""
-    return joined_encoder(path, True, "\n", "\n")
+    """For a byte-level vocabulary with the common pattern, in which a line break between words stands alone.
+
+    A space and letters are one match of the pattern: such pieces go to the same merges without the pattern, cut at line
+    breaks, and are told apart by the tokens that begin with the space, which no other token of theirs holds."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = loaded(path)
+    encoder = joined_encoder(tokenizer, True, "\n", "\n")
+    if tokenizer.normalizer is not None:
+        return encoder
+    plain = Tokenizer(tokenizer.model)  # the same vocabulary in memory
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    space = tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
+    vocabulary = tokenizer.get_vocab()
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    for token, i in vocabulary.items():
+        begins[i] = token.startswith(space)
+
+    def stops(ids: np.ndarray) -> np.ndarray:
+        return np.append(np.flatnonzero(begins[ids])[1:], len(ids))
+
+    encoder.encode_many = _words_apart(encoder.encode_many, LED_WORD.fullmatch, plain, "\n", stops)
+    return encoder

@@ -98,6 +98,29 @@ def test_words_are_encoded_once():
         assert [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)] == [bpe.encode_alone(w, ranks) for w in words] and words == slices[owner]
 
 
+def test_words_behind_a_space_do_without_the_pattern(monkeypatch):
+    from codeframes.llm import pieces
+
+    make, slow = pieces.joined_encoder, []
+
+    def watched(*args):
+        encoder = make(*args)
+        encode_many = encoder.encode_many
+        encoder.encode_many = lambda some: slow.extend(some) or encode_many(some)
+        return encoder
+
+    monkeypatch.setattr(pieces, "joined_encoder", watched)
+    letters = [chr(c) for c in range(0x3000) if pieces.LED_WORD.fullmatch(" " + chr(c))]
+    words = [" " + a + b for a in letters for b in "aZ\u00e9\u03b1\u044f"] + [" " + "".join(letters)] + [" it" + "x" * n for n in range(700)]
+    others = ["it", " it's", " a1", " don\u2019t", " \u4e2d\u6587", " \u0301a", " a\u0301", " ", "\n", " \u00d7", " \u00f7", " \u0360", " \u0488", ""]
+    found = byte_level_encoder(BYTE).look_up([*words, *others])
+    assert not set(words) & set(slow) and set(others[:-1]) == set(slow)
+    whole = plain(BYTE)
+    assert [np.frombuffer(v, "<u4").tolist() for v in found] == list(map(whole, [*words, *others]))
+    texts = ["".join(words[i::7]) + o + "".join(words[i::11]) for i, o in enumerate(others * 3)]
+    assert [v.tolist() for v in byte_level_encoder(BYTE).encode(texts)] == list(map(whole, texts))
+
+
 def test_word_numbers_survive_packing():
     rng = np.random.default_rng(0)
     for numbers in ([], [0], [255], [1 << 24], range(70_000), rng.zipf(1.3, 50_000) % 10**6, [191, 192, 447, 448, 16319, 16320, 16321]):
