@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeframes.llm import bpe, langid, packing, quality, secret_scan, simhash, tokenstore, topk, toxicity, warc
+from codeframes.llm import alignment, bpe, langid, lexical, licenses, packing, quality, secret_scan, simhash, tokenstore, topk, toxicity, warc
 from codeframes.llm.common import table
 
 
@@ -60,9 +60,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings")).drop("query_key")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_langid, op3_simhash, op4_quality, op5_tokenstore, op6_secrets, op7_bpe, op8_packing, op9_toxicity, op10_topk)
+    for f in (op1_warc, op2_langid, op3_simhash, op4_quality, op5_tokenstore, op6_secrets, op7_bpe, op8_packing, op9_toxicity, op10_topk, op11_alignment, op12_lexical, op13_licenses)
 }
 
 ORACLES = {
@@ -70,4 +82,6 @@ ORACLES = {
     "op4_quality": quality.ORACLE,
     "op6_secrets": secret_scan.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op12_lexical": lexical.ORACLE,
+    "op13_licenses": licenses.ORACLE,
 }
