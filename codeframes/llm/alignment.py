@@ -7,6 +7,11 @@ the groups, a range join puts the B tokens into the groups' intervals, and token
 group counted before they meet.  Groups never cross an offset at which tokens of both sides end, so blocks of
 ``BLOCK_TOKENS`` tokens, cut there, are aligned one by one, however long a text is.
 
+Tokens of both sides end before a space that follows a character other than white space, around a line break
+between such characters, and between a letter and a mark: A's pattern ends a match there, and no piece of B goes across
+(checked when B is loaded; else a text is one chunk).  Texts are cut there, and a chunk goes through tokenizers and
+DuckDB once while a bounded cache holds it.
+
 A partition writes one row per slice of documents: their numbers, the distinct id pairs of the slice with the
 documents that hold each, and the links of each document as places in that list.  Counts are merged per task before
 they are shuffled; slices then ask for the counts of their own pairs, once a slice however many documents hold them.
@@ -19,6 +24,8 @@ strings of special tokens are plain text; an empty table gives no rows; of all c
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -28,13 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeframes.llm.common import bound_batches, held, slices, written
-from codeframes.llm.pieces import byte_level_encoder, gathered
+from codeframes.llm.pieces import GLUE, WHITE, Cut, PieceEncoder, byte_level_encoder, gathered, led_pieces
 
 SLICE_BYTES = 1 << 20
 BLOCK_TOKENS = 1 << 18
 #: Distinct pairs that a task merges before it hands their counts on.
 MERGE_PAIRS = 1 << 21
 DUCKDB_MEMORY = "512MB"
+#: Bytes of one of the two generations of aligned chunks that a worker keeps.
+CHUNK_BYTES = 32 << 20
+_SPACE = "\u2581"
+_CUT = re.compile(f"(?<=[^{WHITE}]) ")
+_HEAD = 16
 
 SLICE_SCHEMA = (
     "slice long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, "
@@ -77,7 +89,7 @@ class Bytes(NamedTuple):
 
 
 class Aligner:
-    """Both tokenizers and a DuckDB connection, kept by a worker from slice to slice."""
+    """Both tokenizers, a DuckDB connection, and a cache of aligned chunks, kept by a worker from slice to slice."""
 
     def __init__(self, a_path: str, b_path: str):
         import duckdb
@@ -93,47 +105,111 @@ class Aligner:
             names[i] = token
         self.a = Bytes.of([bytes(char[c] for c in n) if all(c in char for c in n) else n.encode() for n in names])
         self.b_model = model = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        of_b = lambda i: bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
-        self.b = Bytes.of([of_b(i) for i in range(model.get_piece_size())])
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.b = Bytes.of([bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)])
+        # what the cuts below rest on; two tokens stand before whatever follows a line break
+        crossed = lambda a, b: (b == _SPACE and a != _SPACE) or "\n" in (a, b) or (a.isalpha() and b in ".,;:!?")
+        self.cuts = not any(crossed(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)) and len(model.encode("\n")) == 2
         # an id behind each separator: none, next of its side, first of B, first of a group
         self.width = max(len(self.a.sizes), len(self.b.sizes))
         self.words = pa.array([sep + str(i) for sep in ("", ",", "|", ";") for i in range(self.width)])
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
+        self.chunks = PieceEncoder(True, self.align_chunks, CHUNK_BYTES)
+        self.encoder.limit = CHUNK_BYTES // 4
+
+    def cut(self, texts: pa.Array) -> Cut:
+        """The chunks of texts, of which the first has a space before it."""
+        odd = pc.match_substring_regex(texts, f"(^|[{WHITE}]) |{GLUE}").to_numpy(zero_copy_only=False)
+        if not self.cuts:
+            odd[:] = True
+        plain = np.flatnonzero(~odd)
+        cut = led_pieces(texts.take(pa.array(plain)))
+        number = {p: i for i, p in enumerate(cut.pieces)}
+        index, runs = cut.index, [None] * len(texts)
+        firsts, back = np.unique(index[cut.bounds[:-1]], return_inverse=True)
+        index[cut.bounds[:-1]] = np.array([number.setdefault(" " + cut.pieces[k], len(number)) for k in firsts], np.int32)[back]
+        for k, i in enumerate(plain.tolist()):
+            runs[i] = index[cut.bounds[k] : cut.bounds[k + 1]]
+        for i in np.flatnonzero(odd).tolist():
+            text = texts[i].as_py()
+            found = _CUT.split(text) if self.cuts else [text]
+            runs[i] = np.fromiter((number.setdefault(" " + p, len(number)) for p in found), np.int32, len(found))
+        # only texts begin with the empty piece, and these have a space before it now
+        return Cut([p or " " for p in number], np.concatenate(runs), np.concatenate(([0], np.cumsum([len(r) for r in runs]))))
 
     def aligned(self, texts: pa.Array) -> dict[str, list]:
         """The columns of a slice, without its number and ids."""
-        n = len(texts)
-        plain = pc.fill_null(texts, "")
-        values = plain.to_pylist()
-        ids_a = self.encoder.encode(pc.binary_join_element_wise(pa.scalar(" "), plain, ""))
-        ids_b = self.b_model.encode(values, num_threads=1)
-        streams: list[tuple[np.ndarray, np.ndarray]] = []
-        none = np.zeros(0, np.int64)
-        for text, x, y in zip(values, ids_a, ids_b, strict=True):
-            x, y, whole = x.astype(np.int64), np.array(y, np.int64), b" " + text.encode()
-            same = text and all(gathered(i, v.sizes, v.flat)[0].tobytes() == whole for i, v in ((x, self.a), (y, self.b)))
-            streams.append((x, y) if same else (none, none))
-        n_a, n_b = (np.array([len(s[k]) for s in streams], np.int64) for k in (0, 1))
-        a, b = (np.concatenate([s[k] for s in streams] or [none]) for k in (0, 1))
-        docs, groups, digests, links = np.arange(n), np.zeros(n, np.int64), [hashlib.sha256() for _ in range(n)], []
-        doc_a, doc_b = np.repeat(docs, n_a), np.repeat(docs, n_b)
+        n, plain = len(texts), pc.fill_null(texts, "")
+        cut = self.cut(plain)
+        values = self.chunks.look_up(cut.pieces)
+        heads = np.frombuffer(b"".join([v[:_HEAD] for v in values]), "<i4").reshape(-1, 4).astype(np.int64)
+        pairs = [v[_HEAD : _HEAD + 16 * k] for v, k in zip(values, heads[:, 3].tolist(), strict=True)]
+        written_out = pa.array([v[_HEAD + 16 * k :] for v, k in zip(values, heads[:, 3].tolist(), strict=True)], pa.binary())
+        places = np.diff(cut.bounds)
+        doc = np.repeat(np.arange(n), places)
+        lost = np.bincount(doc, heads[cut.index, 0] < 0, n) > 0
+        lost |= pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
+        sums = [np.where(lost, 0, np.diff(np.concatenate(([0], np.cumsum(heads[cut.index, k])))[cut.bounds])) for k in range(3)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut.bounds.astype(np.int32)), written_out.take(pa.array(cut.index))), b";")
+        digests = ["" if gone else hashlib.sha256(text.as_buffer()).hexdigest() for gone, text in zip(lost.tolist(), joined, strict=True)]
+        # each document's distinct chunks and their times, then their links
+        held_by, times = np.unique((doc * len(values) + cut.index)[~lost[doc]], return_counts=True)
+        doc, chunk = held_by // len(values), held_by % len(values)
+        sizes, flat = heads[:, 3], np.frombuffer(b"".join(pairs), "<i8").reshape(-1, 2)
+        at, _ = gathered(chunk, sizes, np.arange(len(flat)))
+        doc, n_links = np.repeat(doc, sizes[chunk]), flat[at, 1] * np.repeat(times, sizes[chunk])
+        keys, place = np.unique(flat[at, 0], return_inverse=True)
+        rows, row = np.unique(doc * max(len(keys), 1) + place, return_inverse=True)
+        doc, place, n_links = rows // max(len(keys), 1), rows % max(len(keys), 1), _sums(row, n_links, len(rows))
+        return {
+            "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": _sums(doc, n_links, n), "digests": digests,
+            "sizes": np.bincount(doc, minlength=n).astype(np.int32), "places": place.astype("<i4").tobytes(), "times": n_links.astype("<i8").tobytes(),
+            "pairs": keys.astype("<i8").tobytes(), "holders": np.bincount(place, minlength=len(keys)).astype("<i8").tobytes(),
+        }
+
+    def align_chunks(self, chunks: list[str]) -> list[bytes]:
+        """For each chunk the numbers of its tokens, groups and pairs, its pairs with their links, and its written groups; -1
+        tokens where a vocabulary doesn't give the chunk back."""
+        out: list[bytes] = []
+        total, some = 0, []
+        for c in chunks:
+            some.append(c)
+            total += len(c)
+            if total > SLICE_BYTES:
+                out += self._align(some)
+                total, some = 0, []
+        return out + (self._align(some) if some else [])
+
+    def _align(self, chunks: list[str]) -> list[bytes]:
+        n, raw = len(chunks), [c.encode() for c in chunks]
+        ids_a = self.encoder.encode(pa.array(chunks))
+        if self.cuts:  # B puts its space before the line break, and chunks stand as they are
+            ids_b = [ids[2:] for ids in self.b_model.encode(["\n" + c for c in chunks], num_threads=1)]
+        else:
+            ids_b = self.b_model.encode([c[1:] for c in chunks], num_threads=1)
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (ids_a, ids_b))
+        a, b = np.concatenate(ids_a).astype(np.int64), np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        whole, same = b"".join(raw), np.ones(n, bool)
+        for ids, count, v in ((a, n_a, self.a), (b, n_b, self.b)):
+            if gathered(ids, v.sizes, v.flat)[0].tobytes() != whole:
+                bounds = np.concatenate(([0], np.cumsum(count)))
+                same &= [gathered(ids[i:j], v.sizes, v.flat)[0].tobytes() == r for i, j, r in zip(bounds[:-1].tolist(), bounds[1:].tolist(), raw, strict=True)]
+        chunk_a, chunk_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
+        a, chunk_a, b, chunk_b = a[same[chunk_a]], chunk_a[same[chunk_a]], b[same[chunk_b]], chunk_b[same[chunk_b]]
         ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
-        begun = np.zeros(n, bool)
+        groups, text, links = np.zeros(n, np.int64), [[] for _ in range(n)], []
         for (i, k), (j, m) in self._blocks(ends_a, ends_b):
-            block_a = (doc_a[i:k], a[i:k], ends_a[i:k] - self.a.sizes[a[i:k]], ends_a[i:k])
-            block_b = (doc_b[j:m], b[j:m], ends_b[j:m] - self.b.sizes[b[j:m]], ends_b[j:m])
+            block_a = (chunk_a[i:k], a[i:k], ends_a[i:k] - self.a.sizes[a[i:k]], ends_a[i:k])
+            block_b = (chunk_b[j:m], b[j:m], ends_b[j:m] - self.b.sizes[b[j:m]], ends_b[j:m])
             grp_a, grp_b, found = self._block(block_a, block_b)
             links.append(found)
             np.add.at(groups, block_a[0][np.flatnonzero(np.diff(grp_a, prepend=grp_a[0] - 1))], 1)
-            self._digest(block_a[:2], block_b[:2], grp_a, grp_b, digests, begun)
-        doc, x, y, times = self._merged(links)
-        keys, places = np.unique((x << 32) | y, return_inverse=True)
-        return {
-            "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": np.bincount(doc, times, n).astype(np.int64) if times.sum() < 1 << 53 else _sums(doc, times, n),
-            "digests": [h.hexdigest() if some else "" for h, some in zip(digests, n_a > 0, strict=True)],
-            "sizes": np.bincount(doc, minlength=n).astype(np.int32), "places": places.astype("<i4").tobytes(), "times": times.astype("<i8").tobytes(),
-            "pairs": keys.astype("<i8").tobytes(), "holders": np.bincount(places, minlength=len(keys)).astype("<i8").tobytes(),
-        }
+            self._write(block_a[:2], block_b[:2], grp_a, grp_b, text)
+        chunk, x, y, times = self._merged(links)
+        n_pairs = np.bincount(chunk, minlength=n)
+        heads = np.stack([np.where(same, n_a, -1), n_b, groups, n_pairs], axis=1).astype("<i4").tobytes()
+        flat, ends = np.stack([(x << 32) | y, times], axis=1).astype("<i8").tobytes(), np.concatenate(([0], np.cumsum(n_pairs) * 16)).tolist()
+        return [heads[_HEAD * k : _HEAD * k + _HEAD] + flat[ends[k] : ends[k + 1]] + b"".join(text[k]) for k in range(n)]
 
     @staticmethod
     def _blocks(ends_a: np.ndarray, ends_b: np.ndarray):
@@ -165,25 +241,26 @@ class Aligner:
             self.db.unregister(side)
         return np.asarray(grp_a), np.asarray(grp_b), [np.asarray(found[c], np.int64) for c in ("doc", "a", "b", "n")]
 
-    def _digest(self, a: tuple, b: tuple, grp_a: np.ndarray, grp_b: np.ndarray, digests: list, begun: np.ndarray) -> None:
-        """Feed the written groups of a block's documents to their digests."""
+    def _write(self, a: tuple, b: tuple, grp_a: np.ndarray, grp_b: np.ndarray, text: list) -> None:
+        """Add a block's written groups to those of their chunks."""
         at_a = np.arange(len(grp_a)) + np.searchsorted(grp_b, grp_a, "left")
         at_b = np.arange(len(grp_b)) + np.searchsorted(grp_a, grp_b, "right")
-        doc, word = np.empty(len(at_a) + len(at_b), np.int64), np.empty(len(at_a) + len(at_b), np.int64)
-        doc[at_a], doc[at_b] = a[0], b[0]
+        chunk, word = np.empty(len(at_a) + len(at_b), np.int64), np.empty(len(at_a) + len(at_b), np.int64)
+        chunk[at_a], chunk[at_b] = a[0], b[0]
         word[at_a] = a[1] + np.where(np.diff(grp_a, prepend=grp_a[0] - 1) != 0, 3, 1) * self.width
         word[at_b] = b[1] + np.where(np.diff(grp_b, prepend=grp_b[0] - 1) != 0, 2, 1) * self.width
-        starts = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
-        fresh = starts[~begun[doc[starts]]]
-        word[fresh] %= self.width
-        bounds = pa.array(np.append(starts, len(doc)).astype(np.int32))
+        starts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+        if text[chunk[0]]:  # this chunk began in the block before
+            word[starts[1:]] %= self.width
+        else:
+            word[starts] %= self.width
+        bounds = pa.array(np.append(starts, len(chunk)).astype(np.int32))
         joined = pc.binary_join(pa.ListArray.from_arrays(bounds, self.words.take(pa.array(word))), "")
-        for d, piece in zip(doc[starts].tolist(), joined, strict=True):
-            digests[d].update(piece.as_buffer())
-        begun[doc[starts]] = True
+        for d, piece in zip(chunk[starts].tolist(), joined.to_pylist(), strict=True):
+            text[d].append(piece.encode())
 
     def _merged(self, links: list) -> list[np.ndarray]:
-        """The links of all blocks by document; those of a text in several blocks added up."""
+        """The links of all blocks by chunk; those of a chunk in several blocks added up."""
         if not links:
             return [np.zeros(0, np.int64)] * 4
         doc, a, b, n = (np.concatenate(c) for c in zip(*links, strict=True))

@@ -1,8 +1,10 @@
 """Op 11 against the plain calls of both libraries and a loop over every document."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from codeframes.llm import alignment
@@ -74,25 +76,35 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [64, alignment.BLOCK_TOKENS])
-def test_rows_equal_the_loop(spark, monkeypatch, block):
-    """Also where long texts are aligned in many blocks; workers inherit the module, so the block is set inside the closure's class."""
+def test_rows_equal_the_loop(spark):
     docs = spark.createDataFrame(ROWS, DOCS)
-    if block != alignment.BLOCK_TOKENS:
-        monkeypatch.setattr(alignment, "BLOCK_TOKENS", block)
-        aligner = alignment.Aligner(A, B)
-        import pyarrow as pa
-
-        whole = {r[0]: r for r in brute(ROWS)}
-        values = aligner.aligned(pa.array([r[1] for r in ROWS], pa.string()))
-        for i, r in enumerate(ROWS):
-            if r[0] in (7, 10, 904):
-                assert (values["n_a"][i], values["n_b"][i], values["n_groups"][i], values["n_links"][i], values["digests"][i]) == (*whole[r[0]][1:5], whole[r[0]][7])
-        return
     got = sorted((tuple(r) for r in alignment.report(docs, A, B).collect()), key=repr)
     assert got == brute(ROWS)
 
 
+@pytest.mark.parametrize("block,cuts", [(64, True), (64, False), (3, False)])
+def test_blocks_and_whole_texts(monkeypatch, block, cuts):
+    """Small blocks, and texts that are one chunk each, as with vocabularies whose pieces hold spaces inside."""
+    monkeypatch.setattr(alignment, "BLOCK_TOKENS", block)
+    aligner = alignment.Aligner(A, B)
+    assert aligner.cuts
+    aligner.cuts = cuts
+    rows = [r for r in ROWS if len(r[1] or "") < 6000]
+    values = aligner.aligned(pa.array([r[1] for r in rows], pa.string()))
+    got = [(r[0], *(values[c][i] for c in ("n_a", "n_b", "n_groups", "n_links")), values["digests"][i]) for i, r in enumerate(rows)]
+    assert sorted(got, key=repr) == sorted(((*r[:5], r[7]) for r in brute(rows)), key=repr)
+
+
+def test_all_kinds_of_space():
+    """Chunks give the ids of whole texts around every kind of white space."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("a b. \n\r\t\u00a0\u2003'sé1,;\x01") for _ in range(40)), None, None, 0) for i in range(400)]
+    aligner = alignment.Aligner(A, B)
+    values = aligner.aligned(pa.array([r[1] for r in rows]))
+    whole = {r[0]: r for r in brute(rows)}
+    assert all((values["n_a"][i], values["n_b"][i], values["n_groups"][i], values["digests"][i]) == (*whole[i][1:4], whole[i][7]) for i in whole)
+
+
 def test_slices_share_counts(spark, monkeypatch):
     """Documents of several partitions count together."""
     docs = spark.createDataFrame(ROWS, DOCS).repartition(5)
