@@ -27,6 +27,7 @@ KEYWORDS = ("def", "class", "import", "from", "return", "elif", "lambda", "yield
 PROSE = ("the", "of", "to", "please", "your", "our", "you", "this", "that", "these", "those")
 OPERATORS = ("==", "!=", "<=", ">=", "=>", "->", "&&", "||", "+=", "-=", "::")
 BRACKETS = ("{", "}", "[", "]")
+OPENERS = ("\"", "'", "(", "[", "{")
 PLURALS = ("s", "es")
 SQL_GAP = 120
 
@@ -89,8 +90,58 @@ def _control_flow(text: Column) -> Column:
     return _some_line(text, lambda line: head(line).isin(*FLOW) & _closed_by(line, ":{"))
 
 
+def _bare(line: Column) -> Column:
+    """A line without the white space before it."""
+    return F.regexp_replace(line, _MODES + r"\A\s+", "")
+
+
+def _plain(text: Column, more: str = "") -> Column:
+    """Whether a text has characters, all of them word characters or among ``more``."""
+    return (text != "") & ~_has(text, rf"[^\w{more}]")
+
+
+def _brace_header(text: Column) -> Column:
+    """A brace that follows a closed parenthesis and has nothing behind it on its line."""
+    parts = F.split(text, r"\{")
+
+    def opens(part: Column, i: Column) -> Column:
+        ends_line = part.contains("\n") | (i == F.size(parts) - 1)
+        return (i > 0) & _has(F.get(parts, i - 1), r"\)\s*\z") & ends_line & ~_has(F.substring_index(part, "\n", 1), r"\S")
+
+    return F.size(F.filter(parts, opens)) > 0
+
+
+def _assignment(text: Column) -> Column:
+    """A name, with its dots, quotes and brackets, alone on its line before a single ``=``."""
+    parts = F.split(text, "=")
+
+    def target(part: Column, i: Column) -> Column:
+        ends = F.regexp_replace(part, _MODES + r"\s+\z", "")
+        at_line_start = (i == 0) | ends.contains("\n")
+        single = (i < F.size(parts) - 1) & ((F.get(parts, i + 1) != "") | (i == F.size(parts) - 2))
+        return single & at_line_start & _plain(_bare(F.substring_index(ends, "\n", -1)), r""".'"\[\]""")
+
+    return F.size(F.filter(parts, target)) > 0
+
+
+def _typed_declaration(text: Column) -> Column:
+    """A line whose part before ``=`` is a type and a name."""
+
+    def declares(line: Column) -> Column:
+        words = F.split(F.regexp_replace(_bare(F.substring_index(line, "=", 1)), _MODES + r"\s+\z", ""), r"(?U)\s+")
+        return line.contains("=") & (F.size(words) == 2) & words[0].isin(*TYPES) & _plain(F.get(words, F.lit(1)))
+
+    return _some_line(text, declares)
+
+
+def _indentation(text: Column) -> Column:
+    """A line that begins with blanks and goes on with a word, a quote or an opening bracket."""
+    first = lambda line: F.left(F.ltrim(line, F.lit(" \t")), F.lit(1))
+    return _some_line(text, lambda line: F.left(line, F.lit(1)).isin(" ", "\t") & (first(line).isin(*OPENERS) | _plain(first(line))))
+
+
 def _shell(text: Column) -> Column:
-    return _has(text, r"(?m)^\s*[$]\x20") | _has(text, _either(INSTALLERS)) | _has(text, r"\bcargo\s+\w")
+    return _some_line(text, lambda line: _bare(line).startswith("$ ")) | _has(text, _either(INSTALLERS)) | _has(text, r"\bcargo\s+\w")
 
 
 def _tag(text: Column) -> Column:
@@ -105,18 +156,18 @@ def _call(text: Column) -> Column:
 
 CONDITIONS: dict[str, Callable[[Column], Column]] = {
     "definition": _definition,
-    "brace_header": lambda text: _has(text, r"\)\s*[{][^\S\n]*(?:\n|\z)"),
+    "brace_header": _brace_header,
     "import": _import,
     "sql": _sql,
     "control_flow": _control_flow,
     "shell": _shell,
     "tag": _tag,
     "operator": lambda text: _contains(text, OPERATORS),
-    "assignment": lambda text: _has(text, r"""(?m)^\s*[\w.'"\]\[]+\s*=(?!=)"""),
-    "typed_declaration": lambda text: _has(text, r"(?m)^\s*" + _either(TYPES) + r"\s+\w+\s*="),
+    "assignment": _assignment,
+    "typed_declaration": _typed_declaration,
     "call": _call,
     "semicolon": lambda text: _some_line(text, lambda line: _closed_by(line, ";")),
-    "indentation": lambda text: _some_line(text, lambda line: _has(line, r"""\A[ \t]++[^\s\W]|\A[ \t]++["'(\[{]""")),
+    "indentation": _indentation,
     "bracket": lambda text: _contains(text, BRACKETS),
     "identifier": lambda text: _has(text, r"\w[_.]\w|\b[a-z]+[A-Z]"),
     "comment": lambda text: _has(text, r"(?<!\S)(?:#|/[/*])"),

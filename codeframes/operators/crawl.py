@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeframes.functions import urls
+
 # Fixed values of lesson pages.
 STREAM_SCHEME, STREAM_ENDING, STREAM_FIELD = "https://", ".m3u8", "videoUrl"
 
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
-
 
 def page_links(pages: DataFrame, base: str = "url", html: str = "html", containing: str = "/lesson/") -> DataFrame:
-    """Distinct links of each page in the order in which they first occur, joined to the page's address."""
-    hits = pages.select("page_id", F.col(base).alias("base"), F.posexplode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("pos", "href")).filter(F.col("href").contains(containing))
-    origin = F.regexp_extract("base", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract("base", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    scheme = F.regexp_extract("base", r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    url = (
-        F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(scheme, "href"))
-        .when(F.col("href").startswith("/"), F.concat(origin, "href"))
-        .otherwise(F.concat(folder, "href"))
-    )
-    first = hits.withColumn("link", url).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
+    """Distinct links of each page in the order in which they first occur, resolved against the page's address."""
+    found = pages.select("page_id", F.col(base).alias("base"), F.posexplode(urls.anchors(F.col(html))).alias("pos", "href")).filter(F.col("href").contains(containing))
+    first = found.withColumn("link", urls.resolve(F.col("base"), F.col("href"))).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy("page_id").orderBy("pos")
     return first.select("page_id", "link", F.row_number().over(order).alias("position"))
 
 
+def _field_value(before, after):
+    """What a quoted field holds whose name stands between ``before`` and ``after``, up to the playlist's ending; else null."""
+    quotes = ("\"", "'")
+    bare = lambda c: F.regexp_replace(c, r"\A\s+", "")
+    colon = bare(F.substr(after, F.lit(2)))
+    value = bare(F.substr(colon, F.lit(2)))
+    body = F.split(F.substr(value, F.lit(2)), "[\"']")[0]
+    end = F.locate(STREAM_ENDING[1:], body, 2)
+    named = F.right(before, F.lit(1)).isin(*quotes) & F.left(after, F.lit(1)).isin(*quotes)
+    return F.when(named & colon.startswith(":") & F.left(value, F.lit(1)).isin(*quotes) & (end > 0), F.substring(body, F.lit(1), end + len(STREAM_ENDING) - 2))
+
+
 def stream_url(html):
     """The first https address of a playlist, or that of a ``videoUrl`` field."""
     words = F.split(html, r"""["'\s]""")
@@ -35,8 +38,9 @@ def stream_url(html):
     address = lambda w: F.substring_index(w, STREAM_SCHEME, -1)
     streams = F.filter(words, lambda w: w.contains(STREAM_SCHEME) & (F.locate(STREAM_ENDING, address(w)) > 1))
     direct = F.transform(streams, lambda w: F.concat(F.lit(STREAM_SCHEME), address(w)))
-    field = F.regexp_extract(html, rf"""(["']){STREAM_FIELD}(["'])\s*:\s*(["'])([^"']+?{STREAM_ENDING[1:]})""", 4)
-    return F.coalesce(F.get(direct, F.lit(0)), F.nullif(field, F.lit("")))
+    parts = F.split(html, STREAM_FIELD)
+    field = F.filter(F.transform(parts, lambda part, i: F.when(i > 0, _field_value(F.get(parts, i - 1), part))), lambda v: v.isNotNull())
+    return F.coalesce(F.get(direct, F.lit(0)), F.get(field, F.lit(0)))
 
 
 def probe_size(text):

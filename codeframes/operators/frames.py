@@ -55,18 +55,22 @@ def collapse_runs(frames: DataFrame, max_distance: int = 4, hash_column: str = "
     """Keep a frame if its hash is more than ``max_distance`` bits from that of the frame kept last in its video.
 
     Each video's rows pass through one task in order of ``seq``; a task holds one hash per running video and no
-    rows, so a long video costs time but no memory."""
+    rows, so a long video costs time but no memory.  A frame without a hash is kept and compared with none."""
     if max_distance < 0:
         raise ValueError(f"max_distance must not be negative, not {max_distance}")
     columns = frames.columns
 
     def fold(batches):
-        video, last = object(), 0
+        video, last = object(), None
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (v, h) in enumerate(zip(batch.column("video_id").to_pylist(), batch.column(hash_column).to_pylist(), strict=True)):
-                if v != video or ((h ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > max_distance:
-                    video, last, keep[i] = v, h, True
+                if v != video:
+                    video, last = v, None
+                if h is None:
+                    keep[i] = True
+                elif last is None or ((h ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > max_distance:
+                    last, keep[i] = h, True
             yield batch.filter(pa.array(keep))
 
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,9 @@
 """Merging of extractions: first-fit clusters, representatives, notes, scripts and provenance.
 
 Clusters are found in one pass over each video's extractions in order: a task holds the first texts of the running
-video's clusters and no rows.  All steps share one partitioning by video.
+video's clusters, with an index of their segments, and no rows.  All steps share one partitioning by video.
+
+Defined results: a null text counts as empty.
 """
 
 from __future__ import annotations
@@ -10,71 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from codeframes.functions.distance import SeedIndex
 from codeframes.functions.text import normalize, two_digits
 from codeframes.schemas import check_bounds
 
 SIMILARITY, LOW_CONFIDENCE, CONFLICT_MARGIN = 0.85, 0.5, 0.1
 
 
-def distance_within(a: str, b: str, most: int) -> int | None:
-    """The edit distance of two texts if it is at most ``most``; only a band of that width round the diagonal is filled."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > most:
-        return None
-    start = 0
-    while start < len(a) and a[start] == b[start]:
-        start += 1
-    a, b = a[start:], b[start:]
-    while a and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    far = most + 1
-    row = list(range(min(len(a), most) + 1)) + [far] * max(0, len(a) - most)
-    for j, y in enumerate(b, 1):
-        low, high = max(1, j - most), min(len(a), j + most)
-        before = row[low - 1]
-        row[low - 1] = j if low == 1 else far
-        for i in range(low, high + 1):
-            best = before + (a[i - 1] != y)
-            before = row[i]
-            if before + 1 < best:
-                best = before + 1
-            if row[i - 1] + 1 < best:
-                best = row[i - 1] + 1
-            row[i] = best
-    return row[len(a)] if row[len(a)] <= most else None
-
-
-def alike(a: str, b: str, threshold: float) -> bool:
-    """Whether 1 - edit distance / longer length reaches the threshold."""
-    longest = max(len(a), len(b))
-    if a == b or not longest:
-        return True
-    found = distance_within(a, b, min(longest, int((1 - threshold) * longest) + 1))
-    return found is not None and 1.0 - found / longest >= threshold
-
-
 def cluster(extractions: DataFrame, similarity_threshold: float = SIMILARITY) -> DataFrame:
     """``extractions`` with ``norm`` and ``cluster_id``: in order of seq, each joins the first cluster whose first
-    member is similar enough, or starts one."""
+    member is similar enough, or starts one.  A text is measured against the seeds only that ``SeedIndex`` can't rule out."""
     check_bounds(similarity_threshold=similarity_threshold)
-    rows = extractions.withColumn("norm", normalize("text"))
+    rows = extractions.withColumn("norm", F.coalesce(normalize("text"), F.lit("")))
 
     def fold(batches):
         import pyarrow as pa
 
-        video, seeds, known = object(), [], {}
+        video, seeds = object(), SeedIndex(similarity_threshold)
         for batch in batches:
             ids = []
             for v, norm in zip(batch.column("video_id").to_pylist(), batch.column("norm").to_pylist(), strict=True):
                 if v != video:
-                    video, seeds, known = v, [], {}
-                found = known.get(norm)  # of a text that is a seed: none before it was alike
+                    video, seeds = v, SeedIndex(similarity_threshold)
+                found = seeds.first(norm)
                 if found is None:
-                    found = next((k for k, s in enumerate(seeds) if alike(norm, s, similarity_threshold)), len(seeds))
-                    if found == len(seeds):
-                        seeds.append(norm)
-                        known[norm] = found
+                    found = seeds.add(norm)
                 ids.append(found)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32())], names=[*batch.schema.names, "cluster_id"])
 

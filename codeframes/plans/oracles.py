@@ -57,7 +57,7 @@ stripped AS (
   FROM transcripts)"""
 
 PREDICTIONS = f"""
-truths AS (SELECT CAST(item_id AS VARCHAR) AS name, regexp_replace(coalesce(text, ''), '{ASCII}', '', 'g') AS truth FROM benchmark),
+truths AS (SELECT CAST(item_id AS VARCHAR) AS name, coalesce(text, '') AS truth FROM benchmark),
 predictions AS (
   SELECT 'copy' AS backend, name, truth, truth AS text, NULL AS error FROM truths
   UNION ALL SELECT 'errs', name, truth, replace(truth, 'e', 'c'), NULL FROM truths
@@ -153,6 +153,58 @@ def _score() -> str:
     return f"CAST(least(100, {total}) / 100.0 AS DOUBLE)"
 
 
+def _letters(source: str, column: str) -> str:
+    """Two strings for ``translate``: the characters of ``source`` beyond ASCII, and as many ASCII ones that no text of it has, as
+    ``levenshtein`` counts bytes; an error where there are too few."""
+    return f"""
+seen AS (SELECT DISTINCT unnest(string_split({column}, '')) AS c FROM {source}),
+letters AS (
+  SELECT coalesce((SELECT string_agg(c, '' ORDER BY c) FROM seen WHERE ord(c) > 127), '') AS beyond,
+         coalesce((SELECT string_agg(chr(n), '' ORDER BY n) FROM (SELECT unnest(range(1, 128))::INTEGER AS n) WHERE chr(n) NOT IN (SELECT c FROM seen)), '') AS unused),
+alphabet AS (SELECT CASE WHEN length(beyond) > length(unused) THEN error('too many letters') ELSE beyond END AS beyond, left(unused, length(beyond)) AS stand FROM letters)"""
+
+
+_WORD = r"[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_\s]"
+
+# Links of pages once more: attributes one after the other inside each tag, and a path built as one text whose last part
+# a ".." takes away.
+_PAGE_LINKS = r"""
+WITH plain AS (
+  SELECT page_id, url AS base, regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'), '(?is)(<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>)', '', 'g') AS h FROM pages WHERE html IS NOT NULL),
+tags AS (SELECT page_id, base, unnest(regexp_extract_all(h, '(?i)<a\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag, generate_subscripts(regexp_extract_all(h, '(?i)<a\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>'), 1) AS pos FROM plain),
+attributes AS (SELECT *, regexp_extract_all(tag, '[^\s=>"''/]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)') AS own FROM tags),
+raw AS (
+  SELECT page_id, base, pos, regexp_replace(list_filter(own, lambda x: regexp_matches(x, '^(?i:href)\s*='))[1], '^[^=]*=\s*', '') AS v FROM attributes),
+bare AS (SELECT page_id, base, pos, CASE WHEN v[1] IN ('"', '''') THEN v[2:-2] ELSE v END AS v FROM raw WHERE v IS NOT NULL),
+href AS (
+  SELECT page_id, base, pos, string_split(v, '&')[1] || array_to_string(list_transform(string_split(v, '&')[2:], lambda p:
+    CASE WHEN regexp_matches(p, '^(amp|lt|gt|quot|apos|nbsp);') THEN CASE split_part(p, ';', 1) WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"' WHEN 'apos' THEN '''' ELSE chr(160) END || p[length(split_part(p, ';', 1)) + 2:]
+         WHEN regexp_matches(p, '^#[0-9]{1,7};') THEN chr(CAST(split_part(p, ';', 1)[2:] AS INTEGER)) || p[length(split_part(p, ';', 1)) + 2:]
+         WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{1,6};') THEN chr(CAST('0x' || split_part(p, ';', 1)[3:] AS INTEGER)) || p[length(split_part(p, ';', 1)) + 2:]
+         ELSE '&' || p END), '') AS l FROM bare),
+u AS (
+  SELECT page_id, pos, base, regexp_replace(regexp_replace(l, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g') AS l, l AS given, lower(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
+         split_part(split_part(base, '#', 1), '?', 1) AS front, regexp_extract(base, '^[^?#]*\?([^#]*)', 1) AS base_query FROM href WHERE contains(l, '/')),
+w AS (
+  SELECT *, lower(regexp_extract(l, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS own, regexp_extract(front, '^[^:/]*://([^/]*)', 1) AS host, regexp_replace(front, '^[^:/]*://[^/]*', '') AS folder,
+         regexp_replace(split_part(split_part(l, '#', 1), '?', 1), '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS rest, regexp_extract(l, '^[^?#]*\?([^#]*)', 1) AS query, regexp_extract(l, '^[^#]*#(.*)$', 1) AS fragment FROM u),
+p AS (
+  SELECT *, CASE WHEN starts_with(rest, '/') THEN rest ELSE regexp_replace('/' || regexp_extract(folder, '^(.*/)', 1) || rest, '/{2,}', '/', 'g') END AS path,
+         regexp_matches(rest, '^//[^/]') AS whole FROM w),
+done AS (
+  SELECT *, list_reduce(list_prepend('', string_split(path[2:], '/')), lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END)
+            || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END AS folded FROM p),
+links AS (
+  SELECT page_id, pos, CASE WHEN own <> '' AND own <> scheme THEN given
+      WHEN whole THEN scheme || ':' || rest
+      ELSE scheme || '://' || host || CASE WHEN rest = '' THEN folder ELSE folded END END
+      || CASE WHEN own <> '' AND own <> scheme THEN '' ELSE
+           CASE WHEN query <> '' THEN '?' || query WHEN rest = '' AND base_query <> '' THEN '?' || base_query ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END END AS link FROM done),
+f AS (SELECT page_id, link, min(pos) AS pos FROM links GROUP BY ALL)
+SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM f
+"""
+
+
 def _norm(text: str) -> str:
     lines = rf"array_to_string(list_transform(string_split({text}, chr(10)), lambda l: regexp_replace(l, '\s+$', '')), chr(10))"
     return rf"regexp_replace({lines}, '\A\n+|\n+\z', '', 'g')"
@@ -222,7 +274,6 @@ texts AS (SELECT g, line, min(y) AS top, string_agg(text, ' ' ORDER BY x, y, {ti
 
 _URL = """CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/' ELSE regexp_replace(url, '[?#].*$', '') || '/a (b)~c-/?q=1' END"""
 _SLUG = rf"""regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_extract({_URL}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')"""
-_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 _S = "CAST(floor(o_totalprice / 20) AS BIGINT)"
 
 ORACLES = {
@@ -270,10 +321,16 @@ ORACLES = {
     "gate": f"WITH {TAKES}, {GATED} SELECT video_id, seq, score FROM gated",
     "normalize_text": rf"""WITH d AS (SELECT doc_id, {_norm("chr(10) || ' ' || chr(10) || replace(coalesce(text, ''), '.', '. ' || chr(9) || chr(10)) || '  ' || chr(10) || chr(10)")} AS n FROM documents)
         SELECT doc_id, length(n) AS n_chars, sha256(n) AS sha FROM d""",
-    "similarity_pairs": f"""WITH b AS (SELECT item_id, regexp_replace(text, '{ASCII}', '', 'g') AS t FROM benchmark)
-        SELECT l.item_id AS a, r.item_id AS b, levenshtein(l.t, r.t) AS distance, round(1.0 - levenshtein(l.t, r.t) / greatest(length(l.t), length(r.t)), 6) AS similarity,
-               1.0 - levenshtein(l.t, r.t) / greatest(length(l.t), length(r.t)) >= 0.3 AS near
+    "similarity_pairs": f"""WITH b0 AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark), {_letters("b0", "t")},
+        b AS (SELECT item_id, translate(t, beyond, stand) AS t FROM b0, alphabet)
+        SELECT l.item_id AS a, r.item_id AS b, levenshtein(l.t, r.t) AS distance, CASE WHEN greatest(length(l.t), length(r.t)) = 0 THEN 1.0 ELSE round(1.0 - levenshtein(l.t, r.t) / greatest(length(l.t), length(r.t)), 6) END AS similarity,
+               {_similar("l.t", "r.t", 0.3)} AS near
         FROM b l JOIN b r ON r.item_id - l.item_id BETWEEN 1 AND 5""",
+    "similarity_join": f"""WITH {PREDICTIONS}, {_letters("predictions", "text")},
+        r AS (SELECT backend || '/' || name AS reading, translate(text, beyond, stand) AS t FROM predictions, alphabet),
+        c AS (SELECT t, min(reading) AS class_id FROM r GROUP BY t),
+        n AS (SELECT a.class_id, count(*) AS n FROM c a JOIN c b ON a.class_id <> b.class_id AND {_similar("a.t", "b.t", 0.8)} GROUP BY a.class_id)
+        SELECT reading, class_id, coalesce(n, 0) AS n_links FROM r JOIN c USING (t) LEFT JOIN n USING (class_id)""",
     "clusters": f"WITH RECURSIVE {TAKES}, {_clusters('takes')} SELECT video_id, seq, cluster_id FROM clustered",
     "representatives": f"WITH RECURSIVE {TAKES}, {_clusters('takes')} SELECT video_id, cluster_id, code, sources, position FROM snippets",
     "notes": f"""WITH RECURSIVE {TAKES}, {_clusters('takes')}, f AS (SELECT *, rep_confidence < 0.5 AS low_confidence, coalesce(rep_confidence - runner_up <= 0.1::DOUBLE, false) AS conflict FROM snippets)
@@ -295,27 +352,25 @@ ORACLES = {
         SELECT a.video_id, a.n AS frames_raw, b.n AS frames_after_dedup, coalesce(c.n, 0) AS frames_passed_scoring, coalesce(c.e, 0) AS escalated_count, coalesce(e.n, 0) AS snippets_merged,
                coalesce(length(script) - length(replace(script, chr(10), '')), 0) AS output_lines, coalesce(length(script), 0) AS output_chars
         FROM a LEFT JOIN b USING (video_id) LEFT JOIN c USING (video_id) LEFT JOIN e USING (video_id) LEFT JOIN scripts USING (video_id)""",
-    "tokens": rf"""WITH {PREDICTIONS}, t AS (SELECT backend, unnest(regexp_extract_all(text, '\w+|[^\w\s]')) AS token, generate_subscripts(regexp_extract_all(text, '\w+|[^\w\s]'), 1) - 1 AS pos FROM predictions)
+    "tokens": f"""WITH {PREDICTIONS}, t AS (SELECT backend, unnest(regexp_extract_all(text, '{_WORD}')) AS token, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) - 1 AS pos FROM predictions)
         SELECT backend, token, count(*) AS n, min(pos) AS first_pos FROM t GROUP BY ALL""",
-    "token_accuracy": rf"""WITH {PREDICTIONS}, w AS (SELECT backend, name, regexp_extract_all(truth, '\w+|[^\w\s]') AS t, regexp_extract_all(text, '\w+|[^\w\s]') AS p FROM predictions)
+    "token_accuracy": f"""WITH {PREDICTIONS}, w AS (SELECT backend, name, regexp_extract_all(truth, '{_WORD}') AS t, regexp_extract_all(text, '{_WORD}') AS p FROM predictions)
         SELECT backend, name, round(CASE WHEN len(t) > 0 THEN coalesce(list_sum(list_transform(list_distinct(t), lambda k: least(len(list_filter(t, lambda x: x = k)), len(list_filter(p, lambda x: x = k))))), 0) / len(t)
                                     WHEN len(p) > 0 THEN 0.0 ELSE 1.0 END, 6) AS accuracy FROM w""",
-    "backend_eval": rf"""WITH {PREDICTIONS}, w AS (SELECT *, regexp_extract_all(truth, '\w+|[^\w\s]') AS t, regexp_extract_all(text, '\w+|[^\w\s]') AS p FROM predictions),
+    "backend_eval": f"""WITH {PREDICTIONS}, {_letters("predictions", "truth")},
+        w AS (SELECT backend, error, translate(truth, beyond, stand) AS truth, translate(text, beyond, stand) AS text, regexp_extract_all(truth, '{_WORD}') AS t, regexp_extract_all(text, '{_WORD}') AS p FROM predictions, alphabet),
         m AS (SELECT backend, error, CASE WHEN greatest(length(text), length(truth)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(text, truth) / greatest(length(text), length(truth)) END AS l,
                      CASE WHEN len(t) > 0 THEN coalesce(list_sum(list_transform(list_distinct(t), lambda k: least(len(list_filter(t, lambda x: x = k)), len(list_filter(p, lambda x: x = k))))), 0) / len(t)
                           WHEN len(p) > 0 THEN 0.0 ELSE 1.0 END AS a FROM w)
         SELECT backend, round(avg(l), 6) AS mean_levenshtein, round(avg(a), 6) AS mean_token_acc, round((avg(l) + avg(a)) / 2, 6) AS aggregate, count(*) AS n_frames FROM m GROUP BY backend HAVING NOT bool_or(error IS NOT NULL)""",
     "winner": "",
-    "page_links": rf"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, {_q(_HREF)}, 1)) AS href, generate_subscripts(regexp_extract_all(html, {_q(_HREF)}, 1), 1) AS pos FROM pages),
-        l AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href
-                     WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)', 1) || href END AS link, pos
-              FROM h WHERE contains(href, '/')),
-        f AS (SELECT page_id, link, min(pos) AS pos FROM l GROUP BY ALL)
-        SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM f""",
+    "page_links": _PAGE_LINKS,
     "stream_urls": r"""WITH h AS (SELECT page_id, coalesce(html, '') || CASE page_id % 3 WHEN 0 THEN '<script src="https://cdn.x/v' || page_id || '.m3u8?t=1">' WHEN 1 THEN '{''videoUrl'' : ''http://h/' || page_id || '.m3u8''}' ELSE '' END AS html FROM pages),
-        a AS (SELECT page_id, html, list_filter(regexp_extract_all(html, 'https://[^"''\s]+'), lambda x: contains(x[10:], '.m3u8'))[1] AS direct,
-                     nullif(regexp_extract(html, '["'']videoUrl["'']\s*:\s*["'']([^"'']+m3u8)', 1), '') AS field FROM h)
-        SELECT page_id, coalesce(direct, field) AS stream FROM a""",
+        a AS (SELECT page_id, list_filter(regexp_extract_all(html, 'https://[^"''\s]+'), lambda x: contains(x[10:], '.m3u8'))[1] AS direct, string_split(html, 'videoUrl') AS ps FROM h),
+        v AS (SELECT page_id, direct, list_transform(list_filter(range(2, len(ps) + 1), lambda i: ps[i - 1][-1] IN ('"', '''') AND ps[i][1] IN ('"', '''')),
+                     lambda i: string_split(replace(replace(ps[i][2:], chr(10), ' '), '"', ''''), '''')) AS fields FROM a),
+        f AS (SELECT page_id, direct, list_filter(fields, lambda x: trim(x[1]) = ':' AND contains(x[2][2:], 'm3u8'))[1][2] AS body FROM v)
+        SELECT page_id, coalesce(direct, body[1] || string_split(body[2:], 'm3u8')[1] || 'm3u8') AS stream FROM f""",
     "slugs": f"SELECT page_id, {_SLUG} AS lesson, coalesce(nullif({_SLUG}, ''), 'course') AS course FROM pages",
     "size_text": """WITH n AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * pow(10.0, l_linenumber - 3)) AS BIGINT) AS n FROM lineitem)
         SELECT l_orderkey, l_linenumber, CASE WHEN n >= 1000000000 THEN printf('%.1f GB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1f MB', n / 1e6) WHEN n >= 1000 THEN printf('%.1f KB', n / 1e3) ELSE n || ' B' END AS size FROM n""",

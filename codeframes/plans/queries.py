@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeframes.functions import scoring, text
-from codeframes.operators import crawl, escalate, evaluate, frames, layout, merge
+from codeframes.operators import crawl, escalate, evaluate, frames, layout, merge, similar
 from codeframes.plans import corpora, video
 from codeframes.plans.corpora import table
 from codeframes.plans.oracles import ORACLES  # noqa: F401
@@ -146,12 +146,18 @@ def normalize_text(spark: Spark, d: str) -> DataFrame:
 
 def similarity_pairs(spark: Spark, d: str) -> DataFrame:
     """Each benchmark text and the next ones by id, so that the pairs grow as the texts do."""
-    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", corpora.ASCII_ONLY, "").alias("t"))
+    b = table(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("t"))
     left = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: k + F.col("item_id"))).alias("b"))
     both = left.join(b.select(F.col("item_id").alias("b"), F.col("t").alias("tb")), "b")
     return both.select("a", "b", F.levenshtein("ta", "tb").cast("long").alias("distance"), S6(text.similarity("ta", "tb")).alias("similarity"), text.similar(F.col("ta"), F.col("tb"), 0.3).alias("near"))
 
 
+def similarity_join(spark: Spark, d: str) -> DataFrame:
+    """All readings of all benchmark texts: each one's class of equal texts, and how many other classes are similar."""
+    rows = corpora.predictions(spark, d).select(F.concat_ws("/", "backend", "name").alias("reading"), "text")
+    return similar.similarity_join(rows, "reading", "text", 0.8).select("reading", "class_id", "n_links")
+
+
 def _clustered(spark: Spark, d: str) -> DataFrame:
     return merge.cluster(escalate.gate(corpora.takes(spark, d)))
 
@@ -313,7 +319,7 @@ def image_crop(spark: Spark, d: str) -> DataFrame:
 def _named() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         timecode, frame_union, fps_sample, showinfo_pts, pair_frames, suffix_order, dedup_runs, sign_hash, bbox_pixels, line_groups, annotation_text, box_union, crop_name,
-        artifact_names, data_uris, fence_strip, llm_confidence, signal_hits, code_score, gate, normalize_text, similarity_pairs, clusters, representatives, notes, script,
+        artifact_names, data_uris, fence_strip, llm_confidence, signal_hits, code_score, gate, normalize_text, similarity_pairs, similarity_join, clusters, representatives, notes, script,
         provenance, merge_function, escalation, extract_plan, run_stats, tokens, token_accuracy, backend_eval, winner, page_links, stream_urls, slugs, size_text, duration_text,
         progress, probe_sizes, merge_mode, image_phash, image_crop, read_pictures,
     ]

@@ -159,6 +159,39 @@ def test_links_and_streams(spark):
     assert got == ["https://x.io/lesson/2", "https://x.io/c/lesson/9", "https://o.io/lesson/1", "https://p.io/lesson/3"]
 
 
+def test_links_resolve_as_the_standard_library_has_them(spark):
+    from urllib.parse import urljoin
+
+    from codeframes.functions import urls
+
+    rng = random.Random(4)
+    bases = ["http://a.x", "https://a.x/", "http://a.x/b/c/d;p?q", "http://a.x/b/c/", "http://a.x/b?q=/z/", "HTTP://A.x/b/../c", "http://a.x?q", "http://a.x/é//f/", ""]
+    links = ["", "?p=1", "#f", "?", "#", ".", "..", "./", "../", "../../../g", "/../x", "/./x/", "//h.y", "//h.y/p/../q", "http:g", "https://o.z/..", "mailto:a@b", "g?y/../x", "g#s/../x", ";x", "x//y", "/x//y/", "  sp ace", "/lesson/1"]
+    parts = ["..", ".", "", "lesson", "a b", "x;y", "é", "?q=1", "#z", "1"]
+    links += ["/".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    rows = [(rng.choice(bases) if i >= 24 * len(bases) else bases[i % len(bases)], links[i // len(bases)] if i < 24 * len(bases) else links[i - 24 * len(bases) + 24]) for i in range(24 * len(bases) + 1500)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b string, l string").select("b", "l", urls.resolve(F.col("b"), F.col("l")).alias("u"))
+    assert [r for r in got.collect() if r.u != urljoin(r.b, r.l)] == []
+
+
+def test_anchors(spark):
+    from codeframes.functions import urls
+
+    html = """<a href=/lesson/1>x</a><!-- <a href="/lesson/2"> --><A title="a > b" HREF = '/lesson/3?a=1&amp;b=&#50;&#x33;&amp;lt;&bogus;'>y</A>
+        <script>var s = '<a href="/lesson/4">';</script><a data-href="/lesson/5" name=z>no</a><a\nhref="/lesson/6"/><abbr href="/lesson/7"><a>none</a><style>a {}</style ><a href="">"""
+    got = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(urls.anchors(F.col("h"))).collect()
+    assert [r[0] for r in got] == [["/lesson/1", "/lesson/3?a=1&b=23&lt;&bogus;", "/lesson/6", ""], None, []]
+
+
+def test_fields_of_streams(spark):
+    cases = {
+        "{'videoUrl' : 'http://h/1.m3u8?x'}": "http://h/1.m3u8", '{"videoUrl":"m3u8"}': None, "videoUrl: 'a.m3u8'": None, '"videoUrl"\n:\n"b.m3u8" "videoUrl":"c.m3u8"': "b.m3u8",
+        '"videoUrl":"x.mp4" and "videoUrl" : "y.m3u8"': "y.m3u8", '"videoUrl" = "z.m3u8"': None,
+    }
+    got = spark.createDataFrame([(h,) for h in cases], "h string").select("h", crawl.stream_url(F.col("h"))).collect()
+    assert {r[0]: r[1] for r in got} == cases
+
+
 def test_settings():
     for bad in ({"fps": 0}, {"score_threshold": 1.5}, {"escalate_below": -0.1}, {"scene_threshold": 0.0}, {"scene_threshold": 1.5}, {"dedup_max_distance": -1}, {"similarity_threshold": 1.1}, {"low_confidence_threshold": -0.5}, {"conflict_margin": 2.0}):
         with pytest.raises(ValueError):
@@ -169,28 +202,32 @@ def test_settings():
     assert parse_crop("1,2,3,4").width == 3
 
 
-def test_banded_distance_is_that_of_the_full_table():
-    import random
-
-    from codeframes.operators.merge import alike, distance_within
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
-        return row[-1]
-
-    rng = random.Random(6)
-    for _ in range(4000):
-        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 14)))
-        b = "".join(rng.choice("abé") for _ in range(rng.randint(0, 14))) if rng.random() < 0.5 else a[: rng.randint(0, 9)] + "b" + a[rng.randint(0, 9) :]
-        want = plain(a, b)
-        for most in range(0, 9):
-            assert distance_within(a, b, most) == (want if want <= most else None), (a, b, most)
-        for t in (0.0, 0.5, 0.85, 1.0):
-            assert alike(a, b, t) == (1.0 - want / max(len(a), len(b)) >= t if a or b else True)
+def test_null_texts_and_hashes(spark):
+    rows = [("v", 0, "p", 0, None, 0.5), ("v", 1, "p", 1, "", 0.5), ("v", 2, "p", 2, "x = 1", 0.5), (None, 0, "p", 0, None, 0.5)]
+    got = merge.cluster(spark.createDataFrame(rows, E)).select("video_id", "seq", "cluster_id", "norm").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("v", 0, 0, ""), ("v", 1, 0, ""), ("v", 2, 1, "x = 1"), (None, 0, 0, "")], key=repr)
+    hashes = [("v", 0, 5), ("v", 1, None), ("v", 2, 5), ("w", 0, None), ("w", 1, 0), ("w", 2, 0)]
+    kept = frames.collapse_runs(spark.createDataFrame(hashes, "video_id string, seq bigint, phash bigint"), 0)
+    assert sorted(map(tuple, kept.select("video_id", "seq").collect())) == [("v", 0), ("v", 1), ("w", 0), ("w", 1)]
+
+
+def test_a_long_video_has_the_clusters_of_first_fit(spark):
+    """All texts in one video, with letters beyond ASCII, against a loop over the seeds."""
+    from codeframes.functions.distance import distances
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdé =()\n") for _ in range(rng.randint(0, 70))).strip() for _ in range(150)]
+    texts = [b.replace(rng.choice("abcdé"), "x", 2) for b in base for _ in range(4)]
+    rng.shuffle(texts)
+    rows = [("v", i, "p", i, t, 0.5) for i, t in enumerate(texts)]
+    clustered = merge.cluster(spark.createDataFrame(rows, E)).orderBy("seq").select("norm", "cluster_id").collect()
+    seeds = []
+    for norm, got in clustered:
+        found = distances([norm] * len(seeds), seeds).tolist()
+        want = next((k for k, (d, s) in enumerate(zip(found, seeds, strict=True)) if not norm and not s or 1.0 - d / max(len(norm), len(s)) >= 0.85), len(seeds))
+        if want == len(seeds):
+            seeds.append(norm)
+        assert got == want
 
 
 def test_probes(spark):
