@@ -10,7 +10,7 @@ A ledger is kept as a table at a path of its own (``Ledger``): a later scan of t
 scans what is new, and adds that.
 
 Spans are code points, end exclusive.  Where a rule matches, its matches are marked off in the text in one pass,
-and the lengths of the parts between the marks add up to the positions.
+and the lengths of the parts between the marks add up to the positions, block by block (``running``).
 
 Defined results: a null text is an empty blob; rows that repeat a path and text give a row each; rows that
 repeat a path with another text are versions of it; a null path is a path like others; an empty table gives no rows and
@@ -54,10 +54,10 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
     Rule("pem", _PEM, 0, 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@", 0, 1),
+    Rule("url_login", r"(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]++://[^\s/:@]++:[^\s/:@]++@", 0, 1),
 )
 BASE = 3
-RULE_VERSION = "4"
+RULE_VERSION = "5"
 MASK = "[REDACTED]"
 #: Marks matches off; a character of its own kind stands for it where a text has it, which no rule tells apart.
 _EDGE, _OTHER = "\ue000", "\ue001"
@@ -66,6 +66,37 @@ LEDGER_SCHEMA = "blob string, rule_version string, spans array<struct<start: int
 _EMPTY = "array<struct<start: int, rank: int, end: int, kind: string>>"
 
 
+def running(values: Column, join, zero) -> Column:
+    """``join`` of all values up to each place.  An array grows by copies, so values go in blocks of the cube root of their
+    number: the work grows with the power 4/3 of it, however many there are."""
+    return let(values, lambda v: _running(v, join, zero))
+
+
+def _running(values: Column, join, zero) -> Column:
+    size = F.greatest(F.ceil(F.cbrt(2 * F.size(values))).cast("int"), F.lit(1))
+
+    def over(part: Column) -> Column:
+        none = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("all"))
+
+        def step(acc: Column, v: Column) -> Column:
+            at = join(acc["at"], v)
+            return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+
+        return F.aggregate(part, none, step)
+
+    def joined(blocks: Column) -> Column:
+        ends = over(F.transform(blocks, lambda b: b["at"]))["all"]
+
+        def shifted(ends: Column) -> Column:
+            before = lambda k: F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(zero))
+            return F.flatten(F.transform(blocks, lambda b, k: F.transform(b["all"], lambda v: join(before(k), v))))
+
+        return let(ends, shifted)
+
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / size).cast("int")), lambda k: over(F.slice(values, k * size + 1, size)))
+    return F.when(F.size(values) > 0, let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches whose value is long enough."""
     value = f"${rule.group}"
@@ -73,20 +104,18 @@ def _spans_of(text: Column, rule: Rule, rank: int) -> Column:
     # lengths of a part before a match, the match, its value, the next part before a match, and so on
     sizes = F.transform(F.split(marked, _EDGE, -1), F.length)
 
-    def walk(found: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + found[i * 3]
-            end = start + found[i * 3 + 1]
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-            more = F.when(found[i * 3 + 2] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-            return F.struct(end.alias("at"), more.alias("spans"))
+    def found(sizes: Column) -> Column:
+        places = F.sequence(F.lit(0), ((F.size(sizes) - 1) / 3).cast("int") - 1)
+        ends = running(F.transform(places, lambda i: sizes[i * 3] + sizes[i * 3 + 1]), lambda a, b: a + b, 0)
+
+        def span(end: Column, i: Column) -> Column:
+            made = F.struct((end - sizes[i * 3 + 1]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+            return F.when(sizes[i * 3 + 2] >= rule.least, made)
 
-        none = F.array().cast(_EMPTY)
-        zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-        n = ((F.size(found) - 1) / 3).cast("int")
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: acc["spans"])).otherwise(none)
+        return F.filter(F.transform(ends, span), lambda s: s.isNotNull())
 
-    return F.when(text.rlike(rule.pattern), let(sizes, walk)).otherwise(F.array().cast(_EMPTY))
+    none = F.array().cast(_EMPTY)
+    return F.when(text.rlike(rule.pattern), let(sizes, found)).otherwise(none)
 
 
 def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -162,16 +191,21 @@ def report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
 
 
 def masked(text: Column, found: Column) -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``MASK``."""
+    """``text`` with every span, overlapping ones as one, replaced by ``MASK``.
+
+    Parts are cut from the text as four bytes a character, where a place is reached without counting characters."""
+    part = lambda wide, start, stop: F.decode(F.substring(wide, start * 4 + 1, (stop - start) * 4), "UTF-32")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def cover(wide: Column, reach: Column) -> Column:
+        # as far as the spans before reach
+        before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0))
+        lone = F.transform(found, lambda s, i: F.when(s["start"] >= before(i), F.concat(part(wide, before(i), s["start"]), F.lit(MASK))))
+        rest = part(wide, F.element_at(reach, -1), (F.octet_length(wide) / 4).cast("int"))
+        return F.concat(F.array_join(F.filter(lone, lambda x: x.isNotNull()), ""), rest)
 
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    folded = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, folded).otherwise(text)
+    reach = running(F.transform(found, lambda s: s["end"]), F.greatest, 0)
+    both = F.struct(F.encode(text, "UTF-32").alias("wide"), reach.alias("reach"))
+    return F.when(F.size(found) > 0, let(both, lambda b: cover(b["wide"], b["reach"]))).otherwise(text)
 
 
 def redact(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
@@ -194,13 +228,27 @@ m AS (
          regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS vs FROM d
   UNION ALL SELECT doc_id, 'access', 1, 20, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
   UNION ALL SELECT doc_id, 'hex', 2, 24, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM d
-  UNION ALL SELECT doc_id, 'pem', 3, 1, string_split_regex(t, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----') FROM d
   UNION ALL SELECT doc_id, 'jwt', 4, 1, string_split_regex(t, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'), regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'), regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}') FROM d
-  UNION ALL SELECT doc_id, 'url_login', 5, 1, string_split_regex(t, '[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{1,200}@'), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{1,200}@'), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{1,200}@') FROM d),
+  UNION ALL SELECT doc_id, 'url_login', 5, 1, string_split_regex(t, '[A-Za-z0-9+.-]+://[^\s/:@]+:[^\s/:@]+@'), regexp_extract_all(t, '[A-Za-z0-9+.-]+://[^\s/:@]+:[^\s/:@]+@'), regexp_extract_all(t, '[A-Za-z0-9+.-]+://[^\s/:@]+:[^\s/:@]+@') FROM d),
+k0 AS (SELECT doc_id, string_split_regex(t, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----') AS ps, regexp_extract_all(t, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----') AS hs
+       FROM d WHERE contains(t, 'PRIVATE KEY-----')),
+k1 AS (SELECT doc_id, unnest(ps[:-2]) AS gap, unnest(hs) AS head, unnest(ps[2:]) AS body, generate_subscripts(hs, 1) AS i FROM k0 WHERE len(hs) > 0),
+-- through the END line, if the first five dashes behind the header are its; else through the lines of base64.  In the body each
+-- place behind base64 that a line may end at is marked, as RE2 can't look ahead
+k2 AS (SELECT *, strpos(body, '-----') AS dash,
+              regexp_replace(regexp_replace(translate(body, chr(57344) || chr(57345), '  '), '([A-Za-z0-9+/]={0,2})([\t ]*(?:[\r\n"''\\<]|\z))', '\1' || chr(57344) || '\2', 'g'),
+                             '([A-Za-z0-9+/]={0,2})(' || chr(57344) || '?(?:[\s"''\\<]|\z))', '\1' || chr(57345) || '\2', 'g') AS marked FROM k1),
+k3 AS (SELECT *, CASE WHEN dash > 0 THEN regexp_extract(body[dash:], '^-{5,}END (?:[A-Z]+ )*PRIVATE KEY-----') ELSE '' END AS close,
+              regexp_extract(marked, replace(replace(replace(replace(replace(
+                '^(?:BREAK[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*(?:BREAK(?:[A-Za-z0-9+/]{16,}={0,2}NM|[A-Za-z0-9+/]+={0,2}NL)|[\t ]*[A-Za-z0-9+/]{16,}={0,2}NM(?:[\t ]+[A-Za-z0-9+/]{1,15}={0,2}@M)?)+',
+                'BREAK', '(?:[\t "''+,;>|#*@L]*(?:[\r\n]|\\+[nr]NM))+[\t "''>|#*]*'), 'N', chr(57345) || '?'), '@', chr(57345)), 'M', chr(57344) || '?'), 'L', chr(57344))) AS lines_m FROM k2),
+k4 AS (SELECT doc_id, i, gap, head, CASE WHEN close <> '' THEN body[:dash - 1] || close ELSE translate(lines_m, chr(57344) || chr(57345), '') END AS tail FROM k3),
+k5 AS (SELECT doc_id, CAST(sum(length(gap) + length(head)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS head_stop, length(head) AS n, length(tail) AS extra FROM k4),
 e AS (SELECT doc_id, kind, rank, least, unnest(ps[1:len(ms)]) AS gap, unnest(ms) AS mt, unnest(vs) AS v, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
 s AS (SELECT doc_id, kind, rank, least, length(v) AS n, length(mt) AS size,
              CAST(sum(length(gap) + length(mt)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM e),
-k AS (SELECT doc_id, kind, rank, stop - size AS start, stop FROM s WHERE n >= least),
+k AS (SELECT doc_id, kind, rank, stop - size AS start, stop FROM s WHERE n >= least
+      UNION ALL SELECT doc_id, 'pem', 3, head_stop - n, head_stop + extra FROM k5),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
              string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)

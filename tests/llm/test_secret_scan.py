@@ -116,3 +116,78 @@ def test_private_keys_are_masked_whole(spark):
 def test_long_url_logins_are_found(spark):
     docs = spark.createDataFrame([(1, f"go https://{'u' * 300}:{'p' * 5000}@host/x", 0)], "doc_id long, text string, n_chars long")
     assert secret_scan.redact(docs).first().text == f"go {secret_scan.MASK}host/x"
+
+
+def test_texts_of_many_matches(spark):
+    """Positions and masks of a checksum file, where work must not grow with the square of its lines."""
+    import time
+
+    took = {}
+    for n in (1_000, 10_000, 50_000):
+        text = "".join(f"{i:024x}  file{i}é.bin\n" for i in range(n))
+        docs = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+        start = time.perf_counter()
+        assert secret_scan.redact(docs).first().text == re.sub("[0-9a-f]{24,}", secret_scan.MASK, text)
+        took[n] = time.perf_counter() - start
+        row = secret_scan.report(docs).first()
+        assert row.n_hex == n and row.base_sha256 == expected(1, text)[4]
+    assert took[50_000] < 30 + 10 * took[1_000], took
+
+
+def test_overlapping_spans_are_one_mask(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é漢\U0001f600") for _ in range(rng.randint(1, 80)))
+        spans = sorted((s := rng.randrange(len(text)), rng.randrange(5), rng.randint(s + 1, len(text)), "k") for _ in range(rng.randint(0, 12)))
+        rows.append((i, text, spans))
+
+    def plain_mask(text, spans):
+        out, at = "", 0
+        for s, _, e, _ in spans:
+            if s >= at:
+                out += text[at:s] + secret_scan.MASK
+            at = max(at, e)
+        return out + text[at:]
+
+    df = spark.createDataFrame(rows, f"i int, text string, spans {secret_scan._EMPTY}")
+    got = {r.i: r.m for r in df.select("i", secret_scan.masked(F.col("text"), F.col("spans")).alias("m")).collect()}
+    assert got == {i: plain_mask(t, s) for i, t, s in rows}
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    import random
+
+    rng = random.Random(4)
+    rows = [(n, [rng.randint(0, 9) for _ in range(n)]) for n in (0, 1, 2, 3, 7, 16, 17, 100, 1001)]
+    df = spark.createDataFrame(rows, "n int, v array<int>").select("v", secret_scan.running(F.col("v"), lambda a, b: a + b, 0).alias("s"), secret_scan.running(F.col("v"), F.greatest, 0).alias("m"))
+    for r in df.collect():
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))] and r.m == [max(r.v[: i + 1]) for i in range(len(r.v))]
+
+
+def test_sql_has_the_rules_of_the_query(spark):
+    """Keys with and without an end, headers, escapes and logins of any length: rows of the SQL are those of the query."""
+    import duckdb
+
+    begin, end, line = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEow+/" * 8
+    short = "q83v==\nZz"
+    texts = TEXTS + [
+        f"a {begin}\n{line}\n{short}\n{end} b", f"a {begin}\n{line}\n{line} word", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES,0A\n\n{line}\nq8= x", f"{begin}\\n{line}\\n{line}\\nq83v\\n tail",
+        f'{{"k": "{begin}\\n{line}\\nq83v", 1}}', f"{begin} {line} abc= x {begin} {line} abc, x", f"{begin} none", f"{begin}\n> {line}\n> {line}\n-----BEGIN CERTIFICATE-----\n{line}", f"{begin}\n{line}\n{begin}\n{line}\n{end} b",
+        f"{begin} - -- ---- {end}", f"{begin}-{end}", f"{begin}\n{line}.\n{line}", f"go https://{'u' * 300}:{'p' * 500}@h a{'b' * 40}://x:y@z 9http://u:p@h -a+b.c://é:ü@", "a://b:c@ ab://b:c@ x" + "y" * 300 + "://q:r@", f"'{begin}' + '\n' + '{line}\n' + '{line}'",
+    ]
+    rows = list(enumerate(texts))
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cols = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    want = sorted(duck.execute(f"SELECT {', '.join(cols)} FROM ({secret_scan.ORACLE.strip()})").fetchall())
+    got = sorted(tuple(r) for r in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).select(*cols).collect())
+    assert [(g, w) for g, w in zip(got, want, strict=True) if g != w] == []
+    assert sum("pem" in w[5] for w in want) >= 12
