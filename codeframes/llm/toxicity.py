@@ -10,8 +10,9 @@ in a long text's mean.
 As the layer is linear, a trained model is one number per bucket, so scoring needs a lookup per n-gram of the distinct
 words of a slice of texts; n-grams are hashed in numpy over all words at once.
 
-The sample is bounded: ``POSITIVES`` and ``NEGATIVES`` labelled documents at most, by hash of the id, of those whose text
-has ``SAMPLE_CHARS`` characters at most; these are learned from whole.  Scoring reads whole texts of any length.
+The sample is bounded in rows: ``POSITIVES`` and ``NEGATIVES`` labelled documents at most, by hash of the id, of those
+that have a word, whatever their length.  Tasks turn each into its buckets and their shares, at most ``BUCKETS`` of them a
+document, and the driver gets no texts.  Scoring reads whole texts of any length.
 
 Defined results: null, empty and wordless texts have the share of toxic rows in the sample as score; where the
 sample has one class or none, that share (0 without a sample) is everyone's score; of several labels of a
@@ -29,17 +30,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import bound_batches, held, held_out, kept_object, stored_object, text_slices
+from codeframes.llm.common import bound_batches, held, held_out, kept_object, slices, stored_object, text_slices, written
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 DIM = 4
 GRAMS = (3, 4, 5)
 POSITIVES, NEGATIVES = 1000, 2000
-SAMPLE_CHARS = 40_000
 EPOCHS = 16
 AVERAGED = 6
 BATCH = 64
@@ -128,6 +129,10 @@ def _rows(docs: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     first = np.cumsum(sizes) - sizes
     columns, shares = [], []
     for words in coded:
+        if not words:
+            columns.append(np.zeros(0, np.int32))
+            shares.append(np.zeros(0, np.float32))
+            continue
         distinct, weight = np.fromiter(words, np.int64, len(words)), np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
         n = sizes[distinct]
         at = np.repeat(first[distinct] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -175,32 +180,48 @@ def _descend(columns: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray,
 
 
 def train(texts: list[str | None], toxic: list[int]) -> Model:
+    """A model of labelled texts; those without a word are left out."""
     docs = [(words, y) for words, y in ((words_of(t), y) for t, y in zip(texts, toxic, strict=True)) if words]
-    prior = float(np.mean([y for _, y in docs])) if docs else 0.0
+    return learned(*_rows([words for words, _ in docs]), [y for _, y in docs])
+
+
+def learned(columns: list[np.ndarray], shares: list[np.ndarray], toxic: list[int]) -> Model:
+    """A model of documents given as buckets and shares."""
+    prior = float(np.mean(toxic)) if toxic else 0.0
     if prior in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), 0.0, prior)
-    weights, bias = _descend(*_rows([words for words, _ in docs]), np.array([y for _, y in docs]))
+    weights, bias = _descend(columns, shares, np.array(toxic))
     return Model(weights, bias, prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from labelled rows that aren't held out; the sample is bounded."""
+def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+    """(doc_id, toxic, buckets, shares) of the labelled documents to learn from, none of them held out."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    label: dict[int, int] = {}
-    for value, most in ((1, POSITIVES), (0, NEGATIVES)):
-        for r in rows.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect():
-            label[r.doc_id] = value
-    if not label:
-        return train([], [])
-    spark = docs.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in label], "doc_id long"))  # at most POSITIVES + NEGATIVES rows
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(r"(?U)\w"))
+    known = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(text.select("doc_id").distinct(), "doc_id", "left_semi")
+    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
+    some = known.filter("toxic = 1").orderBy(*by_hash).limit(positives).unionByName(known.filter("toxic = 0").orderBy(*by_hash).limit(negatives))
     # of rows that repeat an id one is learned from, so the sample stays within its bound
-    sample = text.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("t").alias("t")).collect()
-    sample.sort(key=lambda r: r.doc_id)
-    return train([r.t for r in sample], [label[r.doc_id] for r in sample])
+    ids = F.broadcast(written(some, "toxicity-sample"))  # at most positives + negatives rows
+    whole = text.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def bags(batches):
+        for batch in batches:
+            for part in slices(batch):
+                columns, shares = _rows([words_of(t) for t in part.column("text").to_pylist()])
+                held = [pa.array([c.astype(kind).tobytes() for c in values], pa.binary()) for values, kind in ((columns, "<i4"), (shares, "<f4"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *held], names=["doc_id", "toxic", "buckets", "shares"])
+
+    bound_batches(docs.sparkSession)
+    return whole.mapInArrow(bags, "doc_id long, toxic int, buckets binary, shares binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from labelled rows that aren't held out; the sample is bounded."""
+    rows = [r for r in sample(docs, labels).collect() if len(r.buckets)]
+    rows.sort(key=lambda r: r.doc_id)
+    return learned([np.frombuffer(r.buckets, "<i4") for r in rows], [np.frombuffer(r.shares, "<f4") for r in rows], [r.toxic for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -104,3 +104,31 @@ def test_empty_text_has_the_prior(spark):
     model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
     got = toxicity.score(spark.createDataFrame([(1, ""), (2, None), (3, "?!")], "doc_id long, text string"), model).collect()
     assert {round(r.score, 9) for r in got} == {round(model.prior, 9)}
+
+
+def test_long_documents_are_learned_from(spark):
+    """All toxic documents are long and all others short; null and wordless ones of the sample are replaced."""
+    rng = random.Random(6)
+    texts = [(i, sentence(rng, 9_000) + " scoundrel blockhead nitwit" * 300, 1) for i in range(1, 31)] + [(i, sentence(rng, 40), 0) for i in range(31, 61)]
+    texts += [(i, [None, "", "?!"][i % 3], i % 2) for i in range(61, 121)]
+    assert min(len(t) for _, t, y in texts[:30]) > 40_000
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    learned = [i for i, *_ in texts if i <= 60 and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r.doc_id for r in toxicity.sample(docs, labels).collect()) == learned
+    few = toxicity.sample(docs, labels, 5, 7).collect()
+    assert sorted(r.toxic for r in few) == [0] * 7 + [1] * 5 and all(len(r.buckets) for r in few)
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs.filter("text IS NOT NULL"), model).collect()}
+    assert all(got[i].predicted == y for i, _, y in texts[:60])
+
+
+def test_rows_equal_the_plain_model(spark):
+    """``fit`` and ``score`` over tables against training and scoring in a loop."""
+    rows = corpus(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    learn = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert abs(model.prior - np.mean([y for _, y in learn])) < 1e-12
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.allclose([got[i] for i, *_ in rows], [plain_score(model, t) for _, t, _ in rows], atol=1e-6)
