@@ -1,5 +1,6 @@
 """``python -m codeframes.cli extract FRAMES --readings TABLE [...]``: the plan over tables of frames and readings;
-``extract VIDEO... --backend MODULE:SETUP``: the same from video files; ``bench PREDICTIONS``: the comparison of backends.
+``extract VIDEO... --backend MODULE:SETUP``: the same from video files; ``bench PREDICTIONS`` and
+``bench FOLDER --backend MODULE:SETUP...``: the comparison of backends.
 
 FRAMES is a parquet table of video_id, path, timestamp_ms and phash, and READINGS one of video_id, path, text and
 confidence.  ``--second`` names a table of second readings for doubtful frames, or their MODULE:SETUP.  A SETUP is called
@@ -24,7 +25,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--version", action="version", version=__version__)
     commands = p.add_subparsers(dest="command")
     b = commands.add_parser("bench", help="compare backends over labelled frames")
-    b.add_argument("predictions", help="parquet table of backend, name, truth, text and error")
+    b.add_argument("predictions", help="parquet table of backend, name, truth, text and error; with --backend a folder of pictures and texts")
+    b.add_argument("--backend", action="append", metavar="MODULE:SETUP", help="a reader of pictures; may be given more than once")
     b.add_argument("--order", help="backends by preference, with commas; the first wins ties")
     d = Settings()
     e = commands.add_parser("extract", help="merge readings into scripts with provenance")
@@ -103,6 +105,14 @@ def bench(args: argparse.Namespace) -> tuple[str, int]:
 
     from codeframes.operators import evaluate
 
+    if args.backend:
+        from codeframes.plans.bench import run_folder
+
+        backends = [(name, setup_of(name)) for name in dict.fromkeys(args.backend)]
+        shown, best, failures = run_folder(SparkSession.builder.appName("codeframes").getOrCreate(), args.predictions, backends)
+        for name, picture, error in failures:
+            print(f"warning: {name} left out, as it failed on {picture}: {error}", file=sys.stderr)
+        return shown, 0 if best else 1
     predictions = SparkSession.builder.appName("codeframes").getOrCreate().read.parquet(args.predictions)
     report = evaluate.benchmark(evaluate.score_predictions(predictions)).cache()
     names = sorted(r.backend for r in report.select("backend").collect())

@@ -49,7 +49,7 @@ def report_text(report: DataFrame, order: DataFrame) -> DataFrame:
     rule = F.array_join(F.transform("widths", lambda n: F.repeat(F.lit("-"), n)), "  ")
     before, between, after = WINNER.split("{}")
     last = F.when(F.col("best").isNull(), F.lit(NO_WINNER)).otherwise(F.concat(F.lit(before), "best.backend", F.lit(between), F.col("best.n_frames").cast("string"), F.lit(after)))
-    parts = wide.select(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, 2, 1 << 20), F.array(F.lit(""), last)).alias("lines"))
+    parts = wide.select(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, F.lit(2), F.size(shown)), F.array(F.lit(""), last)).alias("lines"))
     return parts.select(F.array_join("lines", "\n").alias("text"))
 
 

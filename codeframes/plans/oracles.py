@@ -377,6 +377,15 @@ ORACLES = {
     "duration_text": f"""SELECT o_orderkey, CASE WHEN {_S} >= 3600 THEN printf('%d:%02d:%02d', {_S} // 3600, {_S} % 3600 // 60, {_S} % 60) ELSE printf('%d:%02d', {_S} // 60, {_S} % 60) END AS clock,
         CASE WHEN {_S} >= 3600 THEN printf('%dh %dm', {_S} // 3600, {_S} % 3600 // 60) ELSE printf('%dm', {_S} // 60) END AS hours, {_S} + 0.5::DOUBLE AS seconds, CAST(NULL AS DOUBLE) AS bad FROM orders""",
     "progress": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 THEN CAST(least(100, floor(l_quantity * 3 / (l_linenumber * 20 - 20) * 100)) AS INTEGER) END AS percent FROM lineitem",
+    "playlist_progress": """WITH line AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 4 THEN 0 ELSE CAST(round(sum(l_quantity) * 1000) AS BIGINT) END AS ms FROM lineitem GROUP BY l_orderkey, l_linenumber),
+        s AS (SELECT l_orderkey, l_linenumber, ms, CAST(row_number() OVER o - 1 AS BIGINT) AS number, CAST(sum(ms) OVER o - ms AS BIGINT) AS start_ms FROM line WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+        total AS (SELECT l_orderkey, sum(ms) AS total_ms FROM line GROUP BY 1),
+        r AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) * 5 AS BIGINT) - 9000 AS elapsed_ms FROM lineitem),
+        -- of segments that begin together the last counts: those without a length share their start with the next
+        b AS (SELECT l_orderkey, start_ms, max(number) AS number, max_by(l_linenumber, number) AS part FROM s GROUP BY ALL)
+        SELECT r.l_orderkey, r.l_linenumber, r.elapsed_ms, b.number, 'part_' || b.part || '.ts' AS uri, b.start_ms,
+               CAST(CASE WHEN total_ms > 0 THEN least(100, floor(elapsed_ms / total_ms * 100)) END AS INTEGER) AS percent
+        FROM r ASOF LEFT JOIN b ON r.l_orderkey = b.l_orderkey AND r.elapsed_ms >= b.start_ms LEFT JOIN total ON total.l_orderkey = r.l_orderkey""",
     "probe_sizes": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN CAST(l_partkey AS INTEGER) END AS width, CASE WHEN l_linenumber = 1 THEN CAST(l_suppkey AS INTEGER) END AS height FROM lineitem""",
     "merge_mode": f"""WITH {LESSONS}, g AS (SELECT course, count(*) AS n_pages, count(*) FILTER (has_stream) AS n_streams, count(*) FILTER (has_stream AND downloaded) AS n_downloaded,
           count(DISTINCT CASE WHEN downloaded THEN width || 'x' || height END) AS n_sizes, max(width) + max(width) % 2 AS pad_width, max(height) + max(height) % 2 AS pad_height FROM lessons GROUP BY course)

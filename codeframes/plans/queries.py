@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeframes.functions import scoring, text
-from codeframes.operators import crawl, escalate, evaluate, frames, layout, merge, similar
+from codeframes.operators import crawl, escalate, evaluate, frames, layout, merge, playlist, similar
 from codeframes.plans import corpora, video
 from codeframes.plans.corpora import table
 from codeframes.plans.oracles import ORACLES  # noqa: F401
@@ -270,6 +270,18 @@ def progress(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.percent_done(F.col("l_quantity") * 3, F.col("l_linenumber") * 20 - 20).cast("int").alias("percent"))
 
 
+def playlist_progress(spark: Spark, d: str) -> DataFrame:
+    """Orders as playlists whose segments are their lines, and the segment and percent of elapsed times."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    parts = items.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("seconds"))
+    number = F.col("l_linenumber").cast("string")
+    length = F.when(F.col("l_linenumber") == 4, F.lit("#EXTINF:none,")).otherwise(F.concat(F.lit("#EXTINF:"), F.col("seconds").cast("string"), F.lit(",x")))
+    both = F.posexplode(F.array(F.lit("# part"), length, F.concat(F.lit("part_"), number, F.lit(".ts"))))
+    lines = parts.select(F.col("l_orderkey").alias("playlist"), "l_linenumber", both.alias("k", "line")).select("playlist", (F.col("l_linenumber") * 3 + F.col("k")).alias("line_no"), "line")
+    reports = items.select(F.col("l_orderkey").alias("playlist"), "l_orderkey", "l_linenumber", (F.floor("l_extendedprice") * 5 - 9000).cast("long").alias("elapsed_ms"))
+    return playlist.located(reports, playlist.segments(lines), bucket_ms=20_000).drop("playlist")
+
+
 def probe_sizes(spark: Spark, d: str) -> DataFrame:
     raw = F.when(F.col("l_linenumber") == 1, F.concat("l_partkey", F.lit(","), "l_suppkey")).when(F.col("l_linenumber") == 2, F.lit("N/A")).otherwise(F.lit("12,x"))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", crawl.probe_size(raw).alias("s"))
@@ -321,7 +333,7 @@ def _named() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         timecode, frame_union, fps_sample, showinfo_pts, pair_frames, suffix_order, dedup_runs, sign_hash, bbox_pixels, line_groups, annotation_text, box_union, crop_name,
         artifact_names, data_uris, fence_strip, llm_confidence, signal_hits, code_score, gate, normalize_text, similarity_pairs, similarity_join, clusters, representatives, notes, script,
         provenance, merge_function, escalation, extract_plan, run_stats, tokens, token_accuracy, backend_eval, winner, page_links, stream_urls, slugs, size_text, duration_text,
-        progress, probe_sizes, merge_mode, image_phash, image_crop, read_pictures,
+        progress, playlist_progress, probe_sizes, merge_mode, image_phash, image_crop, read_pictures,
     ]
     return {f.__name__: f for f in made}
 
