@@ -81,6 +81,27 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return written_at(df, name, codec)[0]
 
 
+def join_heads(members: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """``members`` with the columns of ``heads``, which has one row a key and the number of its members as ``n``.
+
+    A key with over an eighth of an even share of all members is dealt over several tasks: its members by their place in
+    the input, and a copy of its head to each.  So at most ``8 * p`` keys are listed (p: shuffle partitions), and at most
+    ``16 * p`` heads copied.  Both inputs must be read from tables, so that a task that runs again deals alike."""
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    most = max(64, total // (8 * parts))
+    salts = F.ceil(F.col("n") / most).cast("int")
+    hot = heads.filter(F.col("n") > most).select(key, salts.alias("__salts"))
+    listed = hot.collect()
+    if not listed:
+        return members.join(heads.drop("n"), key)
+    own = F.pmod(F.monotonically_increasing_id(), F.col("__salts")).cast("int")
+    dealt = members.join(F.broadcast(spark.createDataFrame(listed, hot.schema)), key, "left").withColumn("__salt", F.coalesce(own, F.lit(0)))
+    copied = heads.withColumn("__salt", F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied.drop("n"), [key, "__salt"]).drop("__salt", "__salts")
+
+
 #: Whole texts are long: Arrow batches to Python workers are held to this many bytes.
 BATCH_BYTES = 16 << 20
 

@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import bound_batches, drop, slices, written, written_at
+from codeframes.llm.common import bound_batches, drop, join_heads, slices, written, written_at
 
 TAU = 4
 WIDTHS = (13, 13, 13, 13, 12)
 SHINGLE = 4
 SEED = 42
 SMALL_RUN = 8
-BLOCK = 2048
 
 
 def signed(x: int) -> int:
@@ -231,19 +230,21 @@ def edges(classes: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, name: str = "links") -> DataFrame:
     """node, root for every node of the edges (a, b): alternating large-star and small-star steps.
 
-    Only minima are gathered per node, so a hub costs one row per task; every step is a table in the shared folder."""
+    Only minima are gathered per node, and the edges of a hub meet its minimum in several tasks; every step is a table in
+    the shared folder."""
     now, path = written_at(pairs.select("a", "b").filter("a <> b"), f"{name}-edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        low, low_path = written_at(low.select("a", F.least("a", "m").alias("m"), "n"), f"{name}-low")
+        large = join_heads(both.filter("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large, large_path = written_at(large.filter("a <> b"), f"{name}-large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        least, least_path = written_at(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-least")
+        small = join_heads(down, least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         now, small_path = written_at(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}-small")
-        drop(path, large_path)
+        drop(path, low_path, large_path, least_path)
         path = small_path
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
@@ -252,15 +253,18 @@ def components(pairs: DataFrame, name: str = "links") -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, mark of every row, and the least (without id, doc_id, mark) of its component as ``least``."""
+    """doc_id, fp, mark of every row, and the least (without id, doc_id, mark) of its component as ``least``.
+
+    Copies of one text, and the members of one component, meet their one head in several tasks where they are many."""
     fps = written(fingerprints(docs), "simhash-fps")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    classes = written(fps.groupBy("fp").agg(first.alias("rep")), "simhash-classes")
+    classes = written(fps.groupBy("fp").agg(first.alias("rep"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
     links = components(edges(classes), "simhash")
-    rooted = classes.join(links, classes.fp == links.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-    labels = written(rooted.join(least, "root").select("fp", "least"), "simhash-labels")
-    return fps.join(labels, "fp")
+    rooted = classes.join(links, classes.fp == links.node, "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "simhash-rooted")
+    least = written(rooted.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-least")
+    labels = written(join_heads(rooted, least, "root").select("fp", "least", F.col("copies").alias("n")), "simhash-labels")
+    return join_heads(fps, labels, "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -131,3 +131,8 @@ def test_a_very_long_text():
     text = " ".join(f"w{i % 4999}" for i in range(200_000))
     flat = np.array(simhash.shingle_hashes(text.encode()), np.uint64)
     assert int(simhash.fold(flat, np.array([len(flat)]))[0]) == plain_fingerprint(text)
+
+
+def test_a_hub_with_many_neighbours(spark):
+    pairs = spark.createDataFrame([(i, 5) for i in range(6, 4000)] + [(5, -3), (9000, 9001)], "a long, b long")
+    assert {r.node: r.root for r in simhash.components(pairs).collect()} == {**{i: -3 for i in range(5, 4000)}, 9001: 9000}
