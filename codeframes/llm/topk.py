@@ -11,36 +11,46 @@ pivots differ too little.  A trial of ``TRIAL`` candidates per query block measu
 ``WORTH`` the block's other candidates are evaluated whole, by one dense product, which is exact too.  ``Part.products``
 counts all products that were really computed, those of dense blocks included.
 
-Queries lie in the shared folder in blocks.  Each task holds one part of the candidates and streams the query
-blocks past it, so neither side is broadcast or collected and no join makes their product.  Each query starts
-from a floor that its own row carries: its k-th score among a bounded sample; a part returns at most
-k rows per query and none below the floor, and the k best over all parts are the result.
-
-Pivots are picked far apart from the sample of ``SAMPLE`` rows with the smallest hashes of their ids.
+Queries lie in the shared folder in blocks.  A task reads its candidates as they come and holds one part of about
+``PART_BYTES`` at a time, pivot table and copies counted; it streams the query blocks past each part, so neither side is
+broadcast or collected and no join makes their product.  Parts and query blocks hold vectors of like length (a power of two
+between them), so a long vector pads no short ones; vectors of different lengths meet on the shorter one's components.
+Each query starts from a floor that its own row carries: its k-th score among a bounded sample; a part
+returns at most k rows per query and none below the floor, each task passes on the k best of a query over its parts, and
+the k best over all tasks are the result.
+
+The sample is that of the smallest hashes of id and vector: at most ``SAMPLE`` rows and ``SAMPLE_COMPONENTS`` components,
+without rows that hold over a sixteenth of these.  Pivots are picked far apart from it.  As any point can be a pivot, they
+are cut to ``2 * SAMPLE_COMPONENTS`` components together; floors come from whole vectors only.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors
 count as if filled up with zeros; a query's own id is never its candidate, rows that repeat an id included; rows that
 repeat id and vector are one query and several candidates, rows that repeat an id with another vector are queries of
 their own, told apart by ``query_key``; rows with null ids take no part; ties go to the smaller vec_id; an empty table
 gives no rows; of all columns only vec_id and embedding are read; sums are exact while they stay below 2^53, and are
-rounded beyond.
+rounded beyond; components beyond the range of long count as its ends, and scores beyond it are given as its ends.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeframes.llm.common import filesystem, held, kept_object, shared_dir, stored_object
+from codeframes.llm.common import bound_batches, filesystem, held, kept_object, shared_dir, stored_object
 
 K = 20
 EVERY = 20
 SCALE = 64
 PIVOTS = 64
 SAMPLE = 4096
+SAMPLE_COMPONENTS = 4 << 20
 QUERY_BLOCK = 256
+#: Bytes of a block of queries, and of a part of the candidates with its pivot table and copies.
+QUERY_BYTES = 4 << 20
+PART_BYTES = 64 << 20
 CANDIDATE_BLOCK = 8192
 #: Candidates per query of the first round of evaluation.
 FIRST_ROUND = 64
@@ -58,6 +68,11 @@ def quantised(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("x")).filter(ok).select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("double")).alias("v"))
 
 
+def length_class(size: Column | str) -> Column:
+    """The number of doublings from 1 up to the length."""
+    return F.ceil(F.log2(size)).cast("int")
+
+
 def matrix(column, width: int) -> np.ndarray:
     """Rows of an Arrow list column, filled up with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -66,12 +81,56 @@ def matrix(column, width: int) -> np.ndarray:
     if len(sizes) and (sizes == width).all():
         return flat.reshape(-1, width)
     out = np.zeros((len(sizes), width))
-    starts = np.cumsum(sizes) - sizes
-    for i, (s, n) in enumerate(zip(starts, sizes, strict=True)):
-        out[i, :n] = flat[s : s + n]
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
+def by_length(column):
+    """(positions, matrix) of the rows of an Arrow list column, those of one length class together."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    classes = np.ceil(np.log2(sizes))
+    for c in np.unique(classes):
+        at = np.flatnonzero(classes == c)
+        yield at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)), int(sizes[at].max()))
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products [row of a, row of b]; the shorter rows count as filled up with zeros."""
+    width = min(a.shape[1], b.shape[1])
+    return a[:, :width] @ b[:, :width].T
+
+
+def parts_of(batches, pivots: np.ndarray, size: int = PART_BYTES):
+    """``Part`` after ``Part`` of the rows of Arrow batches, each of one length class and about ``size`` bytes; what waits for
+    its part stays below that size too."""
+    waiting: dict[int, list] = {}
+    cost = lambda x: x.shape[0] * (16 * x.shape[1] + 8 * len(pivots) + 64)  # noqa: E731  rows, a sorted copy, the table and its making
+    total = lambda some: sum(cost(x) for _, x in some)
+
+    def made(kind: int) -> Part:
+        some = waiting.pop(kind)
+        width = max(x.shape[1] for _, x in some)
+        x = np.zeros((sum(len(ids) for ids, _ in some), width))
+        lo = 0
+        for ids, m in some:
+            x[lo : lo + len(ids), : m.shape[1]] = m
+            lo += len(ids)
+        return Part(np.concatenate([ids for ids, _ in some]), x, pivots)
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, CANDIDATE_BLOCK):
+            some = batch.slice(lo, CANDIDATE_BLOCK)
+            ids = some.column("vec_id").to_numpy()
+            for at, x in by_length(some.column("v")):
+                kind = int(x.shape[1] - 1).bit_length()
+                waiting.setdefault(kind, []).append((ids[at], x))
+                while sum(map(total, waiting.values())) > size:
+                    yield made(max(waiting, key=lambda c: total(waiting[c])))
+    for kind in list(waiting):
+        yield made(kind)
+
+
 def pick_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     """Rows far from each other: each next one has the largest distance to those before."""
     if not len(sample):
@@ -85,7 +144,7 @@ def pick_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squares = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T
+    squares = np.einsum("ij,ij->i", x, x)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * products(x, pivots)
     return np.sqrt(np.maximum(squares, 0))
 
 
@@ -112,9 +171,10 @@ class Part:
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.squares = (self.x**2).sum(axis=1)
-        self.table = distances(self.x, pivots).T.astype(np.float32)  # the bounds allow for the rounding
-
+        self.squares = np.einsum("ij,ij->i", self.x, self.x)
+        self.table = np.empty((len(pivots), len(ids)), np.float32)  # the bounds allow for the rounding
+        for lo in range(0, len(ids), CANDIDATE_BLOCK):
+            self.table[:, lo : lo + CANDIDATE_BLOCK] = distances(self.x[lo : lo + CANDIDATE_BLOCK], pivots).T
         self.lengths = np.sqrt(self.squares)
         self.products = 0
 
@@ -141,7 +201,7 @@ class Part:
                 bound[own] = -np.inf
                 self._in_order(q, bound, lo, best)
             else:
-                scores = q @ self.x[lo:hi].T
+                scores = products(q, self.x[lo:hi])
                 self.products += scores.size
                 scores[own] = -np.inf
                 r, c = np.nonzero((scores >= best.floors[:, None]) & np.isfinite(scores))
@@ -165,10 +225,11 @@ class Part:
             r, c = np.nonzero(hope)
             at = np.unique(c)
             if 8 * len(r) < len(q) * len(at):  # few pairs: one by one
-                scores = np.einsum("ij,ij->i", q[r], self.x[lo + c])
+                width = min(q.shape[1], self.x.shape[1])
+                scores = np.concatenate([np.einsum("ij,ij->i", q[r[i : i + QUERY_BLOCK], :width], self.x[lo + c[i : i + QUERY_BLOCK], :width]) for i in range(0, len(r), QUERY_BLOCK)])
                 self.products += len(r)
             else:
-                scores = (q @ self.x[lo + at].T)[r, np.searchsorted(at, c)]
+                scores = products(q, self.x[lo + at])[r, np.searchsorted(at, c)]
                 self.products += len(q) * len(at)
             bound[hope] = -np.inf
             good = scores >= best.floors[r]
@@ -176,51 +237,71 @@ class Part:
             size *= 2
 
 
+def sampled(rows: DataFrame):
+    """The sample, as (ids, matrix) by length class, and the pivots."""
+    sized = rows.filter(F.size("v") <= SAMPLE_COMPONENTS // 16).withColumn("h", F.xxhash64("vec_id", "v"))
+    sizes = [r[0] for r in sized.select(F.size("v"), "h", "vec_id").orderBy("h", "vec_id", "size(v)").limit(SAMPLE).collect()]
+    count = int(np.searchsorted(np.cumsum(sizes), SAMPLE_COMPONENTS, "right"))
+    found = sized.orderBy("h", "vec_id", F.size("v")).limit(count).select("vec_id", "v").toArrow()
+    ids = found.column("vec_id").to_numpy()
+    groups = [(ids[at], x) for at, x in by_length(found.column("v"))] if count else []
+    width = min(max((x.shape[1] for _, x in groups), default=1), 2 * SAMPLE_COMPONENTS // max(count, 1))
+    points = np.zeros((count, width))
+    lo = 0
+    for ids, x in groups:
+        points[lo : lo + len(ids), : x.shape[1]] = x[:, :width]
+        lo += len(ids)
+    return groups, pick_pivots(points)
+
+
+def query_blocks(folder: str):
+    """Blocks of the stored queries as Arrow batches, of one length class and about ``QUERY_BYTES`` each."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = filesystem(folder)
+    for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
+        if not info.path.endswith(".parquet"):
+            continue
+        kind = int(info.path.rpartition("/")[0].rpartition("kind=")[2])
+        rows = min(QUERY_BLOCK, max(1, QUERY_BYTES >> (kind + 3)))
+        with store.open_input_file(info.path) as source:
+            yield from pq.ParquetFile(source).iter_batches(rows)
+
+
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score, query_key: exact, for queries whose id is divisible by ``every``."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     rows = quantised(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    sampled = matrix(pa.array([r.v for r in sample], pa.list_(pa.float64())), width)
-    pivots, sampled_ids = pick_pivots(sampled), np.array([r.vec_id for r in sample], np.int64)
-    model = stored_object(spark, "topk-sample", (pivots, sampled, sampled_ids))
+    model = stored_object(spark, "topk-sample", sampled(rows))
     query_dir = shared_dir(spark, "topk-queries")
 
     def floors(batches):
-        with held(model, lambda: kept_object(model)) as (_, sampled, sampled_ids):
+        with held(model, lambda: kept_object(model)) as (groups, _):
+            known = sum(len(ids) for ids, _ in groups)
             for batch in batches:
-                ids, q = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), width)
-                found = np.full(len(ids), -np.inf)
-                for a in range(0, len(ids), QUERY_BLOCK):
-                    scores = q[a : a + QUERY_BLOCK] @ sampled.T
-                    scores[ids[a : a + QUERY_BLOCK, None] == sampled_ids[None, :]] = -np.inf
-                    # repeated sample ids are distinct candidates, so the k-th largest is a floor
-                    if scores.shape[1] >= k:
-                        found[a : a + QUERY_BLOCK] = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-                yield pa.RecordBatch.from_arrays([batch.column("query_key"), batch.column("vec_id"), batch.column("v"), pa.array(found)], names=["query_key", "vec_id", "v", "floor"])
-
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select(F.xxhash64("vec_id", "v").alias("query_key"), "vec_id", "v")
-    queries.mapInArrow(floors, "query_key long, vec_id long, v array<double>, floor double").write.parquet(query_dir)
+                ids, found = batch.column("vec_id").to_numpy(), np.full(batch.num_rows, -np.inf)
+                for lo in range(0, batch.num_rows if known >= k else 0, QUERY_BLOCK):
+                    for at, q in by_length(batch.column("v").slice(lo, QUERY_BLOCK)):
+                        scores = np.concatenate([np.where(ids[lo + at, None] == i[None, :], -np.inf, products(q, x)) for i, x in groups], axis=1)
+                        # repeated sample ids are distinct candidates, so the k-th largest is a floor
+                        found[lo + at] = np.partition(scores, known - k, axis=1)[:, -k]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "floor"])
+
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("query_key", F.xxhash64("vec_id", "v"))
+    queries = asked.dropDuplicates(["vec_id", "v"]).select("query_key", "vec_id", "v", length_class(F.size("v")).alias("kind"))
+    floored = queries.mapInArrow(floors, "query_key long, vec_id long, v array<double>, kind int, floor double")
+    floored.write.partitionBy("kind").option("parquet.block.size", 16 << 20).parquet(query_dir)
 
     def work(batches):
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        with held(model, lambda: kept_object(model)) as (pivots, *_):
-            part = Part(np.concatenate([b.column("vec_id").to_numpy() for b in some]), np.concatenate([matrix(b.column("v"), width) for b in some]), pivots)
-        store, root = filesystem(query_dir)
-        for info in store.get_file_info(fs.FileSelector(root)):
-            if not info.path.endswith(".parquet"):
-                continue
-            with store.open_input_file(info.path) as source:
-                for block in pq.ParquetFile(source).iter_batches(QUERY_BLOCK):
-                    keys, q_ids, q = block.column("query_key").to_numpy(), block.column("vec_id").to_numpy(), matrix(block.column("v"), width)
+        with held(model, lambda: kept_object(model)) as (_, pivots):
+            for part in parts_of(batches, pivots):
+                for block in query_blocks(query_dir):
+                    keys, q_ids = block.column("query_key").to_numpy(), block.column("vec_id").to_numpy()
+                    q = matrix(block.column("v"), int(pc.max(pc.list_value_length(block.column("v"))).as_py()))
                     found, ids, scores = part.search(q_ids, q, distances(q, pivots), block.column("floor").to_numpy(), k)
-                    scores = np.clip(scores, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+                    scores = np.where(scores >= 2.0**63, np.iinfo(np.int64).max, np.clip(scores, -(2.0**63), 2.0**63 - 1024).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array(q_ids[found]), pa.array(ids), pa.array(scores)], names=["query_key", "query_id", "vec_id", "score"])
 
     found = rows.mapInArrow(work, "query_key long, query_id long, vec_id long, score long")

@@ -77,3 +77,51 @@ def test_queries_that_repeat_an_id(spark):
         scores = sorted((-sum(a * math.floor(64 * float(np.float32(b))) for a, b in zip(q, w, strict=True)), i) for i, w in rows if i != 20)[:20]
         want.append([(k + 1, i, -s) for k, (s, i) in enumerate(scores)])
     assert sorted(map(sorted, lists.values())) == sorted(want)
+
+
+def test_vectors_of_very_different_lengths(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(rng.choice([1, 2, 3, 5, 17, 64, 65, 300]))]) for i in range(400)]
+    assert run(spark, rows) == plain(rows)
+
+
+def test_a_vector_of_a_million_components(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float(i % 7), 1.0]) for i in range(1, 300)]
+    short = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    long = spark.range(1).select(F.lit(300).cast("long").alias("vec_id"), F.array_repeat(F.lit(2.0).cast("float"), 1_000_000).alias("embedding"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(short.union(long)).collect())
+    assert got == plain(rows + [(300, [2.0, 2.0])])  # what it has beyond two components meets no other vector
+
+
+def test_components_beyond_long_lose_no_row(spark):
+    rows = [(0, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0]), (3, [0.5, 1.0])]
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1), (2, 3, 2**63 - 1), (3, 2, -(2**63))]
+
+
+def peak_of_parts(rows):
+    """Peak bytes while the parts of one partition of ``rows`` vectors are made, one at a time, and their rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+
+    def batches():
+        for lo in range(0, rows, 5000):
+            v = pa.ListArray.from_arrays(pa.array(np.arange(0, 5000 * 64 + 1, 64, dtype=np.int32)), pa.array(np.floor(rng.normal(size=5000 * 64) * 64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + 5000)), v], names=["vec_id", "v"])
+
+    pivots = np.zeros((64, 64))
+    tracemalloc.start()
+    seen = sum(len(part.ids) for part in topk.parts_of(batches(), pivots, 8 << 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return seen, peak
+
+
+def test_memory_stays_flat_when_a_partition_grows():
+    (few, small), (many, large) = peak_of_parts(20_000), peak_of_parts(200_000)
+    assert (few, many) == (20_000, 200_000) and large < 1.2 * small
