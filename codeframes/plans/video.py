@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -18,15 +19,15 @@ from codeframes.operators.frames import union_frames
 from codeframes.plans.pipeline import Backend, Plan, Result, materialised
 from codeframes.schemas import Box, Settings
 from codeframes.sources import images
-from codeframes.sources.video import FrameSource
+from codeframes.sources.video import register
 
 READINGS = "video_id string, seq bigint, path string, timestamp_ms bigint, text string, confidence double, backend string"
 
 
 def candidate_frames(spark: SparkSession, videos: Sequence[str], settings: Settings, folder: str) -> DataFrame:
     """Frames at a constant rate and at scene cuts on one timeline; images lie in ``folder``, which all executors see."""
-    spark.dataSource.register(FrameSource)
-    source = lambda option, value: spark.read.format("video_frames").option("paths", ",".join(videos)).option("out_dir", folder).option(option, value).load()
+    register(spark)
+    source = lambda option, value: spark.read.format("video_frames").option("paths", json.dumps(list(videos))).option("out_dir", folder).option(option, value).load()
     # decoding costs: both scans are written before anything reads them
     return union_frames(materialised(source("fps", settings.fps), "frames-fps"), materialised(source("scene", settings.scene_threshold), "frames-scene"))
 
@@ -126,7 +127,7 @@ def extract_videos(
 ) -> Result:
     """Scripts and provenance of ``videos``; ``make_backend(pictures, crop)`` gives the reader of their images."""
     frames = candidate_frames(spark, videos, settings, folder)
-    pictures = images.scan(spark, f"{folder}/*")
+    pictures = images.scan(spark, f"{folder}/*/*")
     timeline = materialised(hashed(frames, pictures), "timeline")
     second = make_second(pictures, settings.crop) if make_second else None
     return Plan(make_backend(pictures, settings.crop), settings, second).run(timeline)

@@ -1,5 +1,6 @@
 """From images to scripts, without ffmpeg: frames that are already images, and readers that know their pixels."""
 
+import json
 import os
 import stat
 
@@ -158,6 +159,72 @@ def test_decoding_pairs_images_with_times(ffmpeg, tmp_path):
     assert len(decode(str(movie), str(tmp_path / "out"), None, 0.3)) == 1 and len(decode(str(movie), str(tmp_path / "out"), 1.0, None)) == 3
 
 
+def movies(folder, *names):
+    folder.mkdir(exist_ok=True)
+    for name in names:
+        (folder / name).write_bytes(b"x")
+    return [str(folder / name) for name in names]
+
+
+def test_attempts_have_folders_of_their_own(ffmpeg, tmp_path):
+    from codeframes.sources.video import decode
+
+    (movie,) = movies(tmp_path / "in", "a.mp4")
+    first, second = (decode(movie, str(tmp_path / "out"), 1.0, None) for _ in range(2))
+    assert not {i for _, i, _ in first} & {i for _, i, _ in second}
+    assert all(os.path.isfile(i) for _, i, _ in first + second)
+
+
+def test_filters_reach_the_source(spark, ffmpeg, tmp_path):
+    from pyspark.sql import functions as F
+
+    from codeframes.sources.video import register
+
+    register(spark)
+    paths = movies(tmp_path / "in", "a.mp4", "b,c.mp4", "d.mp4")
+    frames = spark.read.format("video_frames").option("paths", json.dumps(paths)).option("ffmpeg", str(ffmpeg)).option("out_dir", str(tmp_path / "out")).load()
+    assert frames.count() == 9
+    tried = lambda: len(list((tmp_path / "out").glob("*/*")))
+    before = tried()
+    got = frames.filter((F.col("video_id") == paths[1]) & (F.col("timestamp_ms") > 0) & (F.col("timestamp_ms") < 4000) & F.col("path").endswith("2.jpg")).collect()
+    assert [(r.video_id, r.timestamp_ms) for r in got] == [(paths[1], 2000)] and tried() == before + 1
+    assert frames.filter(F.col("video_id").isin(paths[0], paths[2], "none")).filter("timestamp_ms = 4000").count() == 2 and tried() == before + 3
+    assert frames.filter("timestamp_ms >= 2000 and timestamp_ms <= 2000").count() == 3
+    assert frames.filter("video_id = 'none'").count() == 0
+
+
+def test_stream_of_a_growing_folder(spark, ffmpeg, tmp_path):
+    from codeframes.sources.video import _StreamReader, register
+
+    register(spark)
+    inbox, log = tmp_path / "in", tmp_path / "log"
+
+    def run():
+        frames = spark.readStream.format("video_frames").option("folder", str(inbox)).option("log_dir", str(log)).option("ffmpeg", str(ffmpeg)).option("out_dir", str(tmp_path / "out")).load()
+        query = frames.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ckpt")).start(str(tmp_path / "table"))
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted((os.path.basename(r.video_id), r.timestamp_ms) for r in spark.read.parquet(str(tmp_path / "table")).collect())
+
+    times = (0, 2000, 4000)
+    movies(inbox, "m.mp4", "n.mp4", "_part.mp4")
+    assert run() == [(v, t) for v in ("m.mp4", "n.mp4") for t in times]
+    (inbox / "_part.mp4").rename(inbox / "a.mp4")  # sorts before what was seen
+    assert run() == [(v, t) for v in ("a.mp4", "m.mp4", "n.mp4") for t in times]
+    assert len(run()) == 9
+
+    options = {"folder": str(inbox), "log_dir": str(log), "out_dir": "x"}
+    again = _StreamReader(options)
+    names = lambda a, b: [os.path.basename(p.path) for p in again.partitions({"files": a}, {"files": b})]
+    assert names(0, 2) == ["m.mp4", "n.mp4"] and names(2, 3) == ["a.mp4"]
+    with pytest.raises(ValueError, match="offset counts 4"):
+        again.partitions({"files": 0}, {"files": 4})
+    with pytest.raises(ValueError, match="log_dir"):
+        _StreamReader({"out_dir": "x", "folder": str(inbox)})
+
+
 def test_cli_errors(tmp_path, capsys):
     err = lambda *args: (cli.main(["extract", *args]), capsys.readouterr().err)
     assert err("no.mp4", "--backend", "tests.test_video:setup") == (1, "codeframes: error: no such video: no.mp4\n")
