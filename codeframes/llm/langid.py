@@ -235,7 +235,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows in some learned language with at least that score; nothing else about them changes."""
+    """The rows in some learned language with at least that score; ``lang`` becomes that language, and nothing else about them
+    changes."""
     udf = predictor(docs.sparkSession, fit(docs)).asNondeterministic()  # evaluated once, below the filter
     rows = docs.select(F.struct("*").alias("row"), udf(_text()).alias("p")).filter((F.col("p.lang_pred") != "und") & (F.col("p.score") >= least_score))
-    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    told = lambda c: F.col("p.lang_pred").cast(docs.schema[c].dataType) if c.lower() == "lang" else F.col("row").getField(c)
+    return rows.select(*(told(c).alias(c) for c in docs.columns))

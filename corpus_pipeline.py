@@ -1,9 +1,10 @@
 """The corpus pipeline: five stages, each an operator of codeframes.llm, each written and read again by the next.
 
 quality rules -> language ID -> SimHash near-dedup -> secret scan -> best-fit packing.  All but the last return
-the columns of ``documents``: the first drops documents and failing lines, the second documents of no language,
-the third all but one document of each near-duplicate group, the fourth masks secrets.  The last returns the
-pieces of the documents with their sequence and offset.
+the columns of ``documents``: the first drops documents and failing lines, the second documents of no language, and
+writes the language that it finds to ``lang``, the third drops all but one document of each near-duplicate group, the
+fourth masks secrets.  The last returns the pieces of the documents with their sequence and offset; a sequence holds
+documents of one ``lang``, as the second stage found it.
 
 Rows that repeat a doc_id are documents of their own unless their texts are near duplicates; rows without an id stay unless
 they are near duplicates too; null and empty texts go at the first stage; an empty table gives no rows; columns beyond
@@ -36,7 +37,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), apart="lang")
 
 
 STAGES = [

@@ -116,6 +116,13 @@ def test_the_filter_rejects_only_texts_without_letters(spark):
     assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [*range(30), 502]
 
 
+def test_the_filter_tells_the_language_it_found(spark):
+    rows = [(i, text, lang if zlib.crc32(str(i).encode()) % 5 else (None, "yy")[i % 2], 1) for i, text, lang in corpus()]  # held out: no label, or a wrong one
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, Lang string, score int"))
+    assert kept.columns == ["doc_id", "text", "Lang", "score"]
+    assert {(r.doc_id, r.text, r.Lang, r.score) for r in kept.collect()} == {(i, text, lang, 1) for i, text, lang in corpus()}
+
+
 def test_held_out_accuracy_and_contract(spark):
     docs = spark.createDataFrame([(*r, "row") for r in corpus()], "doc_id long, text string, lang string, score string")
     got = langid.identify(docs).collect()

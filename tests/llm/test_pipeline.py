@@ -42,6 +42,21 @@ def test_odd_and_empty_documents_pass_every_stage(spark):
         cp.STAGES[-1][1](spark, docs, "").count()
 
 
+def test_sequences_hold_one_language_as_identified(spark, tmp_path):
+    import zlib
+
+    from .test_langid import corpus
+
+    truth = {i: lang for i, _, lang in corpus()}
+    rows = [(i, text, lang if zlib.crc32(str(i).encode()) % 5 else (None, "yy")[i % 2], "s", len(text)) for i, text, lang in corpus()]  # held out: no label, or a wrong one
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    held, got = {}, cp.run(spark, str(tmp_path)).collect()
+    for r in got:
+        held.setdefault(r.sequence_id, []).append(truth[r.doc_id])
+    assert {r.doc_id for r in got} == set(truth) and all(len(set(v)) == 1 for v in held.values())
+    assert max(map(len, held.values())) > 1
+
+
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "language_id", "near_dedup", "secret_scan", "best_fit_packing"]
     assert CLASHING and save
