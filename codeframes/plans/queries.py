@@ -273,13 +273,14 @@ def progress(spark: Spark, d: str) -> DataFrame:
 def playlist_progress(spark: Spark, d: str) -> DataFrame:
     """Orders as playlists whose segments are their lines, and the segment and percent of elapsed times."""
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    parts = items.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("seconds"))
+    tasks = playlist.tasks_for(items)
+    parts = items.repartition(tasks, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("seconds"))
     number = F.col("l_linenumber").cast("string")
     length = F.when(F.col("l_linenumber") == 4, F.lit("#EXTINF:none,")).otherwise(F.concat(F.lit("#EXTINF:"), F.col("seconds").cast("string"), F.lit(",x")))
     both = F.posexplode(F.array(F.lit("# part"), length, F.concat(F.lit("part_"), number, F.lit(".ts"))))
     lines = parts.select(F.col("l_orderkey").alias("playlist"), "l_linenumber", both.alias("k", "line")).select("playlist", (F.col("l_linenumber") * 3 + F.col("k")).alias("line_no"), "line")
     reports = items.select(F.col("l_orderkey").alias("playlist"), "l_orderkey", "l_linenumber", (F.floor("l_extendedprice") * 5 - 9000).cast("long").alias("elapsed_ms"))
-    return playlist.located(reports, playlist.segments(lines), bucket_ms=20_000).drop("playlist")
+    return playlist.located(reports, playlist.segments(lines), bucket_ms=20_000, tasks=tasks).drop("playlist")
 
 
 def probe_sizes(spark: Spark, d: str) -> DataFrame:

@@ -45,3 +45,13 @@ def test_located(spark, bucket):
     reports += [("nowhere", 1, 5), reports[0]]
     got = playlist.located(spark.createDataFrame(reports, "playlist string, i int, elapsed_ms bigint"), playlist.segments(spark.createDataFrame(lines, "playlist string, line_no int, line string")), bucket)
     assert sorted(map(tuple, got.select("playlist", "i", "elapsed_ms", "number", "uri", "start_ms", "percent").collect()), key=repr) == plain(lines, reports)
+
+
+def test_tasks_grow_with_the_rows(spark, sf_dir, monkeypatch):
+    from codeframes.plans.queries import QUERIES
+
+    want = sorted(map(tuple, QUERIES["playlist_progress"](spark, sf_dir).collect()), key=repr)
+    monkeypatch.setattr(playlist, "ROWS_EACH", 500)
+    got = QUERIES["playlist_progress"](spark, sf_dir)
+    assert got.rdd.getNumPartitions() == -(-len(want) // 500) > 4
+    assert sorted(map(tuple, got.collect()), key=repr) == want
